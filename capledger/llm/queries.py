@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import exact_dedup, mixing, secrets, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op5_mixing": mixing.op5_mixing,
+        "op8_secrets": secrets.op8_secrets,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
