@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secrets, url_filter
+from . import exact_dedup, mixing, quality_classifier, quality_rules, secrets, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_mixing": mixing.op5_mixing,
         "op8_secrets": secrets.op8_secrets,
+        "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
