@@ -13,7 +13,7 @@ WEIGHTS = (5, 2, 1)
 #: Most times that a document is taken.
 EPOCHS = 3
 #: Rows of a source that one task puts in order, and of the range that the budget cuts.
-ROWS_IN_ORDER = 20_000
+ROWS_IN_ORDER = 4_000
 SEED = 20_017
 
 
