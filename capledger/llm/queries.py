@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_classifier, quality_rules, secrets, url_filter
+from . import exact_dedup, language_id, mixing, quality_classifier, quality_rules, secrets, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_language_id": language_id.op3_language_id,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_mixing": mixing.op5_mixing,
         "op8_secrets": secrets.op8_secrets,
