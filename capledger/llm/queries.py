@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, secrets, url_filter
+from . import exact_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, secrets, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_language_id": language_id.op3_language_id,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_mixing": mixing.op5_mixing,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_packing": packing.op7_packing,
         "op8_secrets": secrets.op8_secrets,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
