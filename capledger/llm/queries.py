@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, secrets, url_filter
+from . import exact_dedup, jaccard_join, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, secrets, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_lm_scoring": lm_scoring.op2_lm_scoring,
         "op3_language_id": language_id.op3_language_id,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_mixing": mixing.op5_mixing,

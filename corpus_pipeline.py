@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from capledger.llm import _common as C
-from capledger.llm import exact_dedup, mixing
+from capledger.llm import exact_dedup, jaccard_join, mixing, packing, quality_classifier
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted to docs without labels, rejects go."""
+    return quality_classifier.drop_low_quality(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,13 +18,23 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of the n-gram Jaccard join connect, the one with the smallest id stays."""
+    return jaccard_join.drop_near_copies(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of each source come as often as the target weights take them."""
+    """Documents come as often as the mix takes them; those that it does not take, or without words, go."""
     return mixing.apply_mix(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("mixing", mix)]
-#: SQL cannot express the learned stages.
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents, in sequences of at most 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality classifier", classify), ("exact dedup", drop_exact_copies), ("n-gram Jaccard join", drop_near_copies), ("mixing", mix), ("packing", pack)]
+#: SQL cannot express the learned classifier or the tokenizer; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
