@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +17,10 @@ from .components import components
 
 #: Words of a shingle, and the similarity from which two documents link, in per cent.
 WORDS, PERCENT = 3, 90
-#: Counters of the frequency sketch for each document, and log2 of its least and most counters.
-COUNTERS, LEAST_LOG2, MOST_LOG2 = 16, 16, 26
+#: Parts of a scheme beyond those in which linked sets can differ: a share in per cent, and a number.
+SPARE_SHARE, SPARE = 15, 8
+#: Seeds of signatures that are tried.
+MOST_SEEDS = 16
 #: Shingles of a block of sets that one tree holds, on average; larger groups are joined block by block.
 BLOCK_SHINGLES = 1_000_000
 #: Words whose hashes a worker remembers.
@@ -61,11 +62,6 @@ def set_key(sid: bytes) -> int:
     return int.from_bytes(sid[:8], "little", signed=True)
 
 
-def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
-    """Least overlap of a set of n with any set that it links to."""
-    return (n * percent + 99) // 100
-
-
 # ---------------------------------------------------------------- the tree
 
 
@@ -214,40 +210,68 @@ def tree_join(sets: list[np.ndarray], queries: list[np.ndarray] | None, weights:
 # ---------------------------------------------------------------- the join
 
 
-def _first_pass(docs: DataFrame, id_col: str, text_col: str, words: int, log2: int) -> DataFrame:
-    """Rows of documents (doc_id, n, sid), and rows of partial frequency sketches (block, part)."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    names = ["doc_id", "n", "sid", "block", "part"]
+def _edge_sizes(percent: int) -> Iterator[tuple[int, int, int]]:
+    """Schemes in order of size: the largest set of each, the most elements in which two linked sets of it differ, and its parts."""
+    size = 1
+    while True:
+        differ = 2 * size * (100 - percent) // (100 + percent)
+        yield size, differ, differ + 1 + -(-differ * SPARE_SHARE // 100) + SPARE
+        size = size * 3 // 2 + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << log2, np.uint32)
-        id_type = None
-        for batch in batches:
-            id_type = batch.column(0).type
-            sets = [shingles(t, words) for t in C.texts(batch.column(1))]
-            if sets:
-                np.add.at(counts, (np.concatenate(sets) & np.uint64((1 << log2) - 1)).astype(np.int64), 1)
-            none = pa.nulls(len(sets), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), none, pa.nulls(len(sets), pa.binary())], names)
-        for i in range(0, 1 << log2, C.BLOCK):
-            part = counts[i : i + C.BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i // C.BLOCK], pa.int32()), pa.array([zlib.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1)], pa.binary())], names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sid binary, block int, part binary")
+def schemes(n: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """The one or two schemes of a set of n: number, largest size, most differing elements, parts.
+
+    A set belongs to the scheme of its size, and to the next one if it can link to a set of that.
+    """
+    out = []
+    for number, (size, differ, parts) in enumerate(_edge_sizes(percent)):
+        if n <= size:
+            out.append((number, size, differ, parts))
+            if len(out) == 2 or n * 100 // percent <= size:
+                return out
+    raise AssertionError
 
 
-def _levels(parts: DataFrame, log2: int) -> bytes:
-    """For each counter of the sketch the level of its count over all documents, 16 levels for each power of two."""
+def signatures(s: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, bool]:
+    """Signatures of a set, of which two sets that link share one, and whether that is sure for this seed.
+
+    Where linked sets differ in one element at most, signatures are the set's hash and those without one
+    element.  Else elements are dealt to parts by hash, and each part that is not empty is a signature.  Linked sets
+    differ in no more parts than elements, so a set with more parts that are not empty has one in common.
+    """
+    mixed = C.mix64(s + np.uint64(seed) * _K)
+    out, sure = [], True
+    for number, _, differ, parts in schemes(len(s), percent):
+        if differ < 2:
+            whole = mixed.sum(dtype=np.uint64)
+            of = np.append(whole - mixed, whole)
+            part = np.zeros(len(of), np.uint64)
+        else:
+            at = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            sums = np.zeros(parts, np.uint64)
+            np.add.at(sums, at, mixed)
+            some = np.flatnonzero(np.bincount(at, minlength=parts))
+            sure &= len(some) > differ
+            of, part = sums[some], some.astype(np.uint64)
+        out.append(C.mix64(of + C.mix64(part * _K + np.uint64(number + 1))))
+    return np.concatenate(out).view(np.int64), sure
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, seed: int) -> DataFrame:
+    """doc_id, n, sid, key, sure and the signatures of each document's set."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(p), "<u2").astype(np.uint64) for p in pdf["part"])
-        return pdf.iloc[:1].assign(part=[np.minimum(16 * np.log2(1 + total.astype(float)), 255).astype(np.uint8).tobytes()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in C.texts(batch.column(1))]
+            ids = [set_id(s) for s in sets]
+            signed = [signatures(s, percent, seed) if len(s) else (np.zeros(0, np.int64), True) for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(t) for t, _ in signed])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([t for t, _ in signed]) if signed else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([set_key(i) for i in ids], pa.int64()), pa.array([x for _, x in signed], pa.bool_()), tokens], ["doc_id", "n", "sid", "key", "sure", "tokens"])
 
-    out = bytearray(1 << log2)
-    for block, part in parts.groupBy("block").applyInPandas(merge, "block int, part binary").toLocalIterator():
-        out[block * C.BLOCK : block * C.BLOCK + len(part)] = part
-    return bytes(out)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sid binary, key long, sure boolean, tokens array<long>")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -259,43 +283,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty and links with nothing.  Null ids take part; their component's id is the smallest that is not null.
     Repeated rows each give a row and link with one another; other columns are not read.
 
-    1. One pass gives each document's set an id; equal sets are one class, by a pre-aggregated group.  The same
-       pass counts shingles in a sketch of bounded size, which fixes a global order, rare first.
-    2. Two sets that link share a shingle among the first few of that order (prefix filter).  A second pass emits
-       those (hash, set key), and shingles of one set only are left out by an aggregate.
-    3. Sets that share such a shingle, directly or in a chain, form a candidate group.  Only their texts shuffle,
-       behind a Bloom filter of bounded size.
-    4. Each group is joined by a prefix tree.  A group of more shingles than BLOCK_SHINGLES is split by hash into
+    1. One pass gives each document's set an id and signatures (see signatures).  Equal sets are one class, by a
+       pre-aggregated group.  A set for which a seed's signatures are not sure, about one in 10**12, has all done
+       again with the next seed.
+    2. Different sets that share a signature, directly or in a chain, form a candidate group.  What shares nothing
+       is left out by a pre-aggregated minimum and maximum.  Only candidates' texts shuffle, behind a Bloom filter of
+       bounded size.
+    3. Each group is joined by a prefix tree.  A group of more shingles than BLOCK_SHINGLES is split by hash into
        blocks, and each pair of blocks is a task, so no task holds a whole large group.  A task emits the links
        that join what it had not joined yet, fewer than its sets, and each set's number of links.
     """
     spark = docs.sparkSession
     C.prepare(spark)
-    log2 = int(min(MOST_LOG2, max(LEAST_LOG2, np.ceil(np.log2(COUNTERS * max(1, docs.count()))))))
-    first = C.materialize(_first_pass(docs, id_col, text_col, words, log2))
-    rows = first.where(F.col("block").isNull()).select("doc_id", "n", "sid")
-    levels = spark.sparkContext.broadcast(_levels(first.where(F.col("block").isNotNull()).select("block", "part"), log2))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, np.uint8)
-        for batch in batches:
-            tokens, keys, sizes = [], [], []
-            for t in C.texts(batch.column(0)):
-                s = shingles(t, words)
-                if len(s):
-                    k = len(s) - least_overlap(len(s), percent) + 1
-                    tokens.append(s[np.lexsort((s, level[(s & np.uint64((1 << log2) - 1)).astype(np.int64)]))[:k]])
-                    keys.append(set_key(set_id(s)))
-                    sizes.append(k)
-            flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, np.int64), sizes))], ["token", "key"])
-
-    emitted = C.materialize(docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(prefixes, "token long, key long"))
-    shared = emitted.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("token", F.col("a").alias("least"))
+    for seed in range(MOST_SEEDS):
+        first = C.materialize(_signed(docs, id_col, text_col, words, percent, seed))
+        if first.where("not sure").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"no seed of {MOST_SEEDS} gives sure signatures")
+    rows = first.select("doc_id", "n", "sid", "key")
+    emitted = first.select("key", F.explode("tokens").alias("token"))
+    shared = emitted.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("b")).where("least <> b").select("token", "least")
     edges = emitted.join(shared, "token").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
     groups = components(edges).withColumnsRenamed({"node": "key", "component": "group"})
 
-    classes = C.materialize(rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")).withColumn("key", _key_column("sid")))
+    classes = C.materialize(rows.where("n > 0").groupBy("sid", "n", "key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")))
     some = C.materialize(classes.join(groups, "key"))
     blocks = some.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     some = C.materialize(some.join(blocks, "group").select("group", "blocks", "key", "sid", "members", "first_id"))
@@ -351,15 +363,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return met.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).unionByName(alone)
 
 
-def _key_column(sid: str):
-    """The first 8 bytes of a set's id as a little-endian signed long (set_key)."""
-    byte = lambda i: F.conv(F.hex(F.substring(sid, i + 1, 1)), 16, 10).cast("long")
-    value = byte(0)
-    for i in range(1, 8):
-        value = value.bitwiseOR(F.shiftleft(byte(i), 8 * i))
-    return value
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, but of each component of links only the document of the smallest id.
 
