@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +24,8 @@ LENGTH, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
 #: Dimensions of the projection and bits of each in the Hilbert key.
 DIMS, BITS = 4, 12
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 600_000, 64
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -52,42 +57,71 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key.astype(np.int64)
 
 
+@functools.lru_cache(2)
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """A worker's encoder, which later tasks of the worker find with its words."""
+    return Encoder(path, end_id)
+
+
 class Encoder:
     """Token ids of texts, end id included, as little-endian bytes of width bytes an id.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are those of its words in a row.
-    Words are encoded once and remembered.
+    The tokenizer drops white space, never joins over it, and parts letters from what follows them, so a text's ids
+    are those of its words in a row, and a comma or full stop after a letter is a word of its own.  It ignores case,
+    but for its special tokens.  Words are encoded once and remembered.
     """
 
     def __init__(self, path: str, end_id: int):
+        # A task has one core; the tokenizer's own threads would take those of others.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab_size(), end_id + 1)
         self.width = 2 if size <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
+        self.kind, self.code = f"<u{self.width}", {2: "H", 4: "I"}[self.width]
         self.end = np.array([end_id], self.kind).tobytes()
         self.known: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "\0"
+        self.ends_word = np.zeros(size, bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         # A token's direction in the projection comes from a hash of its id.
         h = C.mix64(np.arange(size, dtype=np.uint64)[:, None] * np.uint64(DIMS) + np.arange(DIMS, dtype=np.uint64))
         self.direction = np.where(h >> np.uint64(63) > 0, 1.0, -1.0).astype(np.float32)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [(t if b"<|" in t else _MARK.sub(rb" \1", t.lower())).split() for t in texts]
         words = set().union(*split)
-        missing = list(words - self.known.keys())
+        missing = list(words.difference(self.known))
         if len(self.known) + len(missing) > REMEMBERED:
             self.known = {}
             missing = list(words)
         known = self.known
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
+        for i in range(0, len(missing), 8192):
+            known.update(self._encode_words(missing[i : i + 8192]))
         out = [b"".join(map(known.__getitem__, words)) + self.end for words in split]
         for w in missing:
             if len(w) > LONGEST:
                 del known[w]
         return out
 
+    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of each word.  Words of letters only are encoded in one text: each ends in the one token that ends a word."""
+        read = [w.decode("utf-8", "replace") for w in words]
+        plain = [t.lower().isalpha() for t in read]
+        together = [w for w, p in zip(words, plain, strict=True) if p]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for t, p in zip(read, plain, strict=True) if p)], add_special_tokens=False)[0].ids, self.kind)
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.width
+        if len(ends) == len(together):
+            raw = ids.tobytes()
+            at = 0
+            for w, end in zip(together, ends.tolist(), strict=True):
+                yield w, raw[at:end]
+                at = end
+        else:
+            plain = [False] * len(words)
+        rest = [(w, t) for w, t, p in zip(words, read, plain, strict=True) if not p]
+        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            yield w, struct.pack(f"<{len(e.ids)}{self.code}", *e.ids)
+
     def points(self, ids: list[bytes]) -> np.ndarray:
         """Each document's hashed vector, projected, as a point with BITS bits a coordinate."""
         sums = np.empty((len(ids), DIMS))
@@ -116,7 +150,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end_id)
+        encoder = encoder_of(path, end_id)
         for batch in batches:
             ids = encoder.encode(C.texts(batch.column(1)))
             keys = hilbert_key(encoder.points(ids)) if ids else np.zeros(0, np.int64)
