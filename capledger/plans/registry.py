@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries as Q
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Verdicts of the price check by month of the order."""
+    return Q.q09b_verdicts_by_month(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(Q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(Q.SQL)
