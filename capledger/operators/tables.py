@@ -21,7 +21,7 @@ def cells(row: Column, pattern: str = CELL) -> Column:
 
 def rows(table: Column) -> Column:
     """Rows of a table as arrays of cells; rows whose cells are all empty go."""
-    every = F.transform(F.regexp_extract_all(table, F.lit(ROW), F.lit(1)), cells)
+    every = F.transform(F.regexp_extract_all(table, F.lit(ROW), F.lit(1)), lambda r: cells(r))
     return F.filter(every, lambda r: F.exists(r, lambda c: c != ""))
 
 
