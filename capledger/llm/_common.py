@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,28 @@ BATCH_ROWS = 1000
 _MASK = (1 << 64) - 1
 
 
+class Memory(dict):
+    """What a worker remembers from task to task about words.  Only one operator's is kept at a time."""
+
+    _all: list[Memory] = []
+
+    def __init__(self) -> None:
+        super().__init__()
+        Memory._all.append(self)
+
+    def claim(self) -> None:
+        """Clear the others, as a worker may serve several operators in a row."""
+        for other in Memory._all:
+            if other is not self and other:
+                other.clear()
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch, so that a batch of long texts fits a worker."""
+    """Lower the rows of an Arrow batch, so that a batch of long texts fits a worker, and let workers find the package."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -24,10 +24,10 @@ MOST_SEEDS = 16
 #: Shingles of a block of sets that one tree holds, on average; larger groups are joined block by block.
 BLOCK_SHINGLES = 1_000_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
-class _Hashes(dict):
+class _Hashes(C.Memory):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -43,6 +43,7 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; fewer words are one shingle, none is none."""
+    _HASHES.claim()
     w = text.lower().split()
     if not w:
         return np.zeros(0, np.uint64)

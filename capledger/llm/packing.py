@@ -6,6 +6,7 @@ import functools
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from . import _common as C
 
@@ -24,7 +26,7 @@ LENGTH, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
 #: Dimensions of the projection and bits of each in the Hilbert key.
 DIMS, BITS = 4, 12
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 _MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
@@ -79,7 +81,10 @@ class Encoder:
         self.width = 2 if size <= 1 << 16 else 4
         self.kind, self.code = f"<u{self.width}", {2: "H", 4: "I"}[self.width]
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.known = C.Memory()
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tried = self.short = False
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "\0"
         self.ends_word = np.zeros(size, bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
@@ -89,28 +94,42 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [(t if b"<|" in t else _MARK.sub(rb" \1", t.lower())).split() for t in texts]
-        words = set().union(*split)
-        missing = list(words.difference(self.known))
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known = {}
-            missing = list(words)
         known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        # Ids of known words, None for others, whose places are filled when they are encoded.
+        parts = [list(map(known.get, words)) for words in split]
+        gaps = [[i for i, p in enumerate(part) if p is None] if None in part else () for part in parts]
+        missing = list({words[i] for words, gap in zip(split, gaps, strict=True) for i in gap})
         for i in range(0, len(missing), 8192):
             known.update(self._encode_words(missing[i : i + 8192]))
-        out = [b"".join(map(known.__getitem__, words)) + self.end for words in split]
+        for words, part, gap in zip(split, parts, gaps, strict=True):
+            for i in gap:
+                part[i] = known[words[i]]
+        out = [b"".join(part) + self.end for part in parts]
         for w in missing:
             if len(w) > LONGEST:
                 del known[w]
         return out
 
     def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids of each word.  Words of letters only are encoded in one text: each ends in the one token that ends a word."""
+        """Ids of each word.
+
+        Lower-case words of letters only need no normalising and are one piece each, so they are encoded in one
+        text by the bare model, where each ends in the one token that ends a word.
+        """
         read = [w.decode("utf-8", "replace") for w in words]
-        plain = [t.lower().isalpha() for t in read]
+        plain = [t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t) for t in read]
         together = [w for w, p in zip(words, plain, strict=True) if p]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for t, p in zip(read, plain, strict=True) if p)], add_special_tokens=False)[0].ids, self.kind)
+        text = " ".join(t for t, p in zip(read, plain, strict=True) if p)
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
         ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.width
-        if len(ends) == len(together):
+        if not self.tried and together:
+            # Once, on the first words: the short way must give what the whole tokenizer gives.
+            self.tried = True
+            whole = self.tokenizer.encode(text, add_special_tokens=False).ids
+            self.short = len(ends) == len(together) and whole == ids.tolist()
+        if self.short and len(ends) == len(together):
             raw = ids.tobytes()
             at = 0
             for w, end in zip(together, ends.tolist(), strict=True):
@@ -151,6 +170,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, end_id)
+        encoder.known.claim()
         for batch in batches:
             ids = encoder.encode(C.texts(batch.column(1)))
             keys = hilbert_key(encoder.points(ids)) if ids else np.zeros(0, np.int64)

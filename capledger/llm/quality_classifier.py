@@ -77,7 +77,7 @@ def fit_labellers(votes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
 _SHAPE = bytes.maketrans(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(48, 58)), b"A" * 26 + b"a" * 26 + b"0" * 10)
 
 
-class _Slots(dict):
+class _Slots(C.Memory):
     """Slots of a word: of its shape (letters and digits folded, runs cut to two) and of its lower-cased form."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
@@ -101,6 +101,7 @@ def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
     Values have unit length, or less for texts of few words, whose scores so stay near the middle.
     """
+    _SLOTS.claim()
     words = text.split()
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
