@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -118,3 +119,42 @@ def profile(docs: DataFrame) -> DataFrame:
 def severities(anomalies: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by severity, a column for each."""
     return anomalies.groupBy(*keys).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+
+
+def summary_index(docs: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """company, shape, events, investors, high_confidence and counts of anomalies by severity of each document."""
+    s = K.structured(docs)
+    parties = F.aggregate(F.transform("events", lambda e: F.greatest(F.coalesce(F.size(F.from_json(F.get_json_object(e, "$.investors"), "array<string>")), F.lit(0)), F.lit(0))), F.lit(0), lambda a, x: a + x)
+    sure = F.size(F.filter("events", lambda e: F.coalesce(F.get_json_object(e, "$.confidence") == "high", F.lit(False))))
+    counts = severities(anomalies, ["company"])
+    told = s.select("company", "shape", F.size("events").cast("long").alias("events"), parties.cast("long").alias("investors"), sure.cast("long").alias("high_confidence"))
+    return told.join(counts, "company", "left").na.fill(0, list(SEVERITIES))
+
+
+def review(docs: DataFrame) -> DataFrame:
+    """company, i (event, from 0), rule: the reviewer's rules that need no reader.
+
+    sum: investors' amounts against the total; price: price times shares against the amount; order: an event_order
+    not above the one before; uncertain: an investor of unclear kind; peers: an amount missing among disclosed ones.
+    """
+    s = K.structured(docs)
+    events = s.select("company", F.posexplode("events").alias("i", "e"))
+    number = lambda c, k: F.get_json_object(c, f"$.{k}").try_cast("double")
+    parties = F.coalesce(F.from_json(F.get_json_object("e", "$.investors"), "array<string>"), F.array().cast("array<string>"))
+    events = events.select("company", F.col("i").cast("long").alias("i"), parties.alias("p"), number(F.col("e"), "total_investment_amount").alias("total"), number(F.col("e"), "share_price").alias("price"), number(F.col("e"), "event_order").alias("order"))
+    events = events.withColumn("before", F.lag("order").over(W.partitionBy("company").orderBy("i")))
+    amounts = F.transform("p", lambda x: number(x, "investment_amount"))
+    paid = F.aggregate(F.array_compact(amounts), F.lit(0.0), lambda a, x: a + x)
+    off = F.exists("p", lambda x: F.coalesce(F.abs(F.col("price") * number(x, "shares_acquired") - number(x, "investment_amount")) > F.greatest(F.lit(1.0), number(x, "investment_amount") * 0.01), F.lit(False)))
+    rules = {
+        "sum": (F.col("total") > 0) & (paid > 0) & (F.abs(F.col("total") - paid) > 1), "price": off, "order": F.col("order") <= F.col("before"), "uncertain": F.exists("p", lambda x: F.coalesce(F.get_json_object(x, "$.is_pevc") == "uncertain", F.lit(False))),
+        "peers": F.exists(amounts, lambda x: x.isNull()) & F.exists(amounts, lambda x: x.isNotNull()),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
+    return events.select("company", "i", F.explode(found).alias("rule"))
+
+
+def spread(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """metric, least, median and most of each column, from one aggregate."""
+    parts = [F.struct(F.lit(m).alias("metric"), F.min(m).cast("double").alias("least"), F.median(m).cast("double").alias("median"), F.max(m).cast("double").alias("most")) for m in metrics]
+    return df.agg(F.array(*parts).alias("x")).select(F.inline("x"))

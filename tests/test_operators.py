@@ -310,3 +310,14 @@ def test_attempts(spark):
     files = frame(spark, "path string, content binary, length long", ("a", b"%PDF-1.4", 2 << 20), ("b", b"<html>", 10))
     assert rows(A.attempt_log(files), "path", "status", "size_mb") == [("a", "success", 2.0), ("b", "failed", 0.0)]
     assert rows(files.select("path", A.file_accepted(F.col("content"), F.col("length")))) == [("a", True), ("b", False)]
+
+
+def test_index_review_and_spread(spark):
+    one, two = document(total_investment_amount=13.0, event_order=2), document(share_price=2.0, event_order=2)
+    two["financing_events"][0]["investors"] = [dict(two["financing_events"][0]["investors"][0], shares_acquired=9.0, is_pevc="uncertain"), {"investment_amount": None}]
+    doc = one | {"financing_events": one["financing_events"] + two["financing_events"]}
+    docs = docs_of(spark, d=doc, e={"x": 1})
+    assert rows(N.review(docs), "i", "rule") == [(0, "sum"), (1, "order"), (1, "peers"), (1, "price"), (1, "uncertain")]
+    index = {r["company"]: r for r in N.summary_index(docs, N.profile(docs)).collect()}
+    assert (index["d"]["shape"], index["d"]["events"], index["d"]["investors"], index["d"]["high_confidence"]) == ("structured_flat", 2, 3, 2) and index["e"]["critical"] == 2
+    assert rows(N.spread(frame(spark, "a int", (1,), (5,), (2,)), ["a"])) == [("a", 1.0, 2.0, 5.0)]

@@ -119,3 +119,22 @@ def test_results_do_not_depend_on_partitions(spark):
             df = Q.QUERIES[name](spark, sf)
             seen.append(df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.count(F.lit(1))).first())
         assert seen[0] == seen[1], name
+
+
+def test_command_line(spark, tmp_path):
+    from capledger.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    record = {"record_type": "subscription_flow", "company_name": "公司", "stock_code": "688001", "source_page": "1", "subscription_date": "2020-01", "subscriber_name": "甲", "evidence_text": "原文" * 12}
+    (tmp_path / "in" / "c.jsonl").write_text(json.dumps(record, ensure_ascii=False), encoding="utf-8")
+    assert main(["validate", str(tmp_path / "in"), str(tmp_path / "out")]) == 0
+    (tmp_path / "in" / "d.jsonl").write_text(json.dumps(record | {"source_page": ""}, ensure_ascii=False), encoding="utf-8")
+    assert main(["validate", str(tmp_path / "in"), str(tmp_path / "out")]) == 1
+    log = spark.read.option("header", True).csv(str(tmp_path / "out" / "schema_log"))
+    assert log.where("company = 'd' and check_type = 'required_source_page'").count() == 1
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "甲.md").write_text("# 历史沿革\n" + "x" * 150, encoding="utf-8")
+    assert main(["documents", str(tmp_path / "texts"), str(tmp_path / "d")]) == 0 and main(["batch", str(tmp_path / "texts"), str(tmp_path / "b")]) == 0
+    (tmp_path / "json" / "k").mkdir(parents=True)
+    (tmp_path / "json" / "k" / "x.json").write_text('{"company": {}, "financing_events": []}')
+    assert main(["verify", str(tmp_path / "json" / "*"), str(tmp_path / "v")]) == 0 and main(["profile", str(tmp_path / "json" / "*"), str(tmp_path / "p")]) == 0
