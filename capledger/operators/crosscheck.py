@@ -169,3 +169,8 @@ def file_verdict(issues: DataFrame, files: DataFrame, key: str = "company") -> D
     """FAIL for files with a critical issue (column critical), WARN for those with any, else PASS."""
     told = issues.groupBy(key).agg(F.bool_or("critical").alias("_critical"), F.count(F.lit(1)).alias("issues"))
     return files.join(told, key, "left").select(*files.columns, F.coalesce("issues", F.lit(0)).cast("long").alias("issues"), F.when(F.col("_critical"), "FAIL").when(F.col("issues") > 0, "WARN").otherwise("PASS").alias("verdict"))
+
+
+def differences(log: DataFrame, most: int = 5) -> DataFrame:
+    """The first rows of a log, by company and size of the difference, whose difference is not 0."""
+    return log.where(nonzero(F.col("difference"))).orderBy("company", F.abs("difference").desc(), "shareholder_name", "snapshot_date_to").limit(most)

@@ -86,6 +86,7 @@ def workbook(flows: DataFrame, snapshots: DataFrame, cross: DataFrame, company:
 
 def manifest(companies: DataFrame, downloads: DataFrame, exclusions: tuple[str, ...]) -> DataFrame:
     """One JSON text with the companies, the downloads and the words that exclude a title."""
-    some = companies.agg(F.array_sort(F.collect_list(F.struct(*companies.columns))).alias("companies"))
-    got = downloads.agg(F.array_sort(F.collect_list(F.struct(*downloads.columns))).alias("downloads"))
-    return some.join(got).select(F.to_json(F.struct("companies", "downloads", F.array(*[F.lit(x) for x in exclusions]).alias("exclusions"))).alias("json"))
+    # Both sides are one row.
+    some = companies.agg(F.lit(1).alias("_k"), F.array_sort(F.collect_list(F.struct(*companies.columns))).alias("companies"))
+    got = downloads.agg(F.lit(1).alias("_k"), F.array_sort(F.collect_list(F.struct(*downloads.columns))).alias("downloads"))
+    return some.join(got, "_k").select(F.to_json(F.struct("companies", "downloads", F.array(*[F.lit(x) for x in exclusions]).alias("exclusions"))).alias("json"))

@@ -66,6 +66,11 @@ def test_price_check_of_known_values(spark):
     assert got == {"甲": (-0.028, "PASS"), "乙": (16.225, X.REVIEW)}
 
 
+def test_differences_are_the_largest_first(spark):
+    flows = frame(spark, FLOW, ("c", 1, "2020-01", "甲", 840.0, 7000.0, 8.3333), ("c", 2, "2020-01", "乙", 321.5, 1723.09, 5.41), ("c", 3, "2020-01", "丙", 2.0, 4.0, 2.0))
+    assert [r["shareholder_name"] for r in X.differences(X.check_price(flows)).collect()] == ["乙", "甲"]
+
+
 def snapshots(spark):
     return frame(
         spark, SNAP, ("c", 1, "2020-01", "设立后", 100.0, 10.0, "甲", 60.0, 6.0), ("c", 2, "2020-01", "设立后", 100.0, 10.0, "乙", 40.0, 4.0), ("c", 3, "2021-01", "增资后", 150.0, 15.0, "甲", 60.0, 6.0),

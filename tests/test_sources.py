@@ -55,6 +55,11 @@ def test_sinks(spark, tmp_path):
     assert len(sinks.padded_company_list(spark.createDataFrame([("1",)], "stock_code string")).columns) == 20
 
 
+def test_manifest_holds_both_sides(spark):
+    companies, downloads = (spark.createDataFrame([(c,)], f"{n} string") for n, c in (("stock_code", "1"), ("path", "x")))
+    assert json.loads(sinks.manifest(companies, downloads, ("a", "b")).first()["json"]) == {"companies": [{"stock_code": "1"}], "downloads": [{"path": "x"}], "exclusions": ["a", "b"]}
+
+
 def test_pdf_hook_falls_back_and_reports(spark):
     files = spark.createDataFrame([("a", b"x"), ("b", b"y"), ("c", b"z")], "path string, content binary")
 
