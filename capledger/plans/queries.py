@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -132,8 +133,8 @@ def q11_constancy_check(spark, sf_dir):
     return _totals(spark, sf_dir).select("l_orderkey", "flags", F.when(F.col("flags") > 1, "mixed").otherwise("single").alias("kind"))
 
 
-def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.consecutive(_events(spark, sf_dir).withColumn("company", F.col("user_id") % 50), ["company"], ["day"])
+def _of_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).withColumn("company", F.col("user_id") % 50)
 
 
 _DAILY = f"(SELECT *, user_id % 50 AS company, dense_rank() OVER (PARTITION BY user_id % 50 ORDER BY day) AS step FROM {_EVENTS})"
@@ -141,7 +142,8 @@ _DAILY = f"(SELECT *, user_id % 50 AS company, dense_rank() OVER (PARTITION BY u
 
 @query(f"SELECT a.company, b.step, a.day AS day_from, b.day AS day_to FROM (SELECT DISTINCT company, step, day FROM {_DAILY}) a JOIN (SELECT DISTINCT company, step, day FROM {_DAILY}) b ON a.company = b.company AND b.step = a.step + 1")
 def q12_adjacent_snapshots(spark, sf_dir):
-    days = _daily(spark, sf_dir).select("company", "step", "day").distinct()
+    # Steps are numbered after the rows of a day are one, so a company's events do not meet in a task.
+    days = S.consecutive(_of_companies(spark, sf_dir).select("company", "day").distinct(), ["company"], ["day"])
     before = days.select("company", (F.col("step") + 1).alias("step"), F.col("day").alias("day_from"))
     return days.withColumnRenamed("day", "day_to").join(before, ["company", "step"]).select("company", "step", "day_from", "day_to")
 
@@ -152,7 +154,8 @@ _HELD = f"(SELECT company, step, event_type AS holder, count(*) AS held FROM {_D
 @query(f"""WITH h AS {_HELD}, last AS (SELECT company, max(step) AS m FROM h GROUP BY company), p AS (SELECT h.company, step + 1 AS step, holder, held AS previous FROM h JOIN last ON h.company = last.company WHERE step < m), c AS (SELECT company, step, holder, held AS current FROM h WHERE step > 1)
 SELECT company, step, holder, previous, current, CASE WHEN current IS NULL THEN '退出' WHEN previous IS NULL THEN '新增' WHEN current < previous THEN '稀释' WHEN current = previous THEN '保持' ELSE '增持' END AS change FROM p FULL OUTER JOIN c USING (company, step, holder)""")
 def q13_snapshot_diff(spark, sf_dir):
-    held = _daily(spark, sf_dir).groupBy("company", "step", F.col("event_type").alias("holder")).agg(F.count(F.lit(1)).alias("held"))
+    held = _of_companies(spark, sf_dir).groupBy("company", "day", F.col("event_type").alias("holder")).agg(F.count(F.lit(1)).alias("held"))
+    held = S.consecutive(held, ["company"], ["day"])
     pairs = X.diff_snapshots(held, ["company"], "holder", "held")
     return pairs.select("company", "step", "holder", "previous", "current", X.change_status(F.col("previous"), F.col("current"), F.col("was"), F.col("is")).alias("change"))
 
@@ -182,10 +185,8 @@ def q16_first_later_match(spark, sf_dir):
 s AS (SELECT d.company, d.step, d.day, d.total - lag(d.total) OVER (PARTITION BY d.company ORDER BY d.step) AS delta FROM d)
 SELECT s.company, s.step, round(s.delta, 2) AS delta, round(f.subscribed, 2) AS subscribed, CASE WHEN abs(f.subscribed - s.delta) > 0.01 THEN '待复核' ELSE 'PASS' END AS status FROM s ASOF LEFT JOIN f ON s.company = f.company AND s.day >= f.day WHERE s.step > 1 AND f.subscribed > 0""")
 def q17_delta_vs_flow(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    daily = _daily(spark, sf_dir)
-    totals = daily.groupBy("company", "step").agg(F.min("day").alias("day"), F.sum("value").alias("total"))
+    daily = _of_companies(spark, sf_dir)
+    totals = S.consecutive(daily.groupBy("company", "day").agg(F.sum("value").alias("total")), ["company"], ["day"])
     steps = totals.withColumn("delta", F.col("total") - F.lag("total").over(W.partitionBy("company").orderBy("step")))
     bought = daily.where("event_type = 'purchase' and value <> 0").groupBy("company", "day").agg(F.sum("value").alias("subscribed"))
     met = S.as_of(steps.where("step > 1"), bought, ["company"], "day", "subscribed", "subscribed").where("subscribed > 0")
@@ -271,8 +272,6 @@ def q24_clean_text(spark, sf_dir):
 @query(r"""WITH h AS (SELECT regexp_extract(url, '/([a-z]{2})/', 1) AS lang, page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS entry FROM pages), f AS (SELECT * FROM h WHERE entry <> '' QUALIFY row_number() OVER (PARTITION BY lang, entry ORDER BY page_id) = 1)
 SELECT lang, entry, row_number() OVER (PARTITION BY lang ORDER BY page_id) AS entry_no FROM f""")
 def q25_toc(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     heads = _t(spark, sf_dir, "pages").select(F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"), "page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("entry")).where("entry <> ''")
     return S.keep_first(heads, ["lang", "entry"], ["page_id"]).select("lang", "entry", F.row_number().over(W.partitionBy("lang").orderBy("page_id")).cast("long").alias("entry_no"))
 
