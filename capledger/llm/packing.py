@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from . import _common as C
 
@@ -26,7 +27,9 @@ LENGTH, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
 #: Dimensions of the projection and bits of each in the Hilbert key.
 DIMS, BITS = 4, 12
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 400_000, 64
+#: Bytes of texts that are split into words at a time.
+AT_A_TIME = 1 << 20
 _MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
@@ -59,6 +62,35 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key.astype(np.int64)
 
 
+#: Ends a word in the short way; no UTF-8 text holds this byte.
+_END = b"\xff"
+
+
+def short_way(tokenizer: Tokenizer) -> Callable[[bytes], list[int]] | None:
+    """Ids of one piece by a faster merge of the same vocabulary, or None where the vocabulary is not of that kind.
+
+    It is for byte-level pair encodings with word ends whose tokens' ids rise in the order of the merges.  Then a
+    token is named by its bytes, its word end by _END, and the pair that merges next is the one of least id.
+    """
+    told = json.loads(tokenizer.to_str())
+    model, added = told["model"], {t["content"] for t in told["added_tokens"]}
+    suffix, vocab = model.get("end_of_word_suffix"), model.get("vocab")
+    if model.get("type") != "BPE" or not suffix:
+        return None
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    # Byte-level vocabularies write printable bytes as themselves and the others, in order, from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    try:
+        ranks = {bytes(byte_of[c] for c in t.removesuffix(suffix)) + _END * t.endswith(suffix): i for t, i in vocab.items() if t not in added}
+    except KeyError:
+        return None
+    ends = max(ranks.get(bytes([b]) + _END, 1 << 62) for b in range(255))
+    if any(a >= b for a, b in zip([ends, *merged], merged, strict=False)) or any(bytes([b]) not in ranks for b in range(256)):
+        return None
+    return tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 @functools.lru_cache(2)
 def encoder_of(path: str, end_id: int) -> Encoder:
     """A worker's encoder, which later tasks of the worker find with its words."""
@@ -80,19 +112,27 @@ class Encoder:
         size = max(self.tokenizer.get_vocab_size(), end_id + 1)
         self.width = 2 if size <= 1 << 16 else 4
         self.kind, self.code = f"<u{self.width}", {2: "H", 4: "I"}[self.width]
+        self.packs = [struct.Struct(f"<{n}{self.code}").pack for n in range(32)]
         self.end = np.array([end_id], self.kind).tobytes()
         self.known = C.Memory()
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.tried = self.short = False
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "\0"
-        self.ends_word = np.zeros(size, bool)
-        self.ends_word[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self.short, self.tried = short_way(self.tokenizer), False
         # A token's direction in the projection comes from a hash of its id.
         h = C.mix64(np.arange(size, dtype=np.uint64)[:, None] * np.uint64(DIMS) + np.arange(DIMS, dtype=np.uint64))
         self.direction = np.where(h >> np.uint64(63) > 0, 1.0, -1.0).astype(np.float32)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text; texts are taken some at a time, as a text's words take ten times its room."""
+        out: list[bytes] = []
+        some, size = [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size > AT_A_TIME:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         split = [(t if b"<|" in t else _MARK.sub(rb" \1", t.lower())).split() for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
@@ -115,31 +155,37 @@ class Encoder:
     def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of each word.
 
-        Lower-case words of letters only need no normalising and are one piece each, so they are encoded in one
-        text by the bare model, where each ends in the one token that ends a word.
+        Lower-case words of letters only need no normalising and are one piece each: they take the short way, if
+        there is one.  The first words that do are held against the whole tokenizer.
         """
-        read = [w.decode("utf-8", "replace") for w in words]
-        plain = [t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t) for t in read]
-        together = [w for w, p in zip(words, plain, strict=True) if p]
-        text = " ".join(t for t, p in zip(read, plain, strict=True) if p)
-        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.width
-        if not self.tried and together:
-            # Once, on the first words: the short way must give what the whole tokenizer gives.
-            self.tried = True
-            whole = self.tokenizer.encode(text, add_special_tokens=False).ids
-            self.short = len(ends) == len(together) and whole == ids.tolist()
-        if self.short and len(ends) == len(together):
-            raw = ids.tobytes()
-            at = 0
-            for w, end in zip(together, ends.tolist(), strict=True):
-                yield w, raw[at:end]
-                at = end
+        rest = []
+        short = self.short
+        if short is not None:
+            plain = []
+            for w in words:
+                # Letters of ASCII are lower-case here, but where the text may hold a special token.
+                if w.isalpha() and w.islower():
+                    plain.append(w)
+                    continue
+                t = w.decode("utf-8", "replace")
+                (plain if t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t) else rest).append(w)
+            if plain and not self.tried:
+                self.tried = True
+                some = plain[:2048]
+                whole = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+                if any(short(w + _END) != e.ids for w, e in zip(some, whole, strict=True)):
+                    short = self.short = None
+        if short is None:
+            rest = words
         else:
-            plain = [False] * len(words)
-        rest = [(w, t) for w, t, p in zip(words, read, plain, strict=True) if not p]
-        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
-            yield w, struct.pack(f"<{len(e.ids)}{self.code}", *e.ids)
+            for w in plain:
+                ids = short(w + _END)
+                yield w, self.packed(ids)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
+            yield w, self.packed(e.ids)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return self.packs[len(ids)](*ids) if len(ids) < len(self.packs) else np.array(ids, self.kind).tobytes()
 
     def points(self, ids: list[bytes]) -> np.ndarray:
         """Each document's hashed vector, projected, as a point with BITS bits a coordinate."""
@@ -228,7 +274,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             close(pieces)
         yield rows()
 
-    encoded = C.materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(encode, f"doc_id {kind}, key long, width int, ids binary"))
+    encoded = C.materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(encode, f"doc_id {kind}, key long, width int, ids binary"), scan=True)
     tie = F.xxhash64("ids")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = encoded.withColumn("tie", tie).repartitionByRange(parts, "key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie")

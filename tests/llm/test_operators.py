@@ -438,6 +438,19 @@ def test_encoder_equals_the_tokenizer_on_odd_words():
         assert np.frombuffer(raw, encoder.kind).tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_the_short_way_equals_the_tokenizer_on_words(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path(packing.VOCABULARY)))
+    short = packing.short_way(tokenizer)
+    random.seed(9)
+    words = {w for r in documents.collect() for w in LOWER(r["text"]).split() if w.isalpha() and w == w.lower()}
+    words |= {"".join(random.choice("etaoinshrdlucmfwypvbgkqjxzéüßñ") for _ in range(random.randint(1, 25))) for _ in range(20_000)} | {"a" * n for n in range(1, 60)}
+    for w in words:
+        assert short(w.encode() + packing._END) == tokenizer.encode(w, add_special_tokens=False).ids, w
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_neighbours_are_neighbours(dims, bits):
     points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
