@@ -21,6 +21,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch.  Texts can be long, so a batch is kept well below Spark's default.
 BATCH_ROWS = 1000
 _MASK = (1 << 64) - 1
+#: Tasks for each core of a scan that writes a narrow table.
+TASKS_A_CORE = 4
 
 
 class Memory(dict):
@@ -62,13 +64,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, scan: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    It cuts the lineage, survives the loss of executors, and keeps later reads columnar.
+    It cuts the lineage, survives the loss of executors, and keeps later reads columnar.  With scan, df is made of
+    one scan without a shuffle and is narrower than what it reads: its splits are joined to TASKS_A_CORE tasks a
+    core at most, so that the table has no more small files than the cluster can write at a time.
     The folder belongs to the application and goes with cleanup().
     """
     spark = df.sparkSession
+    if scan:
+        df = df.coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark).rstrip('/')}/capledger/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     few whatever the input, meet their rows by broadcast, so no task gets a whole large group.
     """
     C.prepare(docs.sparkSession)
-    keyed = C.materialize(docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"))).withColumn("h", F.xxhash64("text_sha256"))
+    keyed = C.materialize(docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256")), scan=True).withColumn("h", F.xxhash64("text_sha256"))
     n = keyed.count()
     maybe = _repeat_filter(keyed.select("h"), n)
     flagged = keyed.select("doc_id", "text_sha256", maybe("h").alias("maybe"))
@@ -69,7 +69,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     C.prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = C.materialize(docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"))).withColumn("h", F.xxhash64("sha"))
+    keyed = C.materialize(docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha")), scan=True).withColumn("h", F.xxhash64("sha"))
     maybe = _repeat_filter(keyed.select("h"), keyed.count())
     groups = keyed.where(maybe("h")).groupBy("sha").agg(F.max("id").alias("keep"))
     sha = "_sha_of_text"

@@ -45,7 +45,7 @@ def _source_key(c: Column) -> Column:
 def _fair_queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], epochs: int) -> tuple[DataFrame, int]:
     """The documents with their source's size and target and the source's words up to their end; their number."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(C.WORD)).cast("long")
-    sized = C.materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")))
+    sized = C.materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), scan=True)
     n = sized.count()
     targets = source_targets(sized, weights, epochs).select(_source_key(F.col("source")).alias("key"), "source_size", "target")
     parts = max(1, -(-n // ROWS_IN_ORDER))

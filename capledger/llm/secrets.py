@@ -69,7 +69,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("more", F.filter("more", lambda s: mixed(s["value"]) & ~covered(s, F.col("base"))))
     count = lambda i: F.size(F.filter("base", lambda s: s["rank"] == i)).cast("long")
     # One pass over the texts; from here on rows hold spans in place of texts.
-    rows = C.materialize(rows.select("doc_id", "owner", "repo", "digest", *[count(i).alias(f"n_{k[0]}") for i, k in enumerate(KINDS)], "base", "more"))
+    rows = C.materialize(rows.select("doc_id", "owner", "repo", "digest", *[count(i).alias(f"n_{k[0]}") for i, k in enumerate(KINDS)], "base", "more"), scan=True)
     has = (F.size("base") > 0) | (F.size("more") > 0)
     digest = lambda base: F.sha2(_show(base), 256).alias("base_sha256")
     empty = rows.where(~has).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
