@@ -117,8 +117,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> np.n
     if not len(target):
         weights[-1] = 1.0
         return weights
-    at = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
-    slot, value = np.concatenate([s for s, _ in rows]), np.concatenate([v for _, v in rows]).astype(float)
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(s) for s, _ in rows])
+    slot, value = np.concatenate([s for s, _ in rows]), np.concatenate([v for _, v in rows])
     # Both classes count alike, whatever their shares.
     share = np.clip(target.mean(), 0.02, 0.98)
     scale = target / share * 0.5 + (1 - target) / (1 - share) * 0.5
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_tr
     Vote patterns are counted over all rows; there are at most 3 ** labellers of them.  The scorer is trained on
     the posteriors of at most most_training texts, those with the smallest hash.
     """
-    votes = C.materialize(with_stats(docs, id_col, text_col).select("doc_id", *NAMES).select("doc_id", *labellers()))
+    votes = C.materialize(with_stats(docs, id_col, text_col).select("doc_id", *NAMES).select("doc_id", *labellers()), scan=True)
     patterns = votes.groupBy(*LABELLERS).count().collect()
     seen = np.array([tuple(r)[:-1] for r in patterns], int).reshape(-1, len(LABELLERS))
     posterior = fit_labellers(seen, np.array([r["count"] for r in patterns], float))[0] if len(seen) else np.zeros(0)
@@ -157,9 +157,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_tr
     # Equal texts fall together by hash: the sample has distinct texts, each with the votes of its own statistics.
     distinct = some.groupBy("h").agg(F.min("text").alias("text"))
     stats = with_stats(distinct, "h", "text").select("doc_id", *labellers()).withColumnRenamed("doc_id", "h")
-    rows = distinct.mapInArrow(features, "h long, slot binary, value binary").join(stats, "h").orderBy("h").limit(most_training).collect()
-    data = [(np.frombuffer(r["slot"], np.int32), np.frombuffer(r["value"], np.float32)) for r in rows]
-    target = np.array([by_pattern[tuple(r[n] for n in LABELLERS)] for r in rows])
+    rows = distinct.mapInArrow(features, "h long, slot binary, value binary").join(stats, "h").orderBy("h").limit(most_training).toArrow()
+    data = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for s, v in zip(rows.column("slot").to_pylist(), rows.column("value").to_pylist(), strict=True)]
+    target = np.array([by_pattern[v] for v in zip(*[rows.column(n).to_pylist() for n in LABELLERS], strict=True)])
+    del rows
     return train(data, target), by_pattern, votes
 
 

@@ -100,11 +100,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     base rule (labels: doc_id, quality; 0 is bad, null labels are left out); without labels it is empty.
     A null text counts as empty.  Repeated rows each give a row; other columns are not read.
     """
-    stats = C.materialize(with_stats(docs, id_col, text_col))
+    stats = C.materialize(with_stats(docs, id_col, text_col), scan=True)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     told = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = stats.where(~failed).join(told, "doc_id").select(F.xxhash64("doc_id").alias("h"), (F.col("quality") == 0).alias("bad"), *features())
-    rows = np.array([tuple(r)[1:] for r in sample.orderBy("h", *sample.columns[1:]).limit(most_training).collect()], float).reshape(-1, 1 + len(RATIOS))
+    rows = sample.orderBy("h", *sample.columns[1:]).limit(most_training).drop("h").toArrow()
+    rows = np.stack([c.to_numpy().astype(float) for c in rows.columns], 1)
     rules = learn(rows[:, 1:], rows[:, 0] > 0)
     number, reason = verdict(rules)
     judged = stats.select("doc_id", *NAMES, *features()).select("doc_id", *BASE, failed.alias("base_failed"), number.cast("long").alias("rule"), reason.alias("reason"))
