@@ -9,6 +9,8 @@ from . import _common as C
 
 #: Rounds after which something must be wrong: each at least halves the length of the longest chain.
 MOST_ROUNDS = 64
+#: Links in a file of a round's table.
+LINKS_IN_FILE = 200_000
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,21 +18,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star rounds (Kiveris et al., 2014): every node hands its larger neighbours, then its
     smaller ones, to the smallest node that it knows, until nothing changes.  Each round is two pre-aggregated
-    minima and two joins on tables in the shared folder, and all links of a node are never in one row.
+    minima and two joins, and ends in a table in the shared folder; all links of a node are never in one row.
     """
-    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = C.materialize(edges)
+    edges = C.materialize(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = C.materialize(large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        # Both uses of large read one exchange.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = C.materialize(small.where("u <> v").distinct())
-        # Both kinds of star keep the components; when the links are stars around the least node they stop changing.
+        small = small.where("u <> v").distinct()
+        # Files of a fair size: links get fewer from round to round, partitions of a shuffle do not.
+        edges = C.materialize(small if before is None else small.coalesce(max(1, -(-before[0] // LINKS_IN_FILE))))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # Both kinds of star keep the components; when the links are stars around the least node they stop changing.
         if now == before:
             break
         before = now

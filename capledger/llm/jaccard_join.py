@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,9 @@ SPARE_SHARE, SPARE = 15, 8
 #: Seeds of signatures that are tried.
 MOST_SEEDS = 16
 #: Shingles of a block of sets that one tree holds, on average; larger groups are joined block by block.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class _Hashes(C.Memory):
@@ -69,7 +70,7 @@ def set_key(sid: bytes) -> int:
 class PrefixTree:
     """A compressed trie of sets, each as its elements in one global order (most frequent first).
 
-    Nodes are in breadth-first order.  A node's elements are flat[start:end]; depth is the elements down to its
+    Nodes are in the order of a walk, which enters and leaves each.  A node's elements are flat[start:end]; depth is the elements down to its
     end, last the rank of its last element, least and most the sizes of the sets below it, and leaf the set that
     ends there, or -1.
     """
@@ -123,23 +124,35 @@ class PrefixTree:
         self._layout(np.array(start), np.array(end), np.array(parent), np.array(depth), np.array(leaf), np.concatenate(flat) if flat else np.zeros(0, np.int64))
 
     def _layout(self, start, end, parent, depth, leaf, flat) -> None:
-        level = np.zeros(len(start), np.int64)
-        up = parent.copy()
-        while (up >= 0).any():
-            level += up >= 0
-            up = np.where(up >= 0, parent[up], -1)
-        order = np.argsort(level, kind="stable")
-        new = np.empty(len(order), np.int64)
-        new[order] = np.arange(len(order))
+        n = len(start)
+        children: list[list[int]] = [[] for _ in range(n)]
+        stack = []
+        for i, p in enumerate(parent.tolist()):
+            (children[p] if p >= 0 else stack).append(i)
+        # One walk down and up: where it enters a node and where it leaves it.
+        order, enter, leave = [], np.zeros(n, np.int64), np.zeros(n, np.int64)
+        at = 0
+        while stack:
+            i = stack.pop()
+            if i < 0:
+                leave[~i] = at
+            else:
+                enter[i] = at
+                order.append(i)
+                stack.append(~i)
+                stack += children[i]
+            at += 1
+        order = np.array(order, np.int64)
         self.start, self.end, self.depth, self.leaf, self.flat = start[order], end[order], depth[order], leaf[order], flat
-        self.parent = np.where(parent[order] >= 0, new[parent[order]], -1)
-        self.levels = np.split(np.arange(len(order)), np.flatnonzero(np.diff(level[order])) + 1) if len(order) else []
-        self.least = np.where(self.leaf >= 0, self.depth, np.iinfo(np.int64).max)
-        self.most = np.where(self.leaf >= 0, self.depth, 0)
-        for nodes in self.levels[:0:-1]:
-            np.minimum.at(self.least, self.parent[nodes], self.least[nodes])
-            np.maximum.at(self.most, self.parent[nodes], self.most[nodes])
-        self.last = self.flat[self.end - 1] if len(self.flat) else np.zeros(0, np.int64)
+        self.enter, self.leave = enter[order], leave[order]
+        self.least, self.most = np.where(self.leaf >= 0, self.depth, np.iinfo(np.int64).max), np.where(self.leaf >= 0, self.depth, 0)
+        place = {int(i): k for k, i in enumerate(order)}
+        up = np.array([place[p] if p >= 0 else -1 for p in parent[order].tolist()], np.int64)
+        for i in range(n - 1, -1, -1):
+            if up[i] >= 0:
+                self.least[up[i]] = min(self.least[up[i]], self.least[i])
+                self.most[up[i]] = max(self.most[up[i]], self.most[i])
+        self.last = self.flat[self.end - 1] if n else np.zeros(0, np.int64)
 
     def ranks(self, s: np.ndarray) -> np.ndarray:
         """Ranks of those elements of a set that the tree has."""
@@ -150,35 +163,35 @@ class PrefixTree:
     def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
         """Sets of the tree that link to s.
 
-        Level by level, a node adds its own overlap to its parent's.  A subtree is left when none of its sizes
-        can reach the similarity: with all that is left of its largest set, or with all that is left of s for
-        its smallest.
+        A node adds its own overlap to its parent's: a running sum along the walk, which takes a node's part back
+        where it leaves it.  A subtree is left when none of its sizes can reach the similarity: with all that is
+        left of its largest set, or with all that is left of s for its smallest.
         """
         n = len(s)
+        if not len(self.start):
+            return np.zeros(0, np.int64)
         mine = self.ranks(s)
         has = np.zeros(len(self.vocabulary), np.int32)
         has[mine] = 1
-        upto = np.concatenate([[0], np.cumsum(has[self.flat])])
-        seen = np.cumsum(has)
-        overlap = np.zeros(len(self.start), np.int64)
-        alive = np.zeros(len(self.start), bool)
-        found = []
-        for k, nodes in enumerate(self.levels):
-            if k:
-                nodes = nodes[alive[self.parent[nodes]]]
-                if not len(nodes):
-                    break
-            o = upto[self.end[nodes]] - upto[self.start[nodes]] + (overlap[self.parent[nodes]] if k else 0)
-            overlap[nodes] = o
-            least, most = self.least[nodes], self.most[nodes]
-            ok = (most * 100 >= n * percent) & (least * percent <= n * 100)
-            ok &= (o + most - self.depth[nodes]) * (100 + percent) >= percent * (n + most)
-            ok &= (o + n - seen[self.last[nodes]] - (n - len(mine))) * (100 + percent) >= percent * (n + least)
-            alive[nodes] = ok
-            ends = nodes[ok & (self.leaf[nodes] >= 0)]
-            size, both = self.depth[ends], overlap[ends]
-            found.append(self.leaf[ends[both * 100 >= percent * (n + size - both)]])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+        upto = np.zeros(len(self.flat) + 1, np.int32)
+        np.cumsum(has[self.flat], out=upto[1:])
+        own = upto[self.end] - upto[self.start]
+        overlap = self._along(own)
+        # Elements of s that stand after a node's last in the order: its own, and those that the tree lacks.
+        left = n - np.cumsum(has)[self.last] - (n - len(mine))
+        ok = (self.most * 100 >= n * percent) & (self.least * percent <= n * 100)
+        ok &= (overlap + self.most - self.depth) * (100 + percent) >= percent * (n + self.most)
+        ok &= (overlap + left) * (100 + percent) >= percent * (n + self.least)
+        alive = (self.leaf >= 0) & (self._along(~ok) == 0)
+        size, both = self.depth[alive], overlap[alive]
+        return self.leaf[alive][both * 100 >= percent * (n + size - both)]
+
+    def _along(self, value: np.ndarray) -> np.ndarray:
+        """For each node the sum of value over it and the nodes above it."""
+        walk = np.zeros(2 * len(value), np.int64)
+        walk[self.enter] = value
+        walk[self.leave] -= value
+        return np.cumsum(walk)[self.enter]
 
 
 def tree_join(sets: list[np.ndarray], queries: list[np.ndarray] | None, weights: np.ndarray, query_weights: np.ndarray | None, percent: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray | None]:
@@ -264,10 +277,13 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             sets = [shingles(t, words) for t in C.texts(batch.column(1))]
             ids = [set_id(s) for s in sets]
-            signed = [signatures(s, percent, seed) if len(s) else (np.zeros(0, np.int64), True) for s in sets]
+            # Copies in a task are signed once.
+            fresh = [len(s) > 0 and i not in seen and not seen.add(i) for s, i in zip(sets, ids, strict=True)]
+            signed = [signatures(s, percent, seed) if f else (np.zeros(0, np.int64), True) for s, f in zip(sets, fresh, strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(t) for t, _ in signed])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([t for t, _ in signed]) if signed else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([set_key(i) for i in ids], pa.int64()), pa.array([x for _, x in signed], pa.bool_()), tokens], ["doc_id", "n", "sid", "key", "sure", "tokens"])
@@ -275,6 +291,23 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sid binary, key long, sure boolean, tokens array<long>")
 
 
+def _filter_bits(keys: DataFrame, n: int) -> tuple[int, Broadcast]:
+    """log2 of the slots and bits of a filter over n keys (column h); it has at most 2**26 slots (8 MB)."""
+    log2 = C.filter_log2(n, 12, 26)
+    return log2, keys.sparkSession.sparkContext.broadcast(C.build_filter(keys, 4, log2))
+
+
+def _filter_of(keys: DataFrame, n: int):
+    """A predicate that is true for the n keys (column h) and for few others."""
+    log2, bits = _filter_bits(keys, n)
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(C.holds(np.frombuffer(bits.value, np.uint8), h.to_numpy(), 4, log2))
+
+    return maybe
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Return doc_id, n_shingles, component_id, n_links for each row of docs.
 
@@ -297,7 +330,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     C.prepare(spark)
     for seed in range(MOST_SEEDS):
-        first = C.materialize(_signed(docs, id_col, text_col, words, percent, seed))
+        first = C.materialize(_signed(docs, id_col, text_col, words, percent, seed), scan=True)
         if first.where("not sure").isEmpty():
             break
     else:
@@ -305,20 +338,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = first.select("doc_id", "n", "sid", "key")
     emitted = first.select("key", F.explode("tokens").alias("token"))
     shared = emitted.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("b")).where("least <> b").select("token", "least")
-    edges = emitted.join(shared, "token").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+    # Most signatures are of one set only; a filter of bounded size keeps them from the second shuffle.
+    shared = C.materialize(shared)
+    shared_log2, shared_bits = _filter_bits(shared.select(F.col("token").alias("h")), shared.count())
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared_bits.value, np.uint8)
+        for batch in batches:
+            tokens = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            some = C.holds(bits, tokens, 4, shared_log2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(tokens[some])], ["key", "token"])
+
+    picked = first.select("key", "tokens").mapInArrow(pick, "key long, token long")
+    edges = picked.join(shared, "token").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
     groups = components(edges).withColumnsRenamed({"node": "key", "component": "group"})
 
     classes = C.materialize(rows.where("n > 0").groupBy("sid", "n", "key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")))
     some = C.materialize(classes.join(groups, "key"))
     blocks = some.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     some = C.materialize(some.join(blocks, "group").select("group", "blocks", "key", "sid", "members", "first_id"))
-    bloom_log2 = C.filter_log2(some.count(), 12, 26)
-    bits = spark.sparkContext.broadcast(C.build_filter(some.select(F.xxhash64("first_id").alias("h")), 4, bloom_log2))
-
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(C.holds(np.frombuffer(bits.value, np.uint8), h.to_numpy(), 4, bloom_log2))
-
+    maybe = _filter_of(some.select(F.xxhash64("first_id").alias("h")), some.count())
     fetched = docs.where(maybe(F.xxhash64(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     fetched = fetched.join(some, F.col("id").eqNullSafe(F.col("first_id"))).select("text", "group", "blocks", "sid", "members")
 
@@ -369,15 +409,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts shuffle only where a Bloom filter of bounded size says that their id may be one to drop.
     """
-    spark = docs.sparkSession
     gone = C.materialize(jaccard_components(docs, id_col, text_col).where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")))
-    log2 = C.filter_log2(gone.count(), 12, 26)
-    bits = spark.sparkContext.broadcast(C.build_filter(gone.select(F.xxhash64("_gone").alias("h")), 4, log2))
-
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(C.holds(np.frombuffer(bits.value, np.uint8), h.to_numpy(), 4, log2))
-
+    maybe = _filter_of(gone.select(F.xxhash64("_gone").alias("h")), gone.count())
     clear = docs.where(~maybe(F.xxhash64(id_col)))
     rest = docs.where(maybe(F.xxhash64(id_col)))
     return clear.unionByName(rest.join(gone, rest[id_col].eqNullSafe(gone["_gone"]), "left_anti"))
