@@ -73,7 +73,8 @@ def materialize(df: DataFrame, scan: bool = False) -> DataFrame:
     The folder belongs to the application and goes with cleanup().
     """
     spark = df.sparkSession
-    if scan:
+    # With dynamic allocation the cores of the moment say little about those to come.
+    if scan and spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") != "true":
         df = df.coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark).rstrip('/')}/capledger/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -100,10 +101,6 @@ def crc_fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def fold_of(doc_id: int | None, folds: int) -> int:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
-
-
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text, null as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

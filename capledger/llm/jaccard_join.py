@@ -281,7 +281,9 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
         for batch in batches:
             sets = [shingles(t, words) for t in C.texts(batch.column(1))]
             ids = [set_id(s) for s in sets]
-            # Copies in a task are signed once.
+            # Copies in a task are signed once, as far as it remembers.
+            if len(seen) > REMEMBERED:
+                seen.clear()
             fresh = [len(s) > 0 and i not in seen and not seen.add(i) for s, i in zip(sets, ids, strict=True)]
             signed = [signatures(s, percent, seed) if f else (np.zeros(0, np.int64), True) for s, f in zip(sets, fresh, strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(t) for t, _ in signed])]).astype(np.int32)
