@@ -83,6 +83,8 @@ def test_lm_scores_and_beats_the_base(documents):
 
 def test_lm_on_odd_rows(odd, none):
     check_lm(odd)
+    # More partitions than tasks of a scan that joins its splits.
+    check_lm(odd.repartition(70))
     assert lm_scoring.lm_score(none).count() == 0
 
 
