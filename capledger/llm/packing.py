@@ -15,7 +15,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -223,7 +222,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([encoder.width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "key", "width", "ids"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = (TaskContext.get().partitionId() << 32) - 1
+        sequence = None
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
         done: list[tuple] = []
         # Pieces of the open sequence: document, start, ids, tokens of the document.
@@ -247,6 +246,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         doc_kind = pa.int64()
         for batch in batches:
             doc_kind = batch.column(0).type
+            if sequence is None and batch.num_rows:
+                sequence = (batch.column(3)[0].as_py() << 32) - 1
             for doc, width, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ids = np.frombuffer(raw, f"<u{width}")
                 at = 0
@@ -278,7 +279,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     tie = F.xxhash64("ids")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = encoded.withColumn("tie", tie).repartitionByRange(parts, "key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie")
-    return ranged.select("doc_id", "width", "ids").mapInArrow(fill, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # Sequences are numbered by the range's own number, not by the task's: a caller may join partitions.
+    return ranged.select("doc_id", "width", "ids", F.spark_partition_id().alias("range")).mapInArrow(fill, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -424,6 +424,12 @@ def test_packing_is_an_exact_round_trip(which, request):
         assert at <= 4096 and at & (at - 1) == 0
 
 
+def test_sequences_stay_apart_when_partitions_are_joined(documents):
+    pieces = packing.pack(documents)
+    joined = pieces.coalesce(1).groupBy("sequence_id").sum("length").collect()
+    assert len(joined) == pieces.select("sequence_id").distinct().count() > 8 and max(r["sum(length)"] for r in joined) <= 4096
+
+
 def test_packing_without_rows_and_with_null_ids(none, odd):
     assert packing.pack(none).count() == 0
     assert packing.pack(odd).where("doc_id is null").count() >= 2
