@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -18,10 +19,14 @@ from .components import components
 
 #: Words of a shingle, and the similarity from which two documents link, in per cent.
 WORDS, PERCENT = 3, 90
-#: Parts of a scheme beyond those in which linked sets can differ: a share in per cent, and a number.
+#: Parts of a scheme beyond those in which linked sets can differ: a share in per cent (at least), and a number.
 SPARE_SHARE, SPARE = 15, 8
-#: Seeds of signatures that are tried.
+#: Parts that are not empty, for each in which linked sets can differ, that the share of spare parts is to give.
+FILLED = 1.14
+#: Most seeds of signatures of one set.
 MOST_SEEDS = 16
+#: Similarities up to this, in per cent, leave linked sets that may differ in as many elements as one has.
+LEAST_PERCENT = 50
 #: Shingles of a block of sets that one tree holds, on average; larger groups are joined block by block.
 BLOCK_SHINGLES = 250_000
 #: Words whose hashes a worker remembers.
@@ -224,58 +229,91 @@ def tree_join(sets: list[np.ndarray], queries: list[np.ndarray] | None, weights:
 # ---------------------------------------------------------------- the join
 
 
+@functools.cache
+def spare_share(percent: int) -> int:
+    """Spare parts in per cent, so that a set is expected to fill FILLED times the parts in which linked ones differ.
+
+    The set that fills them least is that of which the bound by its own size meets the scheme's: it has
+    percent / (100 - percent) elements for each that may differ.
+    """
+    ratio = percent / (100 - percent) if percent < 100 else np.inf
+    share, target = SPARE_SHARE, min(FILLED, (1 + ratio) / 2)
+    while (1 + share / 100) * -np.expm1(-ratio / (1 + share / 100)) < target:
+        share += 5
+    return share
+
+
 def _edge_sizes(percent: int) -> Iterator[tuple[int, int, int]]:
     """Schemes in order of size: the largest set of each, the most elements in which two linked sets of it differ, and its parts."""
     size = 1
     while True:
         differ = 2 * size * (100 - percent) // (100 + percent)
-        yield size, differ, differ + 1 + -(-differ * SPARE_SHARE // 100) + SPARE
+        yield size, differ, differ + 1 + -(-differ * spare_share(percent) // 100) + SPARE
         size = size * 3 // 2 + 1
 
 
 def schemes(n: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """The one or two schemes of a set of n: number, largest size, most differing elements, parts.
+    """The schemes of a set of n: number, largest size, most differing elements of a linked set and it, parts.
 
-    A set belongs to the scheme of its size, and to the next one if it can link to a set of that.
+    A set belongs to the scheme of its size, and to the next ones as long as it can link to a set of those.
     """
     out = []
     for number, (size, differ, parts) in enumerate(_edge_sizes(percent)):
         if n <= size:
             out.append((number, size, differ, parts))
-            if len(out) == 2 or n * 100 // percent <= size:
+            if n * 100 // percent <= size:
                 return out
     raise AssertionError
 
 
 def signatures(s: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, bool]:
-    """Signatures of a set, of which two sets that link share one, and whether that is sure for this seed.
+    """Signatures of a set, of which two sets that link share one, and whether that is sure with MOST_SEEDS seeds.
 
     Where linked sets differ in one element at most, signatures are the set's hash and those without one
-    element.  Else elements are dealt to parts by hash, and each part that is not empty is a signature.  Linked sets
-    differ in no more parts than elements, so a set with more parts that are not empty has one in common.
+    element.  Else elements are dealt to parts by hash.  Linked sets differ in no more parts than elements, so
+    a set with more parts that are not empty than it can differ in (by the scheme, or by its own size) has one in common
+    with each.  Of two sets of parts that differ in d, the first d + 1 of each in one order have one in common (or all,
+    of a set with fewer): those are the signatures, parts of more elements first, as they are of fewer sets.
+    A set with too few parts has signatures with the next seed and more parts too, until it is sure.  Of two linked sets the first
+    that is sure ends at a seed that both have, so nobody else has to be done again.
     """
-    mixed = C.mix64(s + np.uint64(seed) * _K)
     out, sure = [], True
+    own = len(s) * (100 - percent) // percent
     for number, _, differ, parts in schemes(len(s), percent):
+        tag = np.uint64(number + 1)
         if differ < 2:
+            mixed = C.mix64(s + np.uint64(seed) * _K)
             whole = mixed.sum(dtype=np.uint64)
             of = np.append(whole - mixed, whole)
-            part = np.zeros(len(of), np.uint64)
-        else:
-            at = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            sums = np.zeros(parts, np.uint64)
+            out.append(C.mix64(of + C.mix64(np.zeros(len(of), np.uint64) + tag)))
+            continue
+        differ = min(differ, own)
+        for k in range(MOST_SEEDS):
+            mixed = C.mix64(s + np.uint64((seed + k) * int(_K) & 2**64 - 1))
+            at = ((mixed >> np.uint64(32)) % np.uint64(parts * (k + 1))).astype(np.int64)
+            sums = np.zeros(parts * (k + 1), np.uint64)
             np.add.at(sums, at, mixed)
-            some = np.flatnonzero(np.bincount(at, minlength=parts))
-            sure &= len(some) > differ
-            of, part = sums[some], some.astype(np.uint64)
-        out.append(C.mix64(of + C.mix64(part * _K + np.uint64(number + 1))))
+            filled = np.bincount(at, minlength=len(sums))
+            some = np.flatnonzero(filled)
+            of = C.mix64(sums[some] + C.mix64((some.astype(np.uint64) + (np.uint64(k) << np.uint64(40))) * _K + tag))
+            out.append(of[np.lexsort((of, -filled[some]))[: differ + 1]])
+            if len(some) > differ:
+                break
+        else:
+            sure = False
     return np.concatenate(out).view(np.int64), sure
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, seed: int) -> DataFrame:
-    """doc_id, n, sid, key, sure and the signatures of each document's set."""
+def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """doc_id, n, sid, key and the signatures of each document's set."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
+    def sign(s: np.ndarray) -> np.ndarray:
+        tokens, sure = signatures(s, percent, 0)
+        if not sure:
+            raise RuntimeError(f"no seed of {MOST_SEEDS} gives sure signatures")
+        return tokens
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -285,12 +323,12 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
             if len(seen) > REMEMBERED:
                 seen.clear()
             fresh = [len(s) > 0 and i not in seen and not seen.add(i) for s, i in zip(sets, ids, strict=True)]
-            signed = [signatures(s, percent, seed) if f else (np.zeros(0, np.int64), True) for s, f in zip(sets, fresh, strict=True)]
-            ends = np.concatenate([[0], np.cumsum([len(t) for t, _ in signed])]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([t for t, _ in signed]) if signed else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([set_key(i) for i in ids], pa.int64()), pa.array([x for _, x in signed], pa.bool_()), tokens], ["doc_id", "n", "sid", "key", "sure", "tokens"])
+            signed = [sign(s) if f else np.zeros(0, np.int64) for s, f in zip(sets, fresh, strict=True)]
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in signed])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signed) if signed else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([set_key(i) for i in ids], pa.int64()), tokens], ["doc_id", "n", "sid", "key", "tokens"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sid binary, key long, sure boolean, tokens array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sid binary, key long, tokens array<long>")
 
 
 def _filter_bits(keys: DataFrame, n: int) -> tuple[int, Broadcast]:
@@ -319,9 +357,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty and links with nothing.  Null ids take part; their component's id is the smallest that is not null.
     Repeated rows each give a row and link with one another; other columns are not read.
 
+    percent is above LEAST_PERCENT and at most 100.
+
     1. One pass gives each document's set an id and signatures (see signatures).  Equal sets are one class, by a
-       pre-aggregated group.  A set for which a seed's signatures are not sure, about one in 10**12, has all done
-       again with the next seed.
+       pre-aggregated group.  A set for which a seed's signatures are not sure gets more, with the next seed.
     2. Different sets that share a signature, directly or in a chain, form a candidate group.  What shares nothing
        is left out by a pre-aggregated minimum and maximum.  Only candidates' texts shuffle, behind a Bloom filter of
        bounded size.
@@ -331,12 +370,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     C.prepare(spark)
-    for seed in range(MOST_SEEDS):
-        first = C.materialize(_signed(docs, id_col, text_col, words, percent, seed), scan=True)
-        if first.where("not sure").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"no seed of {MOST_SEEDS} gives sure signatures")
+    if not LEAST_PERCENT < percent <= 100 or words < 1:
+        raise ValueError(f"percent must be above {LEAST_PERCENT} and at most 100, and words at least 1")
+    first = C.materialize(_signed(docs, id_col, text_col, words, percent), scan=True)
     rows = first.select("doc_id", "n", "sid", "key")
     emitted = first.select("key", F.explode("tokens").alias("token"))
     shared = emitted.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("b")).where("least <> b").select("token", "least")

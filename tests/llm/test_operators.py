@@ -392,6 +392,81 @@ def test_drop_near_copies_leaves_one_of_each(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({c for _, _, c, _ in brute_join(rows)})
 
 
+def plain_sets(texts, words):
+    out = []
+    for t in texts:
+        w = WORDS(LOWER(t))
+        out.append({tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set()))
+    return out
+
+
+def plain_components(rows, words, percent):
+    """(id, smallest id of the component, links) by comparing all pairs; ids are not null."""
+    sets = plain_sets([t for _, t in rows], words)
+    label, links = list(range(len(rows))), [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                links[a] += 1
+                links[b] += 1
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    least = {c: min(i for (i, _), x in zip(rows, label, strict=True) if x == c) for c in set(label)}
+    return sorted((i, least[c], n) for (i, _), c, n in zip(rows, label, links, strict=True))
+
+
+def spread_changes(seed, sizes, copies, most):
+    """Long texts of rare words with copies of them, in which up to so many words for each 200 are changed here and there."""
+    rng = random.Random(seed)
+    out = []
+    for n in sizes:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, most * n // 200))):
+                copy[rng.randrange(n)] = f"w{rng.randrange(10**6)}"
+            out.append(" ".join(copy[: n - rng.choice((0, 0, n // 20))]))
+    return out
+
+
+@pytest.mark.parametrize(("percent", "most"), [(80, 6), (60, 14)])
+def test_jaccard_of_long_texts_at_other_similarities(spark, percent, most):
+    rows = list(enumerate(spread_changes(7, (5, 12, 60, 170, 200, 540, 2_000), 14, most)))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=percent)
+    want = plain_components(rows, 5, percent)
+    assert len(rows) > len({c for _, c, _ in want}) > 7
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("percent", [51, 55, 60, 65, 70, 80, 95, 100])
+def test_linked_sets_share_a_signature_at_any_percent(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(1500):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 600))).astype(np.uint64))
+        # From as much smaller as a linked set can be, to as many changed as can be.
+        least = -(-len(a) * percent // 100)
+        b = a[rng.permutation(len(a))[: int(rng.integers(least, len(a) + 1))]]
+        room = 100 * len(b) // percent - len(a)
+        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, max(0, room)).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        assert 100 * both >= percent * (len(a) + len(b) - both)
+        (x, sure), (y, also) = jaccard_join.signatures(a, percent, 0), jaccard_join.signatures(b, percent, 0)
+        assert sure and also and len(np.intersect1d(x, y))
+
+
+def test_sets_are_sure_at_80():
+    rng = np.random.default_rng(4)
+    for n in (170, 540):
+        assert all(jaccard_join.signatures(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), 80, 0)[1] for _ in range(2000))
+
+
+@pytest.mark.parametrize("percent", [0, 50, 101])
+def test_similarities_that_are_not_covered(spark, percent):
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_components(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=percent)
+
+
 # ---------------------------------------------------------------- 7 packing
 
 
