@@ -348,25 +348,11 @@ def _filter_of(keys: DataFrame, n: int):
     return maybe
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Return doc_id, n_shingles, component_id, n_links for each row of docs.
-
-    A document's set is its distinct shingles of so many words (A-Z lower-cased); two documents link when
-    the Jaccard similarity of their sets is at least percent.  component_id is the smallest id that links
-    reach; n_links is the number of other rows that the row links to.  Without words (or text) the set is
-    empty and links with nothing.  Null ids take part; their component's id is the smallest that is not null.
-    Repeated rows each give a row and link with one another; other columns are not read.
-
-    percent is above LEAST_PERCENT and at most 100.
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, sid, key), and of each set of several rows or with links sid, component_id, n_links and keep_sid.
 
-    1. One pass gives each document's set an id and signatures (see signatures).  Equal sets are one class, by a
-       pre-aggregated group.  A set for which a seed's signatures are not sure gets more, with the next seed.
-    2. Different sets that share a signature, directly or in a chain, form a candidate group.  What shares nothing
-       is left out by a pre-aggregated minimum and maximum.  Only candidates' texts shuffle, behind a Bloom filter of
-       bounded size.
-    3. Each group is joined by a prefix tree.  A group of more shingles than BLOCK_SHINGLES is split by hash into
-       blocks, and each pair of blocks is a task, so no task holds a whole large group.  A task emits the links
-       that join what it had not joined yet, fewer than its sets, and each set's number of links.
+    keep_sid is the set, in the component, of the row with the component's smallest id (null last), then the smallest sid.
+    See jaccard_components.
     """
     spark = docs.sparkSession
     C.prepare(spark)
@@ -431,27 +417,71 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spread_rows = fetched.mapInArrow(spread, "group long, i int, j int, block int, sid binary, members long, items binary")
     links = C.materialize(spread_rows.groupBy("group", "i", "j").applyInPandas(join, "a binary, b binary, n long"))
     linked = components(links.where("a <> b")).withColumnRenamed("node", "sid")
-    least = linked.join(classes, "sid").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    least = linked.join(classes, "sid").groupBy("component").agg(F.min("first_id").alias("component_id"), F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "sid"))["sid"].alias("keep_sid"))
     counts = links.where("a = b").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("others"))
-    linked = linked.join(least, "component").join(counts, "sid", "left").select("sid", "component_id", "others")
+    linked = linked.join(least, "component").join(counts, "sid", "left").select("sid", "component_id", "keep_sid", "others", F.lit(True).alias("linked"))
     # Only classes of several rows, or with links, have anything to tell their rows.
-    told = classes.join(linked, "sid", "left").where(F.col("component_id").isNotNull() | (F.col("members") > 1))
-    told = told.select("sid", F.coalesce("component_id", "first_id").alias("component_id"), (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    told = classes.join(linked, "sid", "left").where(F.col("linked") | (F.col("members") > 1))
+    told = told.select("sid", F.coalesce("component_id", "first_id").alias("component_id"), (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("keep_sid", "sid").alias("keep_sid"))
+    return rows, told
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Return doc_id, n_shingles, component_id, n_links for each row of docs.
+
+    A document's set is its distinct shingles of so many words (A-Z lower-cased); two documents link when
+    the Jaccard similarity of their sets is at least percent.  component_id is the smallest id that links
+    reach; n_links is the number of other rows that the row links to.  Without words (or text) the set is
+    empty and links with nothing.  Null ids take part; their component's id is the smallest that is not null.
+    Repeated rows each give a row and link with one another; other columns are not read.
+
+    percent is above LEAST_PERCENT and at most 100.
+
+    1. One pass gives each document's set an id and signatures (see signatures).  Equal sets are one class, by a
+       pre-aggregated group.  A set for which a seed's signatures are not sure gets more, with the next seed.
+    2. Different sets that share a signature, directly or in a chain, form a candidate group.  What shares nothing
+       is left out by a pre-aggregated minimum and maximum.  Only candidates' texts shuffle, behind a Bloom filter of
+       bounded size.
+    3. Each group is joined by a prefix tree.  A group of more shingles than BLOCK_SHINGLES is split by hash into
+       blocks, and each pair of blocks is a task, so no task holds a whole large group.  A task emits the links
+       that join what it had not joined yet, fewer than its sets, and each set's number of links.
+    """
+    rows, told = _classes(docs, id_col, text_col, words, percent)
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     met = rows.where("n > 0").join(told, "sid", "left")
     return met.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).unionByName(alone)
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, but of each component of links only the document of the smallest id.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all columns, but of each component of links only one row.
 
-    Texts shuffle only where a Bloom filter of bounded size says that their id may be one to drop.
+    It is the row of the smallest id (null last), then of the smallest hash of its set; which one is open if several
+    rows have both the id and the set.  Rows go by id and set, so another text under the id of a copy (null, or repeated) stays.
+    Rows without words stay.  Texts shuffle only where a Bloom filter of bounded size says that their id may be one to
+    drop.
     """
-    gone = C.materialize(jaccard_components(docs, id_col, text_col).where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")))
-    maybe = _filter_of(gone.select(F.xxhash64("_gone").alias("h")), gone.count())
+    rows, told = _classes(docs, id_col, text_col, words, percent)
+    stays = F.col("sid") == F.col("keep_sid")
+    stays &= F.col("doc_id").eqNullSafe(F.col("component_id"))
+    met = rows.where("n > 0").join(told, "sid").groupBy(F.col("doc_id").alias("_met_id"), F.col("sid").alias("_met_sid"), stays.alias("_stays")).agg(F.count(F.lit(1)).alias("_rows"))
+    met = C.materialize(met.where("not _stays or _rows > 1"))
+    maybe = _filter_of(met.select(F.xxhash64("_met_id").alias("h")), met.count())
+    own = "_sid_of_text"
+    while own in docs.columns:
+        own += "_"
+
+    @F.pandas_udf("binary")
+    def sid(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_id(shingles(bytes(t or b""), words)) for t in texts])
+
     clear = docs.where(~maybe(F.xxhash64(id_col)))
-    rest = docs.where(maybe(F.xxhash64(id_col)))
-    return clear.unionByName(rest.join(gone, rest[id_col].eqNullSafe(gone["_gone"]), "left_anti"))
+    rest = docs.where(maybe(F.xxhash64(id_col))).withColumn(own, sid(F.col(text_col).cast("binary")))
+    same = rest[id_col].eqNullSafe(met["_met_id"]) & (rest[own] == met["_met_sid"])
+    out = clear.unionByName(rest.join(met, same, "left_anti").drop(own))
+    again = met.where("_stays")
+    if not again.isEmpty():
+        once = rest.join(again, same, "left_semi").dropDuplicates([id_col, own])
+        out = out.unionByName(once.drop(own))
+    return out
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

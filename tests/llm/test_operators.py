@@ -461,6 +461,19 @@ def test_sets_are_sure_at_80():
         assert all(jaccard_join.signatures(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), 80, 0)[1] for _ in range(2000))
 
 
+def test_drop_near_copies_goes_by_id_and_text(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    clean = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcde"]
+    pair = [" ".join(f"{x}{i}" for i in range(100)) + end for x in "p" for end in (" u", " v")]
+    rows = [(1, base), (None, base + " x"), (None, clean[0]), (None, clean[1]), (7, base + " y"), (7, clean[2]), (1, clean[3])]
+    # Copies that all have no id, a repeated row, rows without words.
+    rows += [(None, pair[0]), (None, pair[1]), (9, clean[4]), (9, clean[4]), (5, ""), (5, ""), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.drop_near_copies(df).collect()), key=str)
+    stay = [r for k, r in enumerate(rows) if k not in (1, 4, 10)]
+    assert got in [sorted((r for r in stay if r[1] != p), key=str) for p in pair]
+
+
 @pytest.mark.parametrize("percent", [0, 50, 101])
 def test_similarities_that_are_not_covered(spark, percent):
     with pytest.raises(ValueError):
