@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from capledger.llm import _common as C
 from capledger.llm import exact_dedup, jaccard_join, mixing, packing, quality_classifier
 
+#: Words of a shingle of the near-copy stage, and the similarity from which two documents are copies, in per cent.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted to docs without labels, rejects go."""
@@ -19,8 +22,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of the n-gram Jaccard join connect, the one with the smallest id stays."""
-    return jaccard_join.drop_near_copies(docs)
+    """Of documents that links of the n-gram Jaccard join connect, the one with the smallest id stays.
+
+    Shingles are of NEAR_WORDS words; op6's own query has the three words and 90 % of its contract.
+    """
+    return jaccard_join.drop_near_copies(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -461,6 +461,22 @@ def test_sets_are_sure_at_80():
         assert all(jaccard_join.signatures(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), 80, 0)[1] for _ in range(2000))
 
 
+def test_pipeline_drops_near_copies_of_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    base = [f"b{i}" for i in range(200)]
+    # Four changes far apart: 176 of 216 shingles of five words, but 186 of 210 of three.
+    copy = [f"x{i}" if i in (40, 80, 120, 160) else w for i, w in enumerate(base)]
+    # Five: 171 of 221, below 0.8.
+    other = [f"y{i}" if i in (30, 65, 100, 135, 170) else w for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(other))]
+    rows += list(enumerate(spread_changes(11, (40, 170, 200, 540), 14, 6), 4))
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    ids = sorted(r["doc_id"] for r in got.collect())
+    assert 1 in ids and 2 not in ids and 3 in ids
+    assert ids == sorted({c for _, c, _ in plain_components(rows, 5, 80)})
+
+
 def test_drop_near_copies_goes_by_id_and_text(spark):
     base = " ".join(f"w{i}" for i in range(200))
     clean = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcde"]
