@@ -19,6 +19,42 @@ def every(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+#: Matches whose positions are added up together; a text's are added up in blocks of so many.
+_SPANS_IN_ORDER = 256
+
+
+def match_spans(c: Column, pattern: str, groups: Sequence[int] = (0,)) -> Column:
+    """All leftmost non-overlapping matches as array<struct<start, stop, values>>: code points from 0, and the groups' texts.
+
+    split gives the gaps between the matches that regexp_extract_all gives, by the same engine, so running sums of their
+    lengths are the positions.  Sums are made block by block, so the work is in proportion to the matches.  A null text gives
+    null; a pattern that matches nothing in length is not for this.
+    """
+    kind = "array<struct<start:long,stop:long,values:array<string>>>"
+    found_ = every(c, pattern)
+    gaps = F.slice(F.split(c, pattern, -1), F.lit(1), F.size(found_))
+    values = [every(c, pattern, g).alias(f"g{g}") for g in groups]
+    pieces = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(found_, F.length).alias("size"), *values)
+
+    def positions(p: Column) -> Column:
+        block = lambda b: F.slice(p, b * _SPANS_IN_ORDER + 1, F.lit(_SPANS_IN_ORDER))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _SPANS_IN_ORDER).cast("int"))
+        sums = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0).cast("long"), lambda acc, x: acc + x["gap"] + x["size"]))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+        starts = F.aggregate(sums, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            one = F.struct(start.alias("start"), (start + x["size"]).alias("stop"), F.array(*[x[f"g{g}"] for g in groups]).alias("values"))
+            return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        inside = lambda z: F.aggregate(block(z["b"]), F.struct(z["at"].alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), starts.alias("at")), inside))
+
+    # pieces is named by a lambda, so that it is made once; a cheap test first, as most texts have no match.
+    return F.when(c.rlike(pattern), F.transform(F.array(pieces), positions)[0]).when(c.isNotNull(), F.array().cast(kind))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

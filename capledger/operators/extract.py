@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,26 +87,21 @@ def assemble(sections: DataFrame, event_rows: DataFrame, timeline_rows: DataFram
 def context_events(docs: DataFrame, keys: Sequence[str] = ("company",), text: str = "text", rules: Sequence[tuple] = P.CONTEXT_EVENTS, most: int = 500) -> DataFrame:
     """Events by contextual patterns, with the text around each match as evidence: keys, event_no, event_type, event_date, evidence_text, notes.
 
-    Matches need offsets of every match and text on either side, which no built-in gives: one Arrow pass, with no
-    shuffle.  Setting-up and conversion events are the first of their kind only.
+    Rules are (type, pattern, characters before, characters after, note, first only); a pattern's groups 1 and 2 are year and
+    month.  Events come rule by rule, in each by place.  A null text gives none.
     """
-    compiled = [(name, regex.compile(p.removeprefix("(?U)")), before, after, note, first) for name, p, before, after, note, first in rules]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.select(*keys).schema.fields}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            names = [batch.column(i).to_pylist() for i in range(len(keys))]
-            for i, t in enumerate(batch.column(len(keys)).to_pylist()):
-                n = 0
-                for name, pattern, before, after, note, first in compiled:
-                    for m in pattern.finditer(t or ""):
-                        n += 1
-                        out.append((*[k[i] for k in names], n, name, f"{m[1]}-{int(m[2]):02d}", t[max(0, m.start() - before) : m.end() + after].strip()[:most], note))
-                        if first:
-                            break
-            arrays = list(zip(*out, strict=True)) or [()] * (len(keys) + 5)
-            types = [batch.column(i).type for i in range(len(keys))] + [pa.int64()] + [pa.string()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, types, strict=True)], [*keys, "event_no", "event_type", "event_date", "evidence_text", "notes"])
-
-    return docs.select(*keys, text).mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", event_no long, event_type string, event_date string, evidence_text string, notes string")
+    c = F.col(text)
+
+    def of_rule(name: str, pattern: str, before: int, after: int, note: str | None, first: bool) -> Column:
+        spans = T.match_spans(c, pattern, (1, 2))
+        spans = F.slice(spans, 1, 1) if first else spans
+
+        def event(s: Column) -> Column:
+            begin = F.greatest(s["start"] - before, F.lit(0)).cast("int")
+            evidence = F.left(T.strip(F.substring(c, begin + 1, (s["stop"] + after).cast("int") - begin)), F.lit(most))
+            return F.struct(F.lit(name).alias("event_type"), F.concat_ws("-", s["values"][0], F.lpad(s["values"][1], 2, "0")).alias("event_date"), evidence.alias("evidence_text"), F.lit(note).cast("string").alias("notes"))
+
+        return F.transform(spans, event)
+
+    found = docs.select(*keys, F.posexplode(F.concat(*[of_rule(*r) for r in rules])).alias("n", "x"))
+    return found.select(*keys, (F.col("n") + 1).cast("long").alias("event_no"), "x.*")
