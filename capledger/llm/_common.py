@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch.  Texts can be long, so a batch is kept well below Spark's default.
 BATCH_ROWS = 1000
 _MASK = (1 << 64) - 1
-#: Tasks for each core of a scan that writes a narrow table.
-TASKS_A_CORE = 4
+#: A scan that writes a narrow table joins its splits only while a task reads no more than so many stored bytes, and
+#: makes so many tasks a core at least.
+TASK_BYTES, TASKS_A_CORE = 32 << 20, 4
+#: A key of at least so many rows is hot; there are at most rows / HOT_GROUPS such keys, a size that is broadcast.
+HOT_ROWS, HOT_GROUPS = 2_000, 100_000
 
 
 class Memory(dict):
@@ -64,25 +69,55 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes that df reads: of its files, by the plan, or of its texts where the plan does not know."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return size
+
+
+def new_path(spark: SparkSession) -> str:
+    """Path of a new table in the shared folder; what the application leaves there goes when it ends."""
+    root = f"{shared_folder(spark).rstrip('/')}/capledger/{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, scan: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     It cuts the lineage, survives the loss of executors, and keeps later reads columnar.  With scan, df is made of
-    one scan without a shuffle and is narrower than what it reads: its splits are joined to TASKS_A_CORE tasks a
-    core at most, so that the table has no more small files than the cluster can write at a time.
-    The folder belongs to the application and goes with cleanup().
+    one scan without a shuffle and is narrower than what it reads: small splits are joined to tasks of up to
+    TASK_BYTES, but for TASKS_A_CORE tasks a core, so that many small files do not make as many others.
     """
     spark = df.sparkSession
-    # With dynamic allocation the cores of the moment say little about those to come.
-    if scan and spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") != "true":
-        df = df.coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
-    path = f"{shared_folder(spark).rstrip('/')}/capledger/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if scan:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        df = df.coalesce(min((1 << 31) - 1, max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_skewed(rows: DataFrame, facts: DataFrame, on: str, size: Column, n: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which has one row for each key; size (over facts) tells how many rows share the key.
+
+    Keys of HOT_ROWS rows, and of a HOT_GROUPS-th of all n rows, meet their facts by broadcast: there are at most
+    HOT_GROUPS of them, whatever the input.  So no task of the other join gets more rows of a key than that.
+    """
+    least = max(HOT_ROWS, n // HOT_GROUPS)
+    hot = F.broadcast(facts.where(size >= least))
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(facts.where(size < least), on, how))
+
+
 def cleanup(spark: SparkSession) -> None:
-    """Delete the tables that this application wrote with materialize()."""
+    """Delete the tables that this application wrote with materialize() now, and not at its end."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/capledger/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -117,13 +152,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: Slots of a block of a filter, the unit in which partial filters are merged.
 BLOCK = 1 << 16
-#: Most partial filters that one pass makes; each is at most 2 * 2**log2 / 8 bytes.
-MOST_PARTS = 2048
+#: log2 of the most slots of a filter (32 MB).  More keys are cut into ranges of the hash, each with its own filter.
+RANGE_LOG2 = 28
+#: Slots that a task gathers before it sorts them together.
+GATHERED = 1 << 22
+
+
+def filter_log2(n: int, bits_per_key: float) -> int:
+    """log2 of the slots of a filter for n keys, between 2**13 and 2**RANGE_LOG2."""
+    return int(min(RANGE_LOG2, max(13, np.ceil(np.log2(max(1, n * bits_per_key))))))
+
+
+def n_ranges(n: int, bits_per_key: float) -> int:
+    """Ranges of the hash in which n keys have bits_per_key slots each in a filter of at most 2**RANGE_LOG2."""
+    return max(1, int(np.ceil(n * bits_per_key / (1 << RANGE_LOG2))))
 
 
-def filter_log2(n: int, bits_per_key: int, most: int) -> int:
-    """log2 of the slots of a filter for n keys, between 2**13 and 2**most."""
-    return int(min(most, max(13, np.ceil(np.log2(max(1, n) * bits_per_key)))))
+def in_range(h: Column, i: int, ranges: int) -> Column:
+    """Whether a 64-bit hash lies in the i-th of equal ranges."""
+    return h.between(-(1 << 63) + (i << 64) // ranges, -(1 << 63) + (i + 1 << 64) // ranges - 1)
 
 
 def slots(h: np.ndarray, hashes: int, log2: int, seed: int = 0) -> np.ndarray:
@@ -145,26 +192,39 @@ def holds(bits: np.ndarray, h: np.ndarray, hashes: int, log2: int, seed: int = 0
     return found
 
 
+def _gather(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots and whether each was set twice (2) or once (1), of several such pairs."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return u, np.minimum(np.bincount(at, np.concatenate([p[1] for p in parts]), len(u)), 2).astype(np.uint8)
+
+
 def build_filter(keys: DataFrame, hashes: int, log2: int, twice: bool = False, seed: int = 0) -> bytes:
     """Bloom filter over the only column of keys (long); with twice, of slots that two rows or more set.
 
-    Each task fills its own filter and emits the blocks that are not empty; blocks are merged by a
+    Each task gathers the slots of its own keys and emits the blocks that have some; blocks are merged by a
     shuffle on the block number.  The result has 2**log2 bits, whatever the number of keys is.
     """
-    name = keys.columns[0]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << log2, np.uint8)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             h = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-            u, c = np.unique(slots(h, hashes, log2, seed), return_counts=True)
-            u = u.astype(np.int64)
-            seen[u] = np.minimum(seen[u] + np.minimum(c, 2), 2)
-        for i in range(0, 1 << log2, BLOCK):
-            part = seen[i : i + BLOCK]
-            if part.any():
-                ones, twos = (np.packbits(part >= k, bitorder="little").tobytes() for k in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([zlib.compress(ones + twos, 1)], pa.binary())], ["block", "part"])
+            at = slots(h, hashes, log2, seed).ravel()
+            held.append((at, np.ones(len(at), np.uint8)))
+            size += len(at)
+            if size > GATHERED:
+                held = [_gather(held)]
+                size = 0
+        u, c = _gather(held)
+        blocks, first = np.unique(u // np.uint64(BLOCK), return_index=True)
+        for block, a, b in zip(blocks.tolist(), first, np.append(first[1:], len(u)), strict=True):
+            part = np.zeros(BLOCK, np.uint8)
+            part[(u[a:b] % np.uint64(BLOCK)).astype(np.int64)] = c[a:b]
+            ones, twos = (np.packbits(part >= k, bitorder="little").tobytes() for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(ones + twos, 1)], pa.binary())], ["block", "part"])
 
     def merge(pdf):
         ones = twos = None
@@ -178,11 +238,67 @@ def build_filter(keys: DataFrame, hashes: int, log2: int, twice: bool = False, s
                 ones |= one
         return pdf.iloc[:1].assign(part=[(twos if twice else ones).tobytes()])
 
-    if keys.rdd.getNumPartitions() > MOST_PARTS:
-        keys = keys.coalesce(MOST_PARTS)
-    parts = keys.select(F.col(name)).mapInArrow(fill, "block int, part binary")
-    merged = parts.groupBy("block").applyInPandas(merge, "block int, part binary")
-    out = bytearray((1 << log2) // 8)
-    for block, part in merged.toLocalIterator():
+    merged = keys.mapInArrow(fill, "block int, part binary").groupBy("block").applyInPandas(merge, "block int, part binary")
+    out = bytearray(max(1 << log2, BLOCK) // 8)
+    for block, part in merged.collect():
         out[block * BLOCK // 8 : block * BLOCK // 8 + len(part)] = part
     return bytes(out)
+
+
+def held_by(bits: Broadcast, hashes: int, log2: int, seed: int = 0):
+    """Pandas UDF: whether a filter holds a 64-bit hash."""
+
+    @F.pandas_udf("boolean")
+    def found(h: pd.Series) -> pd.Series:
+        return pd.Series(holds(np.frombuffer(bits.value, np.uint8), h.to_numpy(), hashes, log2, seed))
+
+    return found
+
+
+def without(docs: DataFrame, id_col: str, digest: Callable[[DataFrame], Column], met: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, but for those that met tells to go.
+
+    met has _met_id, _met_digest, _stays and _rows: rows of that id and digest go, or stay as one if they are several.
+    Rows whose id a Bloom filter of met's ids lacks, nearly all that stay, pass straight through; the texts of the
+    others shuffle.  Beyond the filter's 2**RANGE_LOG2 slots more rows do; the join that follows is exact.
+    """
+    spark = docs.sparkSession
+    met = materialize(met)
+    n = met.count()
+    log2 = filter_log2(n, 12)
+    maybe = held_by(spark.sparkContext.broadcast(build_filter(met.select(F.xxhash64("_met_id")), 4, log2)), 4, log2)
+    own = free_name(docs, "_digest_of_text")
+    rest = docs.where(maybe(F.xxhash64(id_col)))
+    rest = rest.withColumn(own, digest(rest))
+    same = rest[id_col].eqNullSafe(met["_met_id"]) & (rest[own] == met["_met_digest"])
+    out = docs.where(~maybe(F.xxhash64(id_col))).unionByName(rest.join(met, same, "left_anti").drop(own))
+    again = met.where("_stays")
+    if not again.isEmpty():
+        out = out.unionByName(rest.join(again, same, "left_semi").dropDuplicates([id_col, own]).drop(own))
+    return out
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+# ---------------------------------------------------------------- arrays as bytes
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: byte planes of each, as high bytes are mostly equal, under a light compression."""
+    planes = (np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in map(np.ascontiguousarray, arrays))
+    return b"".join(len(z).to_bytes(4, "little") + z for z in (zlib.compress(p, 1) for p in planes))
+
+
+def unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in kinds:
+        n = int.from_bytes(raw[at : at + 4], "little")
+        planes = np.frombuffer(zlib.decompress(raw[at + 4 : at + 4 + n]), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += 4 + n
+    return out
