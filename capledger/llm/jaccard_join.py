@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -19,18 +19,16 @@ from .components import components
 
 #: Words of a shingle, and the similarity from which two documents link, in per cent.
 WORDS, PERCENT = 3, 90
-#: Parts of a scheme beyond those in which linked sets can differ: a share in per cent (at least), and a number.
-SPARE_SHARE, SPARE = 15, 8
-#: Parts that are not empty, for each in which linked sets can differ, that the share of spare parts is to give.
-FILLED = 1.14
-#: Most seeds of signatures of one set.
-MOST_SEEDS = 16
-#: Similarities up to this, in per cent, leave linked sets that may differ in as many elements as one has.
-LEAST_PERCENT = 50
-#: Shingles of a block of sets that one tree holds, on average; larger groups are joined block by block.
-BLOCK_SHINGLES = 250_000
+#: Shingles of a chunk of documents, and bytes of input for each shard of shingles that is counted at a time.
+CHUNK_SHINGLES, SHARD_BYTES = 1_000_000, 32 << 20
+#: Shared prefix elements by which a set goes to trees in the first round.
+HOMES = 3
+#: Shingles of the sets that one tree holds, on average.
+BLOCK_SHINGLES = 1_000_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 200_000
+#: Bits of a shingle's hash in a tree; the bits above them are its frequency's.
+HASH_BITS = 48
 
 
 class _Hashes(C.Memory):
@@ -65,390 +63,399 @@ def set_id(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def set_key(sid: bytes) -> int:
-    return int.from_bytes(sid[:8], "little", signed=True)
+def prefix_length(n: int, percent: int) -> int:
+    """Elements of a set of n, rarest first, of which it shares one with each set that links to it.
+
+    A linked set has at least percent of the n in common with it; were none of the first n - that + 1 among them, the
+    rest would be too few.  This holds in any order that is the same for all sets.
+    """
+    return n - -(-n * percent // 100) + 1
 
 
 # ---------------------------------------------------------------- the tree
 
 
 class PrefixTree:
-    """A compressed trie of sets, each as its elements in one global order (most frequent first).
+    """A compressed trie of sets, each as its elements in the one global order, most frequent first.
 
-    Nodes are in the order of a walk, which enters and leaves each.  A node's elements are flat[start:end]; depth is the elements down to its
-    end, last the rank of its last element, least and most the sizes of the sets below it, and leaf the set that
-    ends there, or -1.
+    Sets are given as falling codes: an element's code is its frequency class above its hash, so that the order of
+    codes is the global order.  They must be distinct.  Nodes are numbered level by level, so a node's children, and
+    their elements, stand in a row.  For each node: the elements of its edge are flat[start:end] (as numbers of
+    the tree's vocabulary), depth the elements down to its end, last the code of the last of them, least and most the
+    sizes of the sets below, lo:hi those sets in the tree's order, and leaf the set that ends there, or -1.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        self.vocabulary, at, n = np.unique(every, return_inverse=True, return_counts=True)
-        rank = np.empty(len(n), np.int64)
-        rank[np.lexsort((self.vocabulary, -n))] = np.arange(len(n))
-        self.rank = rank
-        ends = np.cumsum([len(s) for s in sets])
-        ranked = [np.sort(r) for r in np.split(rank[at], ends[:-1])] if sets else []
-        order = sorted(range(len(ranked)), key=lambda i: ranked[i].astype(">u4").tobytes())
-        flat: list[np.ndarray] = []
-        start: list[int] = []
-        end: list[int] = []
-        parent: list[int] = []
-        depth: list[int] = []
-        leaf: list[int] = []
-        size = 0
-        # Open nodes from the root to the last set; a set shares those down to its common prefix with the one before.
-        path: list[int] = []
-        for k, i in enumerate(order):
-            mine = ranked[i]
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent = percent
+        #: order[k] is the number of the k-th set of the tree.
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        sets = [sets[i] for i in self.order]
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets], np.int64)
+        vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.at = np.split(at.astype(np.int32), np.cumsum(self.sizes)[:-1])
+        self.has = np.zeros(len(vocabulary), np.int32)
+        depth, lo, hi, parent, leaf = [0], [0], [len(sets)], [-1], [-1]
+        path = [0]
+
+        def node(*of: int) -> int:
+            for column, v in zip((depth, lo, hi, parent, leaf), of, strict=True):
+                column.append(v)
+            return len(depth) - 1
+
+        for k, mine in enumerate(self.at):
             shared = 0
             if k:
-                other = ranked[order[k - 1]]
-                m = min(len(mine), len(other))
-                off = np.flatnonzero(mine[:m] != other[:m])
+                m = min(len(mine), len(self.at[k - 1]))
+                off = np.flatnonzero(mine[:m] != self.at[k - 1][:m])
                 shared = int(off[0]) if len(off) else m
-            while path and depth[path[-1]] - (end[path[-1]] - start[path[-1]]) >= shared and shared < depth[path[-1]]:
-                path.pop()
-            if path and depth[path[-1]] > shared:
-                # The common prefix ends inside a node: its lower part becomes a node of its own below the upper.
-                p = path[-1]
-                cut = end[p] - (depth[p] - shared)
-                start.append(cut), end.append(end[p]), parent.append(p), depth.append(depth[p]), leaf.append(leaf[p])
-                low = len(start) - 1
-                for c in range(p + 1, low):
-                    if parent[c] == p:
-                        parent[c] = low
-                end[p], depth[p], leaf[p] = cut, shared, -1
-            if len(mine) > shared or not path:
-                flat.append(mine[shared:])
-                start.append(size), end.append(size + len(mine) - shared), depth.append(len(mine)), leaf.append(i)
-                parent.append(path[-1] if path else -1)
-                size += len(mine) - shared
-                path.append(len(start) - 1)
-            else:
-                leaf[path[-1]] = i
-        self._layout(np.array(start), np.array(end), np.array(parent), np.array(depth), np.array(leaf), np.concatenate(flat) if flat else np.zeros(0, np.int64))
-
-    def _layout(self, start, end, parent, depth, leaf, flat) -> None:
-        n = len(start)
+            while depth[path[-1]] > shared:
+                done = path.pop()
+                hi[done] = k
+                if depth[path[-1]] < shared:
+                    # The common prefix ends inside the edge: a node there gets the closed one as its child.
+                    path.append(node(shared, lo[done], -1, path[-1], -1))
+                parent[done] = path[-1]
+            path.append(node(len(mine), k, -1, path[-1], k))
+        for v in path[1:]:
+            hi[v] = len(sets)
+        self._layout(np.array(depth), np.array(lo), np.array(hi), np.array(parent), np.array(leaf))
+
+    def _layout(self, depth, lo, hi, parent, leaf) -> None:
+        n = len(depth)
         children: list[list[int]] = [[] for _ in range(n)]
-        stack = []
-        for i, p in enumerate(parent.tolist()):
-            (children[p] if p >= 0 else stack).append(i)
-        # One walk down and up: where it enters a node and where it leaves it.
-        order, enter, leave = [], np.zeros(n, np.int64), np.zeros(n, np.int64)
-        at = 0
-        while stack:
-            i = stack.pop()
-            if i < 0:
-                leave[~i] = at
-            else:
-                enter[i] = at
-                order.append(i)
-                stack.append(~i)
-                stack += children[i]
-            at += 1
-        order = np.array(order, np.int64)
-        self.start, self.end, self.depth, self.leaf, self.flat = start[order], end[order], depth[order], leaf[order], flat
-        self.enter, self.leave = enter[order], leave[order]
-        self.least, self.most = np.where(self.leaf >= 0, self.depth, np.iinfo(np.int64).max), np.where(self.leaf >= 0, self.depth, 0)
-        place = {int(i): k for k, i in enumerate(order)}
-        up = np.array([place[p] if p >= 0 else -1 for p in parent[order].tolist()], np.int64)
-        for i in range(n - 1, -1, -1):
-            if up[i] >= 0:
-                self.least[up[i]] = min(self.least[up[i]], self.least[i])
-                self.most[up[i]] = max(self.most[up[i]], self.most[i])
-        self.last = self.flat[self.end - 1] if n else np.zeros(0, np.int64)
-
-    def ranks(self, s: np.ndarray) -> np.ndarray:
-        """Ranks of those elements of a set that the tree has."""
-        at = np.searchsorted(self.vocabulary, s)
-        at[at == len(self.vocabulary)] = 0
-        return self.rank[at[self.vocabulary[at] == s]] if len(self.vocabulary) else np.zeros(0, np.int64)
-
-    def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
-        """Sets of the tree that link to s.
-
-        A node adds its own overlap to its parent's: a running sum along the walk, which takes a node's part back
-        where it leaves it.  A subtree is left when none of its sizes can reach the similarity: with all that is
-        left of its largest set, or with all that is left of s for its smallest.
+        for i in range(1, n):
+            children[parent[i]].append(i)
+        order = [0]
+        first, end_ = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k in range(n):
+            first[k] = len(order)
+            order += sorted(children[order[k]], key=lo.__getitem__)
+            end_[k] = len(order)
+        up = depth[parent[order]]
+        up[0] = 0
+        order = np.array(order)
+        self.first, self.stop = first, end_
+        self.depth, self.lo, self.hi, self.leaf = depth[order], lo[order], hi[order], leaf[order]
+        self.start = np.concatenate([[0], np.cumsum(self.depth - up)])
+        self.flat = np.concatenate([self.at[a][b:c] for a, b, c in zip(self.lo, up, self.depth, strict=True)])
+        self.last = np.array([self.sets[a][c - 1] if c else np.iinfo(np.uint64).max for a, c in zip(self.lo, self.depth, strict=True)], np.uint64)
+        self.least = np.array([self.sizes[a:b].min() for a, b in zip(self.lo, self.hi, strict=True)])
+        self.most = np.array([self.sizes[a:b].max() for a, b in zip(self.lo, self.hi, strict=True)])
+
+    def connect(self, label: np.ndarray) -> tuple[list[tuple[int, int]], int]:
+        """Links (in numbers of sets) that join what label (a number for each set) had apart; and the nodes visited.
+
+        Each set walks down the tree; all children of a node are looked at together.  The overlap down to a node is
+        its parent's and that of its own edge, so sets that share a prefix share the work.  A subtree is left when all its sets
+        are joined with the walking one already, or when none can reach the similarity: by their sizes, with all
+        that is left of the largest of them, or with all that is left of the walking set for the smallest.
         """
-        n = len(s)
-        if not len(self.start):
-            return np.zeros(0, np.int64)
-        mine = self.ranks(s)
-        has = np.zeros(len(self.vocabulary), np.int32)
-        has[mine] = 1
-        upto = np.zeros(len(self.flat) + 1, np.int32)
-        np.cumsum(has[self.flat], out=upto[1:])
-        own = upto[self.end] - upto[self.start]
-        overlap = self._along(own)
-        # Elements of s that stand after a node's last in the order: its own, and those that the tree lacks.
-        left = n - np.cumsum(has)[self.last] - (n - len(mine))
-        ok = (self.most * 100 >= n * percent) & (self.least * percent <= n * 100)
-        ok &= (overlap + self.most - self.depth) * (100 + percent) >= percent * (n + self.most)
-        ok &= (overlap + left) * (100 + percent) >= percent * (n + self.least)
-        alive = (self.leaf >= 0) & (self._along(~ok) == 0)
-        size, both = self.depth[alive], overlap[alive]
-        return self.leaf[alive][both * 100 >= percent * (n + size - both)]
-
-    def _along(self, value: np.ndarray) -> np.ndarray:
-        """For each node the sum of value over it and the nodes above it."""
-        walk = np.zeros(2 * len(value), np.int64)
-        walk[self.enter] = value
-        walk[self.leave] -= value
-        return np.cumsum(walk)[self.enter]
-
-
-def tree_join(sets: list[np.ndarray], queries: list[np.ndarray] | None, weights: np.ndarray, query_weights: np.ndarray | None, percent: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray | None]:
-    """Links that join what was not joined yet, as (query, set), and the weight of the links of each set (and query).
-
-    Without queries the sets are joined with themselves.
+        percent, links, visited = self.percent, [], 0
+        label = label[self.order]
+        change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+        for k in range(len(self.sets)):
+            if change[-1] == 0:
+                break
+            n, codes = len(self.sets[k]), self.sets[k][::-1]
+            self.has[self.at[k]] = 1
+            walk = [(0, 0)]
+            while walk:
+                v, overlap = walk.pop()
+                a, b = self.first[v], self.stop[v]
+                if a == b or (change[self.hi[v] - 1] == change[self.lo[v]] and label[self.lo[v]] == label[k]):
+                    continue
+                visited += b - a
+                of = slice(a, b)
+                depth, most, least = self.depth[of], self.most[of], self.least[of]
+                edge = self.has[self.flat[self.start[a] : self.start[b]]]
+                both = overlap + np.add.reduceat(edge, self.start[of] - self.start[a])
+                left = np.searchsorted(codes, self.last[of])
+                ok = (most * 100 >= n * percent) & (least * percent <= n * 100)
+                ok &= (both + most - depth) * (100 + percent) >= percent * (n + most)
+                ok &= (both + left) * (100 + percent) >= percent * (n + least)
+                hits = self.leaf[of]
+                hits = hits[(hits >= 0) & ok & (both * (100 + percent) >= percent * (n + depth))]
+                for hit in hits.tolist():
+                    if label[hit] != label[k]:
+                        links.append((self.order[k], self.order[hit]))
+                        label[label == label[hit]] = label[k]
+                        change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+                walk += [(a + i, both[i]) for i in np.flatnonzero(ok).tolist()]
+            self.has[self.at[k]] = 0
+        return links, visited
+
+
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links of each number with the least that links reach from it, in place of links that reach the same."""
+    up: dict[int, int] = {}
+
+    def least(i: int) -> int:
+        while (j := up.setdefault(i, i)) != i:
+            up[i], i = up[j], up[j]
+        return i
+
+    for a, b in links:
+        a, b = least(a), least(b)
+        up[max(a, b)] = min(a, b)
+    return [(i, least(i)) for i in sorted(up) if least(i) != i]
+
+
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """Codes as seven bytes each."""
+    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _unpack_codes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+# ---------------------------------------------------------------- frequencies
+
+
+def _chunks(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
+    """Rows of chunks of documents.
+
+    Shard -1: ids, set sizes and set ids of a chunk's documents, the distinct sets' ids, and for each (shingle, set) of
+    the chunk in order of the shingle, the set.  Other shards: the chunk's shingles with such first bits (as
+    steps from one to the next), and in how many of the chunk's sets each is.
     """
-    tree = PrefixTree(sets)
-    own = queries is None
-    asked = sets if own else queries
-    label = np.arange(len(sets) + (0 if own else len(asked)))
-    total, asked_total = np.zeros(len(sets), np.int64), None if own else np.zeros(len(asked), np.int64)
-    links = []
-    for q, s in enumerate(asked):
-        hits = tree.linked(s, percent)
-        me = q if own else len(sets) + q
-        if own:
-            hits = hits[hits != q]
-            total[q] = weights[hits].sum()
-        else:
-            asked_total[q] = weights[hits].sum()
-            total[hits] += query_weights[q]
-        for other in np.unique(label[hits]):
-            if other != label[me]:
-                links.append((q, int(hits[np.argmax(label[hits] == other)])))
-                label[label == other] = label[me]
-    return links, total, asked_total
-
-
-# ---------------------------------------------------------------- the join
-
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
 
-@functools.cache
-def spare_share(percent: int) -> int:
-    """Spare parts in per cent, so that a set is expected to fill FILLED times the parts in which linked ones differ.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[bytes, np.ndarray] = {}
+        about: list[tuple] = []
+        size = 0
+        id_type = pa.int64()
+
+        def rows() -> pa.RecordBatch:
+            # A random number: a task may run this for several splits, which it joined.
+            chunk = int.from_bytes(os.urandom(8), "little") >> 1
+            every = list(sets.values()) or [np.zeros(0, np.uint64)]
+            value = np.concatenate(every)
+            order = np.argsort(value, kind="stable")
+            value, of = value[order], np.repeat(np.arange(len(every)), [len(s) for s in every])[order]
+            first = np.flatnonzero(np.concatenate([[len(value) > 0], value[1:] != value[:-1]]))
+            distinct, count = value[first], np.diff(np.append(first, len(value)))
+            cut = np.searchsorted(distinct >> np.uint64(HASH_BITS - bits), np.arange((1 << bits) + 1))
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            parts = [C.pack(np.diff(distinct[cut[s] : cut[s + 1]], prepend=np.uint64(0)).astype("<u8"), count[cut[s] : cut[s + 1]].astype("<u4")) for s in some]
+            more = [None] * len(some)
+            ids, ns, sids = (list(c) for c in zip(*about, strict=True))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * (1 + len(some))), pa.array([-1, *some], pa.int32()), pa.array([ids, *more], pa.list_(id_type)), pa.array([ns, *more], pa.list_(pa.int64())), pa.array([sids, *more], pa.list_(pa.binary())), pa.array([list(sets), *more], pa.list_(pa.binary())), pa.array([C.pack(of.astype("<u4")), *parts], pa.binary())],
+                ["chunk", "shard", "ids", "ns", "sids", "sets", "part"],
+            )
 
-    The set that fills them least is that of which the bound by its own size meets the scheme's: it has
-    percent / (100 - percent) elements for each that may differ.
+        for batch in batches:
+            id_type = batch.column(0).type
+            for doc_id, text in zip(batch.column(0).to_pylist(), C.texts(batch.column(1)), strict=True):
+                s = shingles(text, words)
+                sid = set_id(s)
+                about.append((doc_id, len(s), sid))
+                # Equal sets of a chunk are one.
+                if len(s) and sid not in sets:
+                    sets[sid] = np.unique(s >> np.uint64(64 - HASH_BITS))
+                    size += len(s)
+                if size >= CHUNK_SHINGLES or len(about) == 1 << 17:
+                    yield rows()
+                    sets.clear(), about.clear()
+                    size = 0
+        if about:
+            yield rows()
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"chunk long, shard int, ids array<{kind}>, ns array<long>, sids array<binary>, sets array<binary>, part binary")
+
+
+def _frequency(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The frequency classes of a shard's shingles, for each chunk in the order of its own."""
+    parts = [C.unpack(raw, "<u8", "<u4") for raw in pdf["part"]]
+    values = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+    distinct, at = np.unique(np.concatenate(values), return_inverse=True)
+    n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(distinct))
+    level = np.floor(np.log2(n)).astype(np.uint8)[at]
+    return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "level": [C.pack(v) for v in np.split(level, np.cumsum([len(v) for v in values])[:-1])]})
+
+
+def _candidates(percent: int):
+    """For a chunk's rows and levels, the sets that may link: sid, n, their tokens and codes.
+
+    tokens: the elements of the prefix, rarest first, that more sets than one have.  codes: all elements, most
+    frequent first.  A set without such tokens links with nothing.
     """
-    ratio = percent / (100 - percent) if percent < 100 else np.inf
-    share, target = SPARE_SHARE, min(FILLED, (1 + ratio) / 2)
-    while (1 + share / 100) * -np.expm1(-ratio / (1 + share / 100)) < target:
-        share += 5
-    return share
 
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        shard = left.column("shard").to_numpy()
+        parts = dict(zip(shard.tolist(), left.column("part").to_pylist(), strict=True))
+        sets = left.column("sets")[int(np.flatnonzero(shard < 0)[0])].as_py()
+        (of,) = C.unpack(parts.pop(-1), "<u4")
+        levels = dict(zip(right.column("shard").to_pylist(), right.column("level").to_pylist(), strict=True))
+        codes, count = [], []
+        for s in sorted(parts):
+            step, n = C.unpack(parts[s], "<u8", "<u4")
+            (level,) = C.unpack(levels[s], "u1")
+            codes.append(np.cumsum(step, dtype=np.uint64) | level.astype(np.uint64) << np.uint64(HASH_BITS))
+            count.append(n)
+        out: list[tuple] = []
+        if codes:
+            code = np.repeat(np.concatenate(codes), np.concatenate(count))
+            order = np.lexsort((code, of))
+            for sid, mine in zip(sets, np.split(code[order], np.cumsum(np.bincount(of, minlength=len(sets)))[:-1]), strict=True):
+                tokens = mine[: prefix_length(len(mine), percent)]
+                tokens = tokens[tokens >> np.uint64(HASH_BITS) > 0]
+                if len(tokens):
+                    out.append((sid, len(mine), tokens.view(np.int64), _pack_codes(mine[::-1])))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("sid", "n", "tokens", "codes"), columns, kinds, strict=True)})
+
+    return run
 
-def _edge_sizes(percent: int) -> Iterator[tuple[int, int, int]]:
-    """Schemes in order of size: the largest set of each, the most elements in which two linked sets of it differ, and its parts."""
-    size = 1
-    while True:
-        differ = 2 * size * (100 - percent) // (100 + percent)
-        yield size, differ, differ + 1 + -(-differ * spare_share(percent) // 100) + SPARE
-        size = size * 3 // 2 + 1
 
+# ---------------------------------------------------------------- the join
 
-def schemes(n: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """The schemes of a set of n: number, largest size, most differing elements of a linked set and it, parts.
 
-    A set belongs to the scheme of its size, and to the next ones as long as it can link to a set of those.
-    """
-    out = []
-    for number, (size, differ, parts) in enumerate(_edge_sizes(percent)):
-        if n <= size:
-            out.append((number, size, differ, parts))
-            if n * 100 // percent <= size:
-                return out
-    raise AssertionError
-
-
-def signatures(s: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, bool]:
-    """Signatures of a set, of which two sets that link share one, and whether that is sure with MOST_SEEDS seeds.
-
-    Where linked sets differ in one element at most, signatures are the set's hash and those without one
-    element.  Else elements are dealt to parts by hash.  Linked sets differ in no more parts than elements, so
-    a set with more parts that are not empty than it can differ in (by the scheme, or by its own size) has one in common
-    with each.  Of two sets of parts that differ in d, the first d + 1 of each in one order have one in common (or all,
-    of a set with fewer): those are the signatures, parts of more elements first, as they are of fewer sets.
-    A set with too few parts has signatures with the next seed and more parts too, until it is sure.  Of two linked sets the first
-    that is sure ends at a seed that both have, so nobody else has to be done again.
+def _trees(rows: DataFrame, percent: int) -> DataFrame:
+    """Sets (a) and the least (b) that they reach by the links which trees find: a tree for each (token, i, j) of rows.
+
+    Rows have sid, label and codes; trees link only what their labels have apart.  Rows come sorted by tree, and a task holds one tree's at a time.
     """
-    out, sure = [], True
-    own = len(s) * (100 - percent) // percent
-    for number, _, differ, parts in schemes(len(s), percent):
-        tag = np.uint64(number + 1)
-        if differ < 2:
-            mixed = C.mix64(s + np.uint64(seed) * _K)
-            whole = mixed.sum(dtype=np.uint64)
-            of = np.append(whole - mixed, whole)
-            out.append(C.mix64(of + C.mix64(np.zeros(len(of), np.uint64) + tag)))
-            continue
-        differ = min(differ, own)
-        for k in range(MOST_SEEDS):
-            mixed = C.mix64(s + np.uint64((seed + k) * int(_K) & 2**64 - 1))
-            at = ((mixed >> np.uint64(32)) % np.uint64(parts * (k + 1))).astype(np.int64)
-            sums = np.zeros(parts * (k + 1), np.uint64)
-            np.add.at(sums, at, mixed)
-            filled = np.bincount(at, minlength=len(sums))
-            some = np.flatnonzero(filled)
-            of = C.mix64(sums[some] + C.mix64((some.astype(np.uint64) + (np.uint64(k) << np.uint64(40))) * _K + tag))
-            out.append(of[np.lexsort((of, -filled[some]))[: differ + 1]])
-            if len(some) > differ:
-                break
-        else:
-            sure = False
-    return np.concatenate(out).view(np.int64), sure
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[int, bytes]] = {}
+        links: list[tuple[bytes, bytes]] = []
+        tree = None
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """doc_id, n, sid, key and the signatures of each document's set."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+        def close() -> None:
+            if len({label for label, _ in held.values()}) > 1:
+                sids = sorted(held)
+                label = np.unique([held[s][0] for s in sids], return_inverse=True)[1]
+                found, _ = PrefixTree([_unpack_codes(held[s][1]) for s in sids], percent).connect(label)
+                links.extend((sids[a], sids[b]) for a, b in stars(found))
+            held.clear()
 
-    def sign(s: np.ndarray) -> np.ndarray:
-        tokens, sure = signatures(s, percent, 0)
-        if not sure:
-            raise RuntimeError(f"no seed of {MOST_SEEDS} gives sure signatures")
-        return tokens
+        def batch_of() -> pa.RecordBatch:
+            a, b = zip(*links, strict=True) if links else ((), ())
+            links.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            sets = [shingles(t, words) for t in C.texts(batch.column(1))]
-            ids = [set_id(s) for s in sets]
-            # Copies in a task are signed once, as far as it remembers.
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            fresh = [len(s) > 0 and i not in seen and not seen.add(i) for s, i in zip(sets, ids, strict=True)]
-            signed = [sign(s) if f else np.zeros(0, np.int64) for s, f in zip(sets, fresh, strict=True)]
-            ends = np.concatenate([[0], np.cumsum([len(t) for t in signed])]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signed) if signed else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([set_key(i) for i in ids], pa.int64()), tokens], ["doc_id", "n", "sid", "key", "tokens"])
+            for token, i, j, sid, label, codes in zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True):
+                if (token, i, j) != tree:
+                    close()
+                    tree = token, i, j
+                held[sid] = label, codes
+            if len(links) > 10_000:
+                yield batch_of()
+        close()
+        yield batch_of()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sid binary, key long, tokens array<long>")
+    tree = ["token", "i", "j"]
+    return rows.select(*tree, "sid", "label", "codes").repartition(*tree).sortWithinPartitions(*tree).mapInArrow(join, "a binary, b binary")
 
 
-def _filter_bits(keys: DataFrame, n: int) -> tuple[int, Broadcast]:
-    """log2 of the slots and bits of a filter over n keys (column h); it has at most 2**26 slots (8 MB)."""
-    log2 = C.filter_log2(n, 12, 26)
-    return log2, keys.sparkSession.sparkContext.broadcast(C.build_filter(keys, 4, log2))
+def _block(blocks: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64("sid", F.lit(salt)), blocks).cast("int")
 
 
-def _filter_of(keys: DataFrame, n: int):
-    """A predicate that is true for the n keys (column h) and for few others."""
-    log2, bits = _filter_bits(keys, n)
+def _first_round(shared: DataFrame) -> DataFrame:
+    """(token, i, j, sid): each set goes to the trees of its HOMES rarest shared tokens.
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(C.holds(np.frombuffer(bits.value, np.uint8), h.to_numpy(), 4, log2))
+    Too many sets for one tree are dealt to several, with another tree over a part of each, which joins what they find.
+    """
+    rank = F.row_number().over(W.partitionBy("sid").orderBy("token"))
+    homes = shared.withColumn("rank", rank).where(F.col("rank") <= HOMES)
+    blocks = homes.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets"))
+    dealt = homes.join(blocks.where("sets > 1"), "token")
+    places = F.array(_block(F.col("blocks"), 1), F.when((F.col("blocks") > 1) & (_block(F.col("blocks"), 2) == 0), F.lit(-1)))
+    return dealt.select("token", F.explode(F.array_compact(places)).alias("i"), F.lit(0).alias("j"), "sid")
 
-    return maybe
 
+def _last_round(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, i, j, sid, label): all sets of each token whose sets are not all joined yet.
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, sid, key), and of each set of several rows or with links sid, component_id, n_links and keep_sid.
+    Of a token, the sets of the label with most shingles need to meet only the others.  Where they are too many for
+    one tree, they are dealt to rows of a grid and the others to columns; a tree holds a row's and a column's sets,
+    and others of two columns meet in a tree of their own.
+    """
+    labelled = shared.join(labels, "sid", "left").select("sid", "n", "token", F.xxhash64(F.coalesce("component", "sid")).alias("label"))
+    sizes = labelled.groupBy("token", "label").agg(F.sum("n").alias("size"))
+    tokens = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    tokens = tokens.select("token", F.col("most.label").alias("main"), F.greatest(F.lit(1), F.ceil(F.col("most.size") / BLOCK_SHINGLES)).cast("int").alias("rows"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.size")) / BLOCK_SHINGLES)).cast("int").alias("columns"))
+    met = labelled.join(tokens, "token")
+    spot = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own_row, own_column = _block(F.col("rows"), 1), _block(F.col("columns"), 1)
+    of_main = F.transform(upto(F.col("columns")), lambda j: spot(own_row, j))
+    of_others = F.transform(upto(F.col("rows")), lambda i: spot(i, own_column))
+    # Trees of two columns have numbers below 0.
+    pairs = F.transform(F.filter(upto(F.col("columns")), lambda j: j != own_column), lambda j: spot(-1 - F.least(j, own_column), F.greatest(j, own_column)))
+    return met.select("token", F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(of_others, pairs))).alias("at"), "sid", "label").select("token", "at.i", "at.j", "sid", "label")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, n, sid), and of each set of several rows or with links sid, members, component_id and keep_sid.
 
     keep_sid is the set, in the component, of the row with the component's smallest id (null last), then the smallest sid.
-    See jaccard_components.
+    The last is the number of rows.  See jaccard_components.
     """
-    spark = docs.sparkSession
-    C.prepare(spark)
-    if not LEAST_PERCENT < percent <= 100 or words < 1:
-        raise ValueError(f"percent must be above {LEAST_PERCENT} and at most 100, and words at least 1")
-    first = C.materialize(_signed(docs, id_col, text_col, words, percent), scan=True)
-    rows = first.select("doc_id", "n", "sid", "key")
-    emitted = first.select("key", F.explode("tokens").alias("token"))
-    shared = emitted.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("b")).where("least <> b").select("token", "least")
-    # Most signatures are of one set only; a filter of bounded size keeps them from the second shuffle.
-    shared = C.materialize(shared)
-    shared_log2, shared_bits = _filter_bits(shared.select(F.col("token").alias("h")), shared.count())
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared_bits.value, np.uint8)
-        for batch in batches:
-            tokens = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
-            some = C.holds(bits, tokens, 4, shared_log2)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(tokens[some])], ["key", "token"])
-
-    picked = first.select("key", "tokens").mapInArrow(pick, "key long, token long")
-    edges = picked.join(shared, "token").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
-    groups = components(edges).withColumnsRenamed({"node": "key", "component": "group"})
-
-    classes = C.materialize(rows.where("n > 0").groupBy("sid", "n", "key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")))
-    some = C.materialize(classes.join(groups, "key"))
-    blocks = some.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    some = C.materialize(some.join(blocks, "group").select("group", "blocks", "key", "sid", "members", "first_id"))
-    maybe = _filter_of(some.select(F.xxhash64("first_id").alias("h")), some.count())
-    fetched = docs.where(maybe(F.xxhash64(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    fetched = fetched.join(some, F.col("id").eqNullSafe(F.col("first_id"))).select("text", "group", "blocks", "sid", "members")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["group", "i", "j", "block", "sid", "members", "items"]
-        for batch in batches:
-            out: list[tuple] = []
-            group, blocks, sids, members = (batch.column(i).to_pylist() for i in range(1, 5))
-            for t, g, b, sid, m in zip(C.texts(batch.column(0)), group, blocks, sids, members, strict=True):
-                s = shingles(t, words)
-                # A row with the class's id may hold another text (ids that repeat, or null).
-                if set_id(s) == sid:
-                    mine = set_key(sid) % b
-                    out += [(g, min(mine, o), max(mine, o), mine, sid, m, s.tobytes()) for o in range(b)]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 7, kinds, strict=True)], names)
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("sid").sort_values("sid")
-        mine = pdf["block"] == pdf["i"]
-        own = bool((pdf["i"] == pdf["j"]).iloc[0])
-        left, right = pdf[mine], None if own else pdf[~mine]
-        sets = [np.frombuffer(s, np.uint64) for s in left["items"]]
-        asked = None if own else [np.frombuffer(s, np.uint64) for s in right["items"]]
-        links, total, asked_total = tree_join(sets, asked, left["members"].to_numpy(), None if own else right["members"].to_numpy(), percent)
-        a, b = (left if own else right)["sid"].to_numpy(), left["sid"].to_numpy()
-        out = [(a[q], b[s], 0) for q, s in links] + [(x, x, int(n)) for x, n in zip(b, total, strict=True) if n]
-        if not own:
-            out += [(x, x, int(n)) for x, n in zip(a, asked_total, strict=True) if n]
-        return pd.DataFrame(out, columns=["a", "b", "n"])
-
-    spread_rows = fetched.mapInArrow(spread, "group long, i int, j int, block int, sid binary, members long, items binary")
-    links = C.materialize(spread_rows.groupBy("group", "i", "j").applyInPandas(join, "a binary, b binary, n long"))
-    linked = components(links.where("a <> b")).withColumnRenamed("node", "sid")
-    least = linked.join(classes, "sid").groupBy("component").agg(F.min("first_id").alias("component_id"), F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "sid"))["sid"].alias("keep_sid"))
-    counts = links.where("a = b").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("others"))
-    linked = linked.join(least, "component").join(counts, "sid", "left").select("sid", "component_id", "keep_sid", "others", F.lit(True).alias("linked"))
+    C.prepare(docs.sparkSession)
+    if not 0 < percent <= 100 or words < 1:
+        raise ValueError("percent must be above 0 and at most 100, and words at least 1")
+    bits = max(1, -(-C.input_bytes(docs, text_col) // SHARD_BYTES)).bit_length() + 1
+    chunks = C.materialize(_chunks(docs, id_col, text_col, words, min(16, bits)), scan=True)
+    heads = chunks.where("shard < 0")
+    rows = C.materialize(heads.select(F.explode(F.arrays_zip("ids", "ns", "sids")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.ns").alias("n"), F.col("x.sids").alias("sid")))
+    total = rows.count()
+    levels = C.materialize(chunks.where("shard >= 0").select("chunk", "shard", "part").groupBy("shard").applyInPandas(_frequency, "chunk long, shard int, level binary"))
+    found = chunks.select("chunk", "shard", "sets", "part").groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_candidates(percent), "sid binary, n long, tokens array<long>, codes binary")
+    # A set of several chunks is the same in all of them.
+    sets = C.materialize(C.materialize(found).groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("codes").alias("codes")))
+    each = sets.select("sid", "n", F.explode("tokens").alias("token"))
+    several = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
+    shared = C.materialize(each.join(several, "token"))
+    codes = sets.select("sid", "codes")
+    links = C.materialize(_trees(_first_round(shared).withColumn("label", F.xxhash64("sid")).join(codes, "sid"), percent))
+    labels = components(links).withColumnRenamed("node", "sid")
+    more = C.materialize(_trees(_last_round(shared, labels).join(codes, "sid"), percent))
+    if not more.isEmpty():
+        labels = components(more.unionByName(labels.select(F.col("sid").alias("a"), F.col("component").alias("b")))).withColumnRenamed("node", "sid")
+    classes = C.materialize(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")))
+    least = C.materialize(labels.join(classes, "sid").groupBy("component").agg(F.min("first_id").alias("component_id"), F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "sid"))["sid"].alias("keep_sid"), F.count(F.lit(1)).alias("sets")))
+    linked = C.join_skewed(labels, least, "component", F.col("sets"), total).select("sid", "component_id", "keep_sid", F.lit(True).alias("linked"))
     # Only classes of several rows, or with links, have anything to tell their rows.
     told = classes.join(linked, "sid", "left").where(F.col("linked") | (F.col("members") > 1))
-    told = told.select("sid", F.coalesce("component_id", "first_id").alias("component_id"), (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("keep_sid", "sid").alias("keep_sid"))
-    return rows, told
+    told = C.materialize(told.select("sid", "members", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"), F.coalesce("keep_sid", "sid").alias("keep_sid")))
+    return rows, told, total
+
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Return doc_id, n_shingles, component_id, n_links for each row of docs.
+    """Return doc_id, n_shingles, component_id for each row of docs.
 
     A document's set is its distinct shingles of so many words (A-Z lower-cased); two documents link when
     the Jaccard similarity of their sets is at least percent.  component_id is the smallest id that links
-    reach; n_links is the number of other rows that the row links to.  Without words (or text) the set is
-    empty and links with nothing.  Null ids take part; their component's id is the smallest that is not null.
-    Repeated rows each give a row and link with one another; other columns are not read.
-
-    percent is above LEAST_PERCENT and at most 100.
-
-    1. One pass gives each document's set an id and signatures (see signatures).  Equal sets are one class, by a
-       pre-aggregated group.  A set for which a seed's signatures are not sure gets more, with the next seed.
-    2. Different sets that share a signature, directly or in a chain, form a candidate group.  What shares nothing
-       is left out by a pre-aggregated minimum and maximum.  Only candidates' texts shuffle, behind a Bloom filter of
-       bounded size.
-    3. Each group is joined by a prefix tree.  A group of more shingles than BLOCK_SHINGLES is split by hash into
-       blocks, and each pair of blocks is a task, so no task holds a whole large group.  A task emits the links
-       that join what it had not joined yet, fewer than its sets, and each set's number of links.
+    reach.  Without words (or text) the set is empty and links with nothing.  Null ids take part; their component's id
+    is the smallest that is not null.  Repeated rows each give a row and link with one another; an empty table gives
+    an empty result; other columns are not read.
+
+    1. One pass cuts the texts into chunks of sets; a shingle's frequency, the number of chunks' sets that hold it, is
+       added up by shards of the shingle's hash, and goes back to the chunks.  The global order of shingles is by
+       frequency (its power of two), then by hash.
+    2. A set's prefix, rarest first, has an element in common with each set that it links to (prefix_length).  Most sets
+       have no prefix element that another has: they are done.  Equal sets are one.
+    3. The others go to prefix trees by their prefix elements, and the trees find the links: first to those of
+       their HOMES rarest shared elements, then, where an element's sets are not all connected yet, to all.
+       A tree holds about BLOCK_SHINGLES; sets that are too many are split, those already connected among
+       themselves without pairing their parts.  Trees emit links only where they join two components.
+
+    In the trees a shingle is a hash of HASH_BITS bits; n_shingles counts 64-bit hashes.
     """
-    rows, told = _classes(docs, id_col, text_col, words, percent)
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    met = rows.where("n > 0").join(told, "sid", "left")
-    return met.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).unionByName(alone)
+    rows, told, total = _classes(docs, id_col, text_col, words, percent)
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    met = C.join_skewed(rows.where("n > 0"), told, "sid", F.col("members"), total, "left")
+    known = F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return met.select("doc_id", F.col("n").alias("n_shingles"), known.alias("component_id")).unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -456,33 +463,41 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     It is the row of the smallest id (null last), then of the smallest hash of its set; which one is open if several
     rows have both the id and the set.  Rows go by id and set, so another text under the id of a copy (null, or repeated) stays.
-    Rows without words stay.  Texts shuffle only where a Bloom filter of bounded size says that their id may be one to
-    drop.
+    Rows without words (or text) stay; an empty table stays empty.  Texts shuffle only where a Bloom filter of bounded
+    size says that their id may be one to drop.
     """
-    rows, told = _classes(docs, id_col, text_col, words, percent)
-    stays = F.col("sid") == F.col("keep_sid")
-    stays &= F.col("doc_id").eqNullSafe(F.col("component_id"))
-    met = rows.where("n > 0").join(told, "sid").groupBy(F.col("doc_id").alias("_met_id"), F.col("sid").alias("_met_sid"), stays.alias("_stays")).agg(F.count(F.lit(1)).alias("_rows"))
-    met = C.materialize(met.where("not _stays or _rows > 1"))
-    maybe = _filter_of(met.select(F.xxhash64("_met_id").alias("h")), met.count())
-    own = "_sid_of_text"
-    while own in docs.columns:
-        own += "_"
+    rows, told, total = _classes(docs, id_col, text_col, words, percent)
+    stays = (F.col("sid") == F.col("keep_sid")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    met = C.join_skewed(rows.where("n > 0"), told, "sid", F.col("members"), total)
+    met = met.groupBy(F.col("doc_id").alias("_met_id"), F.col("sid").alias("_met_digest"), stays.alias("_stays")).agg(F.count(F.lit(1)).alias("_rows"))
 
     @F.pandas_udf("binary")
     def sid(texts: pd.Series) -> pd.Series:
         return pd.Series([set_id(shingles(bytes(t or b""), words)) for t in texts])
 
-    clear = docs.where(~maybe(F.xxhash64(id_col)))
-    rest = docs.where(maybe(F.xxhash64(id_col))).withColumn(own, sid(F.col(text_col).cast("binary")))
-    same = rest[id_col].eqNullSafe(met["_met_id"]) & (rest[own] == met["_met_sid"])
-    out = clear.unionByName(rest.join(met, same, "left_anti").drop(own))
-    again = met.where("_stays")
-    if not again.isEmpty():
-        once = rest.join(again, same, "left_semi").dropDuplicates([id_col, own])
-        out = out.unionByName(once.drop(own))
-    return out
+    return C.without(docs, id_col, lambda d: sid(d[text_col].cast("binary")), met.where("not _stays or _rows > 1"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jaccard_components over documents: nulls, ties, repeated rows and empty tables as there."""
     return jaccard_components(C.table(spark, sf_dir, "documents"))
+
+
+#: Shingles are joined as lists of words by list functions; links are closed by a recursive query.
+SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{C.UPPER}', '{C.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS s FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.b, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = s.doc_id
+"""
