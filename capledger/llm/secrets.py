@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import _common as C
 
 #: Base kinds: name, pattern, group of the value, least characters of the value.
@@ -18,29 +19,13 @@ KINDS = (
 EXTRA = ("key", r"([A-Za-z0-9+/_=-]{20,})", 1, 20)
 #: A value seen with at least so many owners, or in so many repositories, is a widely copied example.
 WIDE_OWNERS, WIDE_REPOS = 3, 6
-
-_SPAN = "array<struct<start:long,rank:int,kind:string,stop:long,value:string>>"
-
+#: Parts over which the rows of a value are dealt where they are told how widely it is spread.
+SALTS = 32
 
 def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches, in code points, whose value has at least the least length.
-
-    split gives the gaps between the matches that regexp_extract_all gives, by the same engine, so running
-    sums of their lengths are the positions.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pieces = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(found, F.length).alias("length"), value.alias("value"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.struct(start.cast("long").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + x["length"]).cast("long").alias("stop"), x["value"].alias("value"))
-        return F.struct((start + x["length"]).alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    # A cheap test first: most texts have no match.
-    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    """Leftmost non-overlapping matches, in code points, whose value has at least the least length."""
+    long_ = F.filter(T.match_spans(text, pattern, (group,)), lambda s: F.length(s["values"][0]) >= least)
+    return F.transform(long_, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["stop"].alias("stop"), s["values"][0].alias("value")))
 
 
 def _show(spans: Column) -> Column:
@@ -58,7 +43,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text counts as empty; a null owner is one owner.  Texts without a candidate, nearly all, meet no
     shuffle.  Value hashes are pre-aggregated to distinct (hash, owner, repository) before they shuffle, so
-    a value copied into a third of all rows is a few rows.  Repeated rows each give a row of the result.
+    a value copied into a third of all rows is a few rows; where they learn how widely a value is spread, its rows are
+    dealt to SALTS parts.  Repeated rows each give a row of the result; an empty table gives an empty result; other columns
+    are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = [_spans(text, i, *k) for i, k in enumerate(KINDS)]
@@ -77,7 +64,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Distinct (value, owner, repository) is made before each shuffle; then each value is one row.
     wide = each.select("value", "owner", "repo").distinct().groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count(F.lit(1)).alias("repos"))
     wide = wide.where((F.col("owners") >= wide_owners) | (F.col("repos") >= wide_repos)).select("value", F.lit(True).alias("wide"))
-    told = each.join(wide, "value", "left").withColumn("live", F.col("wide").isNull())
+    # A value may be in a third of all rows: its rows are dealt to SALTS parts, and the wide values, which are few, go to each.
+    wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)).cast("int")).join(wide, ["value", "salt"], "left").withColumn("live", F.col("wide").isNull())
     key = ["doc_id", "owner", "repo", "digest", "n_assign", "n_access", "n_hex"]
     kept = F.col("live") | (F.col("span")["rank"] < len(KINDS))
     mark = F.struct(F.col("span")["start"].alias("start"), F.col("span")["rank"].alias("rank"), F.col("span")["kind"].alias("kind"), F.col("span")["stop"].alias("stop"))
@@ -89,4 +78,5 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """secret_scan over documents: nulls, ties, repeated rows and empty tables as there."""
     return secret_scan(C.table(spark, sf_dir, "documents"))
