@@ -14,8 +14,10 @@ from . import _common as C
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Hosts that are blocked with all their subdomains where no rule fits.
 LISTED = ("adult-x.example.com", "spam-farm.example.org", "cheap-pills.example.net", "ads-track.example.com", "casino-win.example.net", "free-bets.example.net")
-#: Slots for each key of a level, hash functions, log2 of the most slots of a level (2 MB), and the most levels.
-BITS_PER_KEY, HASHES, MOST_LOG2, MOST_LEVELS = 8, 3, 24, 24
+#: A url with a tracking parameter, and the share of a host's urls from which the host is listed, in per cent.
+TRACKED, TRACKED_PERCENT = r"[?&](utm_[a-z]+|ref)=", 50
+#: Slots for each key of a level (at least) and hash functions, and the share of other keys that a level passes at most.
+BITS_PER_KEY, HASHES, PASSED = 8, 3, 0.04
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -34,6 +36,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
+def tracking_hosts(pages: DataFrame, url_col: str = "url", percent: int = TRACKED_PERCENT) -> DataFrame:
+    """host: those of whose urls at least percent carry a tracking parameter.
+
+    Counts cover all rows, repeated ones as often; null urls and urls without a host list nothing.
+    """
+    host, _ = host_and_path(F.col(url_col))
+    counts = pages.select(host.alias("host"), F.coalesce(F.col(url_col).rlike(TRACKED), F.lit(False)).alias("tracked")).where("host <> ''")
+    return counts.groupBy("host").agg(F.count_if("tracked").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("t") * 100 >= F.col("n") * percent).select("host")
+
+
 class Cascade:
     """Filters of alternate levels: the listed keys, the universe's false positives, theirs, and so on.
 
@@ -55,37 +67,23 @@ class Cascade:
         return out
 
 
-def _passes(bits: Broadcast, log2: int, seed: int):
-    @F.pandas_udf("boolean")
-    def passes(h: pd.Series) -> pd.Series:
-        return pd.Series(C.holds(np.frombuffer(bits.value, np.uint8), h.to_numpy(), HASHES, log2, seed))
-
-    return passes
+def build_cascade(inside: DataFrame, outside: DataFrame) -> Cascade:
+    """Cascade for the distinct 64-bit hashes (column h) of the listed keys (inside) and the universe's others.
 
-
-def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
-    """Cascade for the keys of universe (one column h of 64-bit hashes), of which listed holds those listed.
-
-    Each level is built by a distributed pass; what comes to the driver is a filter of at most 2**MOST_LOG2
-    slots.  Levels alternate between the listed keys that passed so far and the others that did, so each is
-    smaller than the one before, until no key passes wrongly.
+    Each level is built by a distributed pass and is sized by its keys; what comes to the driver is its filter.  Levels
+    alternate between the listed keys that passed so far and the others that did.  A level passes a small share of the other
+    side, so the sides get smaller until no key passes wrongly.  Without listed keys one level passes nothing.
     """
-    spark = universe.sparkSession
-    universe = universe.select("h").distinct()
-    listed = listed.select("h").distinct()
-    # The two sides are kept apart; each level's false positives come from the side that was not encoded last.
-    inside = C.materialize(universe.join(listed, "h", "left_semi"))
-    outside = C.materialize(universe.join(listed, "h", "left_anti"))
+    spark = inside.sparkSession
     levels: list[tuple[int, bytes]] = []
     side, other = inside, outside
     while (n := side.count()) or not levels:
-        if len(levels) == MOST_LEVELS:
-            raise RuntimeError(f"the cascade has {n} keys left after {MOST_LEVELS} levels: raise MOST_LOG2")
-        log2 = C.filter_log2(n, BITS_PER_KEY, MOST_LOG2)
-        seed = len(levels)
+        log2, seed = C.filter_log2(n, BITS_PER_KEY), len(levels)
         bits = C.build_filter(side, HASHES, log2, seed=seed)
         levels.append((log2, bits))
-        side, other = C.materialize(other.where(_passes(spark.sparkContext.broadcast(bits), log2, seed)("h"))), side
+        shared = spark.sparkContext.broadcast(bits)
+        side, other = C.materialize(other.where(C.held_by(shared, HASHES, log2, seed)("h"))), side
+        shared.unpersist()
     return Cascade(levels)
 
 
@@ -95,51 +93,82 @@ def _suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def _is_listed(cascade: Broadcast, i: int, ranges: int):
+    """Pandas UDF: whether one of a row's hashes (an array) is in the i-th range and listed by its cascade."""
+
+    @F.pandas_udf("boolean")
+    def listed(keys: pd.Series) -> pd.Series:
+        if not len(keys):
+            return pd.Series([], dtype=bool)
+        flat = np.concatenate(keys.to_list())
+        sizes = np.array([len(k) for k in keys])
+        ends = np.cumsum(sizes)
+        mine = (flat >= -(1 << 63) + (i << 64) // ranges) & (flat <= -(1 << 63) + (i + 1 << 64) // ranges - 1)
+        mine[mine] = cascade.value.listed(flat[mine])
+        hits = np.concatenate([[0], np.cumsum(mine)])
+        return pd.Series(hits[ends] > hits[ends - sizes])
+
+    return listed
+
+
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, listed: DataFrame | tuple[str, ...] = LISTED) -> DataFrame:
     """Return page_id, host, path, rule and verdict (allow or block) for each row of pages.
 
     The rule's verdict holds where one fits; else a url is blocked if its host or a domain above it is
     listed (listed: hosts, or a DataFrame of one column of hosts).  Membership comes from a cascade of Bloom
     filters over all hosts of the table and the domains above them, which is exact for them, so rows meet no
-    join and no shuffle.  Hosts are keyed by a 64-bit hash.  A null or malformed url has an empty host and
-    path and is allowed.  Repeated rows each give a row; other columns are not read.
+    join and no shuffle.  Hosts are keyed by a 64-bit hash.  Keys that are too many for filters of bounded size are cut
+    into ranges of the hash, each with its own cascade, which the rows meet one after the other.
+
+    A null or malformed url has an empty host and path and is allowed.  Repeated rows each give a row; an empty table gives
+    an empty result; other columns are not read.
     """
     spark = pages.sparkSession
     C.prepare(spark)
     if not isinstance(listed, DataFrame):
         listed = spark.createDataFrame([(h,) for h in listed], "host string")
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    universe = rows.select("host").distinct().select(F.explode(_suffixes(F.col("host"))).alias("host")).select(F.xxhash64("host").alias("h"))
-    cascade = spark.sparkContext.broadcast(build_cascade(universe, listed.select(F.xxhash64(C.lower_ascii(F.col(listed.columns[0]))).alias("h"))))
-
-    @F.pandas_udf("boolean")
-    def is_listed(keys: pd.Series) -> pd.Series:
-        flat = np.concatenate(keys.to_list()) if len(keys) else np.empty(0, np.int64)
-        ends = np.cumsum([len(k) for k in keys])
-        hits = np.concatenate([[0], np.cumsum(cascade.value.listed(flat))])
-        return pd.Series(hits[ends] > hits[ends - [len(k) for k in keys]]) if len(keys) else pd.Series([], dtype=bool)
-
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.lit(False).alias("hit"))
+    universe = rows.select("host").distinct().select(F.explode(_suffixes(F.col("host"))).alias("host")).select(F.xxhash64("host").alias("h")).distinct()
+    named = listed.select(F.xxhash64(C.lower_ascii(F.col(listed.columns[0]))).alias("h")).distinct()
+    # The two sides are kept apart; each level's false positives come from the side that was not encoded last.
+    inside = C.materialize(universe.join(named, "h", "left_semi"))
+    outside = C.materialize(universe.join(named, "h", "left_anti"))
+    ranges = C.n_ranges(max(inside.count(), int(PASSED * outside.count())), BITS_PER_KEY)
     keys = F.transform(_suffixes(F.col("host")), lambda h: F.xxhash64(h))
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(is_listed(keys), "block").otherwise("allow")).alias("verdict"))
+    for i in range(ranges):
+        own = lambda df, i=i: df.where(C.in_range(F.col("h"), i, ranges))
+        cascade = spark.sparkContext.broadcast(build_cascade(own(inside), own(outside)))
+        rows = rows.withColumn("hit", F.col("hit") | _is_listed(cascade, i, ranges)(keys))
+        if i + 1 < ranges:
+            rows = C.materialize(rows)
+            cascade.unpersist()
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(C.table(spark, sf_dir, "pages"))
+    """url_filter over pages, with LISTED and the pages' own tracking_hosts; odd rows as there."""
+    pages = C.table(spark, sf_dir, "pages")
+    named = spark.createDataFrame([(h,) for h in LISTED], "host string")
+    return url_filter(pages, listed=tracking_hosts(pages).unionByName(named))
 
 
-_LISTED_SQL = " OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in LISTED)
 _FITS = [(h + p, v, f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')") for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
 SQL = f"""
 WITH cut AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
-  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+  SELECT page_id, url, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
 ), hosts AS (
-  SELECT page_id, translate(raw, '{C.UPPER}', '{C.LOWER}') AS host, path FROM parts
+  SELECT page_id, url, translate(raw, '{C.UPPER}', '{C.LOWER}') AS host, path FROM parts
+), listed AS (
+  SELECT host AS l FROM hosts WHERE host <> '' GROUP BY host HAVING 100 * count(*) FILTER (regexp_matches(url, '{TRACKED}')) >= {TRACKED_PERCENT} * count(*)
+  UNION SELECT unnest({list(LISTED)})
+), blocked AS (
+  SELECT DISTINCT host AS b FROM (SELECT DISTINCT host FROM hosts) JOIN listed ON host = l OR ends_with(host, '.' || l)
 )
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {f} THEN '{t}'" for t, _, f in _FITS)} END AS rule,
-       CASE {" ".join(f"WHEN {f} THEN '{v}'" for _, v, f in _FITS)} WHEN {_LISTED_SQL} THEN 'block' ELSE 'allow' END AS verdict
-FROM hosts
+       CASE {" ".join(f"WHEN {f} THEN '{v}'" for _, v, f in _FITS)} WHEN b IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM hosts LEFT JOIN blocked ON host = b
 """
