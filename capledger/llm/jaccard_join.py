@@ -145,45 +145,56 @@ class PrefixTree:
     def connect(self, label: np.ndarray) -> tuple[list[tuple[int, int]], int]:
         """Links (in numbers of sets) that join what label (a number for each set) had apart; and the nodes visited.
 
-        Each set walks down the tree; all children of a node are looked at together.  The overlap down to a node is
-        its parent's and that of its own edge, so sets that share a prefix share the work.  A subtree is left when all its sets
-        are joined with the walking one already, or when none can reach the similarity: by their sizes, with all
-        that is left of the largest of them, or with all that is left of the walking set for the smallest.
+        A subtree is left out when all its sets are joined with the walking one already.
         """
-        percent, links, visited = self.percent, [], 0
+        links, visited = [], 0
         label = label[self.order]
-        change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+        self.change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
         for k in range(len(self.sets)):
-            if change[-1] == 0:
+            if self.change[-1] == 0:
                 break
-            n, codes = len(self.sets[k]), self.sets[k][::-1]
-            self.has[self.at[k]] = 1
-            walk = [(0, 0)]
-            while walk:
-                v, overlap = walk.pop()
-                a, b = self.first[v], self.stop[v]
-                if a == b or (change[self.hi[v] - 1] == change[self.lo[v]] and label[self.lo[v]] == label[k]):
-                    continue
-                visited += b - a
-                of = slice(a, b)
-                depth, most, least = self.depth[of], self.most[of], self.least[of]
-                edge = self.has[self.flat[self.start[a] : self.start[b]]]
-                both = overlap + np.add.reduceat(edge, self.start[of] - self.start[a])
-                left = np.searchsorted(codes, self.last[of])
-                ok = (most * 100 >= n * percent) & (least * percent <= n * 100)
-                ok &= (both + most - depth) * (100 + percent) >= percent * (n + most)
-                ok &= (both + left) * (100 + percent) >= percent * (n + least)
-                hits = self.leaf[of]
-                hits = hits[(hits >= 0) & ok & (both * (100 + percent) >= percent * (n + depth))]
+            for hits, nodes in self._walk(k, label):
+                visited += nodes
                 for hit in hits.tolist():
                     if label[hit] != label[k]:
                         links.append((self.order[k], self.order[hit]))
                         label[label == label[hit]] = label[k]
-                        change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
-                walk += [(a + i, both[i]) for i in np.flatnonzero(ok).tolist()]
-            self.has[self.at[k]] = 0
+                        self.change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
         return links, visited
 
+    def links(self) -> list[tuple[int, int]]:
+        """All links, each once, in numbers of sets."""
+        return [(self.order[k], self.order[hit]) for k in range(len(self.sets)) for hits, _ in self._walk(k) for hit in hits.tolist() if hit > k]
+
+    def _walk(self, k: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, int]]:
+        """The k-th set walks down the tree: the sets that it meets and links to, and the nodes looked at, step by step.
+
+        All children of a node are looked at together.  The overlap down to a node is its parent's and that of its own edge, so
+        sets that share a prefix share the work.  A subtree is left when none of its sets can reach the similarity: by
+        their sizes, with all that is left of the largest of them, or with all that is left of the walking set for the
+        smallest.
+        """
+        percent, n, codes = self.percent, len(self.sets[k]), self.sets[k][::-1]
+        walk = [(0, 0)]
+        while walk:
+            v, overlap = walk.pop()
+            a, b = self.first[v], self.stop[v]
+            if a == b or (label is not None and self.change[self.hi[v] - 1] == self.change[self.lo[v]] and label[self.lo[v]] == label[k]):
+                continue
+            of = slice(a, b)
+            depth, most, least = self.depth[of], self.most[of], self.least[of]
+            self.has[self.at[k]] = 1
+            edge = self.has[self.flat[self.start[a] : self.start[b]]]
+            self.has[self.at[k]] = 0
+            both = overlap + np.add.reduceat(edge, self.start[of] - self.start[a])
+            left = np.searchsorted(codes, self.last[of])
+            ok = (most * 100 >= n * percent) & (least * percent <= n * 100)
+            ok &= (both + most - depth) * (100 + percent) >= percent * (n + most)
+            ok &= (both + left) * (100 + percent) >= percent * (n + least)
+            hits = self.leaf[of]
+            yield hits[(hits >= 0) & ok & (both * (100 + percent) >= percent * (n + depth))], b - a
+            walk += [(a + i, both[i]) for i in np.flatnonzero(ok).tolist()]
+
 
 def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Links of each number with the least that links reach from it, in place of links that reach the same."""
@@ -316,10 +327,10 @@ def _candidates(percent: int):
 # ---------------------------------------------------------------- the join
 
 
-def _trees(rows: DataFrame, percent: int) -> DataFrame:
+def _trees(rows: DataFrame, percent: int, all_links: bool = False) -> DataFrame:
     """Sets (a) and the least (b) that they reach by the links which trees find: a tree for each (token, i, j) of rows.
 
-    Rows have sid, label and codes; trees link only what their labels have apart.  Rows come sorted by tree, and a task holds one tree's at a time.
+    With all_links, all pairs that link.  Rows have sid, label and codes; trees link only what their labels have apart.  Rows come sorted by tree, and a task holds one tree's at a time.
     """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,8 +342,8 @@ def _trees(rows: DataFrame, percent: int) -> DataFrame:
             if len({label for label, _ in held.values()}) > 1:
                 sids = sorted(held)
                 label = np.unique([held[s][0] for s in sids], return_inverse=True)[1]
-                found, _ = PrefixTree([_unpack_codes(held[s][1]) for s in sids], percent).connect(label)
-                links.extend((sids[a], sids[b]) for a, b in stars(found))
+                tree_ = PrefixTree([_unpack_codes(held[s][1]) for s in sids], percent)
+                links.extend((sids[max(x)], sids[min(x)]) for x in (tree_.links() if all_links else stars(tree_.connect(label)[0])))
             held.clear()
 
         def batch_of() -> pa.RecordBatch:
@@ -394,12 +405,8 @@ def _last_round(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select("token", F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(of_others, pairs))).alias("at"), "sid", "label").select("token", "at.i", "at.j", "sid", "label")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
-    """Rows (doc_id, n, sid), and of each set of several rows or with links sid, members, component_id and keep_sid.
-
-    keep_sid is the set, in the component, of the row with the component's smallest id (null last), then the smallest sid.
-    The last is the number of rows.  See jaccard_components.
-    """
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, sid); sid, n and token of each set and prefix element that it shares; those sets' codes."""
     C.prepare(docs.sparkSession)
     if not 0 < percent <= 100 or words < 1:
         raise ValueError("percent must be above 0 and at most 100, and words at least 1")
@@ -407,7 +414,6 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     chunks = C.materialize(_chunks(docs, id_col, text_col, words, min(16, bits)), scan=True)
     heads = chunks.where("shard < 0")
     rows = C.materialize(heads.select(F.explode(F.arrays_zip("ids", "ns", "sids")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.ns").alias("n"), F.col("x.sids").alias("sid")))
-    total = rows.count()
     levels = C.materialize(chunks.where("shard >= 0").select("chunk", "shard", "part").groupBy("shard").applyInPandas(_frequency, "chunk long, shard int, level binary"))
     found = chunks.select("chunk", "shard", "sets", "part").groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_candidates(percent), "sid binary, n long, tokens array<long>, codes binary")
     # A set of several chunks is the same in all of them.
@@ -415,7 +421,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     each = sets.select("sid", "n", F.explode("tokens").alias("token"))
     several = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
     shared = C.materialize(each.join(several, "token"))
-    codes = sets.select("sid", "codes")
+    return rows, shared, sets.select("sid", "codes")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, n, sid), and of each set of several rows or with links sid, members, component_id and keep_sid.
+
+    keep_sid is the set, in the component, of the row with the component's smallest id (null last), then the smallest sid.
+    The last is the number of rows.  See jaccard_components.
+    """
+    rows, shared, codes = _prefixes(docs, id_col, text_col, words, percent)
+    total = rows.count()
     links = C.materialize(_trees(_first_round(shared).withColumn("label", F.xxhash64("sid")).join(codes, "sid"), percent))
     labels = components(links).withColumnRenamed("node", "sid")
     more = C.materialize(_trees(_last_round(shared, labels).join(codes, "sid"), percent))
@@ -458,6 +474,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return met.select("doc_id", F.col("n").alias("n_shingles"), known.alias("component_id")).unionByName(alone)
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Return a, b: the set ids of each two different sets that link, a above b.  class_members tells each row's set id.
+
+    The join itself.  Its result, unlike that of jaccard_components, may be as large as the square of a group.  Documents
+    with equal sets are one class; empty sets, empty tables and odd rows are as there.
+    """
+    _, shared, codes = _prefixes(docs, id_col, text_col, words, percent)
+    apart = shared.select("sid", F.col("sid").alias("component")).distinct()
+    return _trees(_last_round(shared, apart).join(codes, "sid"), percent, all_links=True).distinct()
+
+
+def class_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """Return doc_id, n_shingles and sid, the id of its set, for each row."""
+    C.prepare(docs.sparkSession)
+
+    @F.pandas_udf("n_shingles long, sid binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(bytes(t or b""), words) for t in texts]
+        return pd.DataFrame({"n_shingles": [len(s) for s in sets], "sid": [set_id(s) for s in sets]})
+
+    return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col).cast("binary")).alias("x")).select("doc_id", "x.*")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all columns, but of each component of links only one row.
 

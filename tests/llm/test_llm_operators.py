@@ -29,7 +29,12 @@ def brute_dedup(rows):
     for i, t in rows:
         groups.setdefault(t or "", []).append(i)
     keep = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
-    return sorted({(i, keep[t or ""], len(groups[t or ""]), i == keep[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}, key=str)
+    seen = Counter()
+    out = []
+    for i, t in rows:
+        seen[i, t or ""] += 1
+        out.append((i, keep[t or ""], len(groups[t or ""]), i == keep[t or ""] and seen[i, t or ""] == 1, hashlib.sha256((t or "").encode()).hexdigest()))
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("which", ["documents", "odd", "none"])
@@ -39,15 +44,33 @@ def test_exact_dedup(which, request):
     assert got == brute_dedup([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
-def test_exact_dedup_with_hot_groups_and_a_full_filter(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
-    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", 10_000)
-    monkeypatch.setattr(exact_dedup, "BITS_PER_KEY", 1e-9)
+def test_exact_dedup_with_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT_ROWS", 3)
     df = spark.createDataFrame([(i, f"t{i % 7 if i < 50 else i}") for i in range(20_000)], "doc_id long, text string")
     got = exact_dedup.exact_dedup(df)
     assert got.where("group_size > 1").count() == 50 and got.where("kept").count() == 20_000 - 43
 
 
+def test_exact_dedup_flags_few_rows_at_a_hundred_times_a_filters_keys(spark, monkeypatch):
+    monkeypatch.setattr(C, "RANGE_LOG2", 13)
+    keys = (1 << 13) // exact_dedup.BITS_PER_KEY
+    n = 100 * keys
+    keyed = C.materialize(spark.range(n).selectExpr("id as doc_id", "cast(id as string) as sha", "xxhash64(id) as h").unionByName(spark.range(20).selectExpr("-1 - id as doc_id", "cast(id as string) as sha", "xxhash64(id) as h")))
+    assert C.n_ranges(n + 20, exact_dedup.BITS_PER_KEY) > 99
+    flagged, rows = exact_dedup._flagged(keyed)
+    assert rows == n + 20 == flagged.count()
+    some = {r["doc_id"] for r in flagged.where("maybe").collect()}
+    assert some >= {i for k in range(20) for i in (k, -1 - k)} and len(some) < 0.01 * n
+
+
+def test_drop_copies_of_repeated_rows_and_ids(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "a"), (None, "c"), (None, "c"), (None, "d"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, exact_dedup.drop_copies(df).collect()), key=str)
+    assert got == sorted([(1, "b"), (2, "a"), (None, "c"), (None, "d"), (4, "")], key=str)
+    assert exact_dedup.drop_copies(df.limit(0)).count() == 0
+
+
 def test_drop_copies_keeps_columns(odd):
     got = exact_dedup.drop_copies(odd)
     assert got.columns == odd.columns
@@ -260,7 +283,7 @@ def test_mix_is_the_queue_by_virtual_finish_time(spark, monkeypatch):
     random.seed(4)
     df = spark.createDataFrame([(i, "w " * random.randint(0, 9), random.choice(["a", "b", "c", None])) for i in range(600)], "doc_id long, text string, source string")
     rows = {r["doc_id"]: r for r in mixing.mix_sources(df).collect()}
-    place = {r["doc_id"]: r["p"] for r in df.selectExpr("doc_id", f"xxhash64(doc_id, {mixing.SEED}) as p").collect()}
+    place = {i: hashlib.md5(str(i).encode()).hexdigest() for i in rows}
     upto, items = Counter(), []
     for d in sorted(df.collect(), key=lambda r: place[r["doc_id"]]):
         r = rows[d["doc_id"]]
@@ -285,6 +308,25 @@ def test_mix_of_odd_rows(odd, none):
     assert mixing.apply_mix(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("ranges", [4096, 3])
+def test_ranges_are_added_up_in_two_levels(spark, monkeypatch, ranges):
+    monkeypatch.setattr(mixing, "ROWS_IN_ORDER", 20)
+    df = spark.createDataFrame([(i, "w " * (i * 7 % 9), "abc"[i % 3] if i % 4 else None) for i in range(600)], "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix_sources(df).collect()))
+    monkeypatch.setattr(mixing, "RANGES_IN_ORDER", ranges)
+    assert sorted(map(tuple, mixing.mix_sources(df).collect())) == want
+
+
+def test_copies_of_the_mix_are_as_many_as_it_takes(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e", "t"), (2, "f", "t"), (None, "g h", None), (None, "i", None), (None, "i", None)]
+    rows += [(i, "w " * (i % 5 + 1), "u") for i in range(3, 60)]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, source string, _mix_id int, _mix_times string")
+    taken = mixing.mix_sources(df).where("taken > 0").collect()
+    got = mixing.apply_mix(df)
+    assert got.columns == df.columns
+    assert Counter((r["doc_id"], len(WORDS(r["text"]))) for r in got.collect()) == sum((Counter({(r["doc_id"], r["size"]): r["taken"] // r["size"]}) for r in taken), Counter())
+
+
 # ---------------------------------------------------------------- 6 Jaccard join
 
 
@@ -297,7 +339,7 @@ def brute_join(rows):
     for k, s in enumerate(sets):
         for g in s:
             where.setdefault(g, []).append(k)
-    parent, links = list(range(len(rows))), [0] * len(rows)
+    parent = list(range(len(rows)))
 
     def find(a):
         while parent[a] != a:
@@ -307,13 +349,12 @@ def brute_join(rows):
     for k, s in enumerate(sets):
         for o, both in Counter(o for g in s for o in where[g]).items():
             if o != k and 100 * both >= 90 * (len(s) + len(sets[o]) - both):
-                links[k] += 1
                 parent[find(k)] = find(o)
     least = {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[find(k)] = min(least.get(find(k), i), i)
-    return sorted(((i, len(sets[k]), least.get(find(k)), links[k]) for k, (i, _) in enumerate(rows)), key=str)
+    return sorted(((i, len(sets[k]), least.get(find(k))) for k, (i, _) in enumerate(rows)), key=str)
 
 
 def near_copies(n_groups=4, n=30):
@@ -346,8 +387,15 @@ def test_jaccard_of_near_copies_in_blocks(spark, monkeypatch, block):
     assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect()), key=str) == brute_join(rows)
 
 
-def test_tree_finds_all_links():
-    rng = np.random.default_rng(1)
+def falling(sets):
+    """Codes of sets of small numbers: frequency class above the number, most frequent first."""
+    n = Counter(x for s in sets for x in s.tolist())
+    return [np.sort(np.array([(n[x].bit_length() << jaccard_join.HASH_BITS) | x for x in s.tolist()], np.uint64))[::-1] for s in sets]
+
+
+@pytest.mark.parametrize("percent", [30, 50, 80, 90, 100])
+def test_tree_finds_all_links(percent):
+    rng = np.random.default_rng(percent)
     for _ in range(15):
         base = [np.unique(rng.integers(0, 60, rng.integers(1, 30)).astype(np.uint64)) for _ in range(6)]
         sets = {}
@@ -357,31 +405,58 @@ def test_tree_finds_all_links():
             if len(k):
                 sets[k.tobytes()] = k
         sets = list(sets.values())
-        tree = jaccard_join.PrefixTree(sets)
-        for percent in (50, 80, 90):
-            for s in sets:
-                want = [i for i, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= percent * len(np.union1d(s, o))]
-                assert sorted(tree.linked(s, percent)) == want
+        want = {(a, b) for a, s in enumerate(sets) for b, o in enumerate(sets) if a < b and 100 * len(np.intersect1d(s, o)) >= percent * len(np.union1d(s, o))}
+        tree = jaccard_join.PrefixTree(falling(sets), percent)
+        assert sorted(tuple(sorted(x)) for x in tree.links()) == sorted(want)
+        found, _ = jaccard_join.PrefixTree(falling(sets), percent).connect(np.arange(len(sets)))
+        assert {tuple(sorted(x)) for x in found} <= want
+        reach = lambda links: dict(jaccard_join.stars(list(links)))
+        assert reach(found) == reach(want) and len(found) == len(reach(want))
 
 
-def test_linked_sets_share_a_signature():
-    rng = np.random.default_rng(5)
-    for _ in range(3000):
-        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 300))).astype(np.uint64))
-        k = int(rng.integers(0, len(a) // 9 + 2))
-        b = np.delete(a, rng.permutation(len(a))[: min(k // 2, len(a) - 1)])
-        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, k - k // 2).astype(np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(jaccard_join.signatures(a, 90, 0)[0], jaccard_join.signatures(b, 90, 0)[0]))
+def test_tree_leaves_subtrees_out():
+    rng = np.random.default_rng(2)
+    apart = [np.unique(rng.integers(0, 10**6, 100).astype(np.uint64)) for _ in range(200)]
+    tree = jaccard_join.PrefixTree(falling(apart), 90)
+    # Unrelated sets are told from one another at their first nodes.
+    found, visited = tree.connect(np.arange(200))
+    assert not found and visited <= 200 * (len(tree.depth) - 1) and all(nodes <= 220 for k in range(200) for _, nodes in tree._walk(k))
+    near = [np.delete(apart[0], i % 100) for i in range(100)]
+    tree = jaccard_join.PrefixTree(falling(near), 90)
+    found, visited = tree.connect(np.arange(100))
+    # Once sets are joined their subtrees are not walked again.
+    assert len(found) == 99 and visited < 0.1 * 100 * len(tree.depth)
+    assert tree.connect(np.zeros(100, int)) == ([], 0)
+    # Sizes alone rule out a subtree.
+    small = [a[:40] for a in apart[:50]]
+    tree = jaccard_join.PrefixTree(falling([apart[0], *small]), 90)
+    big = tree.order.index(0)
+    assert sum(nodes for _, nodes in tree._walk(big)) <= 60
+
+
+@pytest.mark.parametrize("percent", [30, 51, 66, 80, 90, 100])
+def test_linked_sets_share_a_prefix_element(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(1500):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 600))).astype(np.uint64))
+        least = -(-len(a) * percent // 100)
+        b = a[rng.permutation(len(a))[: int(rng.integers(least, len(a) + 1))]]
+        room = 100 * len(b) // percent - len(a)
+        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, max(0, room)).astype(np.uint64)]))
+        x, y = (np.sort(s)[: jaccard_join.prefix_length(len(s), percent)] for s in (a, b))
+        assert len(np.intersect1d(x, y))
 
 
-def test_a_seed_that_is_not_sure_gives_way(spark, monkeypatch):
-    real = jaccard_join.signatures
-    monkeypatch.setattr(jaccard_join, "MOST_SEEDS", 1)
-    df = spark.createDataFrame([(1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
-    assert jaccard_join.jaccard_components(df).where("component_id = 1").count() == 2
-    assert real(np.arange(40, dtype=np.uint64), 90, 0)[1]
+def test_links_are_all_pairs_of_different_sets(spark):
+    rows = list(enumerate(near_copies(3, 12)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {}
+    for r in jaccard_join.class_members(df).collect():
+        of.setdefault(bytes(r["sid"]), r["doc_id"])
+    sets = dict(zip([i for i, _ in rows], plain_sets([t for _, t in rows], 3), strict=True))
+    want = {tuple(sorted((a, b))) for a in of.values() for b in of.values() if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    got = [tuple(sorted((of[bytes(r["a"])], of[bytes(r["b"])]))) for r in jaccard_join.jaccard_links(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
 def test_drop_near_copies_leaves_one_of_each(spark):
@@ -389,7 +464,7 @@ def test_drop_near_copies_leaves_one_of_each(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
     got = jaccard_join.drop_near_copies(df)
     assert got.columns == df.columns
-    assert sorted(r["doc_id"] for r in got.collect()) == sorted({c for _, _, c, _ in brute_join(rows)})
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted({c for _, _, c in brute_join(rows)})
 
 
 def plain_sets(texts, words):
@@ -401,19 +476,17 @@ def plain_sets(texts, words):
 
 
 def plain_components(rows, words, percent):
-    """(id, smallest id of the component, links) by comparing all pairs; ids are not null."""
+    """(id, smallest id of the component) by comparing all pairs; ids are not null."""
     sets = plain_sets([t for _, t in rows], words)
-    label, links = list(range(len(rows))), [0] * len(rows)
+    label = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                links[a] += 1
-                links[b] += 1
                 old, new = label[a], label[b]
                 label = [new if x == old else x for x in label]
     least = {c: min(i for (i, _), x in zip(rows, label, strict=True) if x == c) for c in set(label)}
-    return sorted((i, least[c], n) for (i, _), c, n in zip(rows, label, links, strict=True))
+    return sorted((i, least[c]) for (i, _), c in zip(rows, label, strict=True))
 
 
 def spread_changes(seed, sizes, copies, most):
@@ -430,35 +503,13 @@ def spread_changes(seed, sizes, copies, most):
     return out
 
 
-@pytest.mark.parametrize(("percent", "most"), [(80, 6), (60, 14)])
+@pytest.mark.parametrize(("percent", "most"), [(80, 6), (60, 14), (40, 24)])
 def test_jaccard_of_long_texts_at_other_similarities(spark, percent, most):
     rows = list(enumerate(spread_changes(7, (5, 12, 60, 170, 200, 540, 2_000), 14, most)))
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=percent)
     want = plain_components(rows, 5, percent)
-    assert len(rows) > len({c for _, c, _ in want}) > 7
-    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got.collect()) == want
-
-
-@pytest.mark.parametrize("percent", [51, 55, 60, 65, 70, 80, 95, 100])
-def test_linked_sets_share_a_signature_at_any_percent(percent):
-    rng = np.random.default_rng(percent)
-    for _ in range(1500):
-        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 600))).astype(np.uint64))
-        # From as much smaller as a linked set can be, to as many changed as can be.
-        least = -(-len(a) * percent // 100)
-        b = a[rng.permutation(len(a))[: int(rng.integers(least, len(a) + 1))]]
-        room = 100 * len(b) // percent - len(a)
-        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, max(0, room)).astype(np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        assert 100 * both >= percent * (len(a) + len(b) - both)
-        (x, sure), (y, also) = jaccard_join.signatures(a, percent, 0), jaccard_join.signatures(b, percent, 0)
-        assert sure and also and len(np.intersect1d(x, y))
-
-
-def test_sets_are_sure_at_80():
-    rng = np.random.default_rng(4)
-    for n in (170, 540):
-        assert all(jaccard_join.signatures(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), 80, 0)[1] for _ in range(2000))
+    assert len(rows) > len({c for _, c in want}) > 7
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == want
 
 
 def test_pipeline_drops_near_copies_of_five_words_and_80_percent(spark):
@@ -474,7 +525,7 @@ def test_pipeline_drops_near_copies_of_five_words_and_80_percent(spark):
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     ids = sorted(r["doc_id"] for r in got.collect())
     assert 1 in ids and 2 not in ids and 3 in ids
-    assert ids == sorted({c for _, c, _ in plain_components(rows, 5, 80)})
+    assert ids == sorted({c for _, c in plain_components(rows, 5, 80)})
 
 
 def test_drop_near_copies_goes_by_id_and_text(spark):
@@ -490,7 +541,7 @@ def test_drop_near_copies_goes_by_id_and_text(spark):
     assert got in [sorted((r for r in stay if r[1] != p), key=str) for p in pair]
 
 
-@pytest.mark.parametrize("percent", [0, 50, 101])
+@pytest.mark.parametrize("percent", [0, 101])
 def test_similarities_that_are_not_covered(spark, percent):
     with pytest.raises(ValueError):
         jaccard_join.jaccard_components(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=percent)
@@ -669,9 +720,25 @@ def test_urls(spark, sf):
 
 def test_cascade_is_exact_over_its_universe(spark):
     keys = spark.range(30_000).selectExpr("xxhash64(id) as h")
-    cascade = url_filter.build_cascade(keys, keys.where("h % 10 = 0"))
     h = np.array([r["h"] for r in keys.collect()])
-    assert (cascade.listed(h) == (h % 10 == 0)).all() and len(cascade.levels) > 2
+    for listed in (10, 5, 2):
+        cascade = url_filter.build_cascade(keys.where(f"h % {listed} = 0"), keys.where(f"h % {listed} <> 0"))
+        assert (cascade.listed(h) == (h % listed == 0)).all() and 2 < len(cascade.levels) < 12
+
+
+def test_urls_by_ranges_of_the_hash(spark, monkeypatch):
+    pages = spark.range(4_000).selectExpr("id as page_id", "concat('http://h', id, '.x', id % 50, '.com/') as url")
+    listed = spark.range(4_000).where("id % 5 = 0").selectExpr("concat('h', id, '.x', id % 50, '.com') as host").unionByName(spark.createDataFrame([("x3.com",)], "host string"))
+    monkeypatch.setattr(C, "RANGE_LOG2", 11)
+    assert C.n_ranges(801, url_filter.BITS_PER_KEY) > 2
+    got = url_filter.url_filter(pages, listed=listed).where("verdict = 'block'").collect()
+    assert {r["page_id"] for r in got} == {i for i in range(4_000) if i % 5 == 0 or i % 50 == 3}
+
+
+def test_tracking_hosts(spark):
+    urls = ["http://a.org/?utm_source=x", "http://a.org/1", "http://B.org/?ref=1", "http://b.org/2", "http://b.org/3", None, "?ref=1", "http://c.org/?x=1&utm_medium=y"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r["host"] for r in url_filter.tracking_hosts(df).collect()} == {"a.org", "c.org"}
 
 
 def test_urls_with_listed_table_and_without_rows(spark):

@@ -24,7 +24,7 @@ def test_stages_take_effect_in_order(spark):
     before, after = seen["exact dedup"]
     assert ids(after) == ids(exact_dedup.exact_dedup(before).where("kept"))
     before, after = seen["n-gram Jaccard join"]
-    assert ids(after) == ids(jaccard_join.jaccard_components(before).where("doc_id = component_id"))
+    assert ids(after) == ids(jaccard_join.jaccard_components(before, words=5, percent=80).where("doc_id = component_id"))
     before, after = seen["mixing"]
     mix = mixing.mix_sources(before).where("taken > 0").collect()
     assert ids(after) == sorted(r["doc_id"] for r in mix for _ in range(r["taken"] // r["size"]))
