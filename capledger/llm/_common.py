@@ -105,6 +105,14 @@ def materialize(df: DataFrame, scan: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once all that is made of them is a table itself."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_skewed(rows: DataFrame, facts: DataFrame, on: str, size: Column, n: int, how: str = "inner") -> DataFrame:
     """rows joined with facts, which has one row for each key; size (over facts) tells how many rows share the key.
 

@@ -29,6 +29,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         size = before[0]
         if not size:
             break
+        last = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("links"))
         # Only the rows with v > u are joined, but a node's larger neighbours are among all of its own.
@@ -38,6 +39,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = C.join_skewed(large, least, "u", F.col("links"), size).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         # Files of a fair size: links get fewer from round to round, partitions of a shuffle do not.
         edges = C.materialize(small.where("u <> v").distinct().coalesce(max(1, -(-size // LINKS_IN_FILE))))
+        C.discard(large, last)
         now = state(edges)
         # Both kinds of star keep the components; when the links are stars around the least node they stop changing.
         if now == before:

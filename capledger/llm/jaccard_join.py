@@ -25,6 +25,8 @@ CHUNK_SHINGLES, SHARD_BYTES = 1_000_000, 32 << 20
 HOMES = 3
 #: Shingles of the sets that one tree holds, on average.
 BLOCK_SHINGLES = 1_000_000
+#: Columns of a digest of a token's sets.
+MEMBERS = ("members_a", "members_b")
 #: Words whose hashes a worker remembers.
 REMEMBERED = 200_000
 #: Bits of a shingle's hash in a tree; the bits above them are its frequency's.
@@ -290,10 +292,10 @@ def _frequency(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _candidates(percent: int):
-    """For a chunk's rows and levels, the sets that may link: sid, n, their tokens and codes.
+    """For a chunk's rows and levels, the sets that may link: sid, n, lone, their tokens and codes.
 
-    tokens: the elements of the prefix, rarest first, that more sets than one have.  codes: all elements, most
-    frequent first.  A set without such tokens links with nothing.
+    tokens: the elements of the prefix, rarest first, that more sets than one have; the lone ones stand before them.
+    codes: all elements, most frequent first.  A set without such tokens links with nothing.
     """
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -313,13 +315,13 @@ def _candidates(percent: int):
             code = np.repeat(np.concatenate(codes), np.concatenate(count))
             order = np.lexsort((code, of))
             for sid, mine in zip(sets, np.split(code[order], np.cumsum(np.bincount(of, minlength=len(sets)))[:-1]), strict=True):
-                tokens = mine[: prefix_length(len(mine), percent)]
-                tokens = tokens[tokens >> np.uint64(HASH_BITS) > 0]
+                prefix = mine[: prefix_length(len(mine), percent)]
+                tokens = prefix[prefix >> np.uint64(HASH_BITS) > 0]
                 if len(tokens):
-                    out.append((sid, len(mine), tokens.view(np.int64), _pack_codes(mine[::-1])))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("sid", "n", "tokens", "codes"), columns, kinds, strict=True)})
+                    out.append((sid, len(mine), len(prefix) - len(tokens), tokens.view(np.int64), _pack_codes(mine[::-1])))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("sid", "n", "lone", "tokens", "codes"), columns, kinds, strict=True)})
 
     return run
 
@@ -370,6 +372,17 @@ def _block(blocks: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64("sid", F.lit(salt)), blocks).cast("int")
 
 
+def _members() -> list[Column]:
+    """A digest of 128 bits, in two columns, of which sets a group has."""
+    return [F.bit_xor(F.xxhash64("sid", F.lit(salt))).alias(m) for salt, m in enumerate(MEMBERS)]
+
+
+def _once(tokens: DataFrame) -> DataFrame:
+    """Of tokens that the same sets have, which would make equal trees, only one."""
+    rest = [c for c in tokens.columns if c not in MEMBERS and c != "sets"]
+    return tokens.groupBy("sets", *MEMBERS).agg(F.min_by(F.struct(*rest), "token").alias("x")).select("sets", "x.*")
+
+
 def _first_round(shared: DataFrame) -> DataFrame:
     """(token, i, j, sid): each set goes to the trees of its HOMES rarest shared tokens.
 
@@ -377,23 +390,27 @@ def _first_round(shared: DataFrame) -> DataFrame:
     """
     rank = F.row_number().over(W.partitionBy("sid").orderBy("token"))
     homes = shared.withColumn("rank", rank).where(F.col("rank") <= HOMES)
-    blocks = homes.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets"))
-    dealt = homes.join(blocks.where("sets > 1"), "token")
+    blocks = homes.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets"), *_members())
+    dealt = homes.join(_once(blocks.where("sets > 1")), "token")
     places = F.array(_block(F.col("blocks"), 1), F.when((F.col("blocks") > 1) & (_block(F.col("blocks"), 2) == 0), F.lit(-1)))
     return dealt.select("token", F.explode(F.array_compact(places)).alias("i"), F.lit(0).alias("j"), "sid")
 
 
-def _last_round(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _last_round(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(token, i, j, sid, label): all sets of each token whose sets are not all joined yet.
 
+    A pair has to meet at one token only, its first.  There they have no more in common than the rest of either, so
+    a token keeps the sets whose rest is enough for a link with the smallest of its sets that may link.
     Of a token, the sets of the label with most shingles need to meet only the others.  Where they are too many for
     one tree, they are dealt to rows of a grid and the others to columns; a tree holds a row's and a column's sets,
     and others of two columns meet in a tree of their own.
     """
-    labelled = shared.join(labels, "sid", "left").select("sid", "n", "token", F.xxhash64(F.coalesce("component", "sid")).alias("label"))
-    sizes = labelled.groupBy("token", "label").agg(F.sum("n").alias("size"))
-    tokens = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    tokens = tokens.select("token", F.col("most.label").alias("main"), F.greatest(F.lit(1), F.ceil(F.col("most.size") / BLOCK_SHINGLES)).cast("int").alias("rows"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.size")) / BLOCK_SHINGLES)).cast("int").alias("columns"))
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    enough = shared.join(shared.groupBy("token").agg(F.min("n").alias("least")), "token").where(F.col("rest") * (100 + percent) >= (F.col("n") + smallest) * percent)
+    labelled = enough.join(labels, "sid", "left").select("sid", "n", "token", F.xxhash64(F.coalesce("component", "sid")).alias("label"))
+    sizes = labelled.groupBy("token", "label").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets"), *_members())
+    tokens = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("labels"), F.sum("sets").alias("sets"), *[F.bit_xor(m).alias(m) for m in MEMBERS]).where("labels > 1")
+    tokens = _once(tokens).select("token", F.col("most.label").alias("main"), F.greatest(F.lit(1), F.ceil(F.col("most.size") / BLOCK_SHINGLES)).cast("int").alias("rows"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.size")) / BLOCK_SHINGLES)).cast("int").alias("columns"))
     met = labelled.join(tokens, "token")
     spot = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -406,7 +423,7 @@ def _last_round(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n, sid); sid, n and token of each set and prefix element that it shares; those sets' codes."""
+    """Rows (doc_id, n, sid); sid, n, token of each set and prefix element that it shares, and rest, the elements from there on; those sets' codes."""
     C.prepare(docs.sparkSession)
     if not 0 < percent <= 100 or words < 1:
         raise ValueError("percent must be above 0 and at most 100, and words at least 1")
@@ -415,10 +432,12 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     heads = chunks.where("shard < 0")
     rows = C.materialize(heads.select(F.explode(F.arrays_zip("ids", "ns", "sids")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.ns").alias("n"), F.col("x.sids").alias("sid")))
     levels = C.materialize(chunks.where("shard >= 0").select("chunk", "shard", "part").groupBy("shard").applyInPandas(_frequency, "chunk long, shard int, level binary"))
-    found = chunks.select("chunk", "shard", "sets", "part").groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_candidates(percent), "sid binary, n long, tokens array<long>, codes binary")
+    found = chunks.select("chunk", "shard", "sets", "part").groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_candidates(percent), "sid binary, n long, lone long, tokens array<long>, codes binary")
     # A set of several chunks is the same in all of them.
-    sets = C.materialize(C.materialize(found).groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("codes").alias("codes")))
-    each = sets.select("sid", "n", F.explode("tokens").alias("token"))
+    found = C.materialize(found)
+    sets = C.materialize(found.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "lone", "tokens", "codes")]))
+    C.discard(chunks, levels, found)
+    each = sets.select("sid", "n", "lone", F.posexplode("tokens").alias("at", "token")).select("sid", "n", (F.col("n") - F.col("lone") - F.col("at")).alias("rest"), "token")
     several = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
     shared = C.materialize(each.join(several, "token"))
     return rows, shared, sets.select("sid", "codes")
@@ -434,7 +453,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     total = rows.count()
     links = C.materialize(_trees(_first_round(shared).withColumn("label", F.xxhash64("sid")).join(codes, "sid"), percent))
     labels = components(links).withColumnRenamed("node", "sid")
-    more = C.materialize(_trees(_last_round(shared, labels).join(codes, "sid"), percent))
+    more = C.materialize(_trees(_last_round(shared, labels, percent).join(codes, "sid"), percent))
     if not more.isEmpty():
         labels = components(more.unionByName(labels.select(F.col("sid").alias("a"), F.col("component").alias("b")))).withColumnRenamed("node", "sid")
     classes = C.materialize(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")))
@@ -482,7 +501,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     _, shared, codes = _prefixes(docs, id_col, text_col, words, percent)
     apart = shared.select("sid", F.col("sid").alias("component")).distinct()
-    return _trees(_last_round(shared, apart).join(codes, "sid"), percent, all_links=True).distinct()
+    return _trees(_last_round(shared, apart, percent).join(codes, "sid"), percent, all_links=True).distinct()
 
 
 def class_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
