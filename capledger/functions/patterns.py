@@ -44,7 +44,6 @@ TIMELINE_LINE = r"(?U)^(\d{4})\s*[年./]\s*(\d{1,2})\s*[月./]?\s*(\d{1,2})?\s*[
 TIMELINE_LOOSE_DATE = r"(?U)(\d{4})\s*[年.]\s*(\d{1,2})\s*[月]"
 TIMELINE_WORDS = r"增资|股权转让|吸收合并|设立|整体变更"
 TIMELINE_WORDS_BATCH = r"增资|股权转让|吸收合并|整体变更|设立|改制|注册资本|股东"
-CONTEXT_WORDS = ("增资", "股权转让", "整体变更", "吸收合并", "设立", "改制")
 
 # Headings.
 HEADING = r"^# (.+)$"

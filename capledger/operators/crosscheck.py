@@ -113,10 +113,15 @@ def check_adjacent(flows: DataFrame, snapshots: DataFrame, groups: DataFrame, mo
     if mode == "first_any":
         pairs = S.first_match(pairs, moved, ["company", "shareholder_name"], "shares_subscribed", ["ord"], "change")
     else:
-        by_month = S.month_sum(moved, ["company", "shareholder_name"], F.col("subscription_date"), "shares_subscribed", "month_shares")
-        keys = ["company", "shareholder_name", "step"]
-        change = pairs.join(by_month, ["company", "shareholder_name"]).where("ym > ym_from and ym <= ym_to").groupBy(*keys).agg(F.sum("month_shares").alias("change"))
-        pairs = pairs.join(change, keys, "left")
+        holder = ["company", "shareholder_name"]
+        by_month = S.month_sum(moved, holder, F.col("subscription_date"), "shares_subscribed", "month_shares")
+        upto = W.partitionBy(*holder).orderBy("ym")
+        running = by_month.select(*holder, "ym", F.struct(F.sum("month_shares").over(upto).alias("sum"), F.count(F.lit(1)).over(upto).alias("n")).alias("upto"))
+        # A period's sum is the difference of the running sums at its ends.
+        for end in ("from", "to"):
+            pairs = S.as_of(pairs.withColumnRenamed(f"ym_{end}", "ym"), running, holder, "ym", "upto", f"upto_{end}").withColumnRenamed("ym", f"ym_{end}")
+        before = lambda c, zero: F.coalesce(F.col("upto_from")[c], F.lit(zero))
+        pairs = pairs.withColumn("change", F.when(F.col("upto_to")["n"] > before("n", 0), F.col("upto_to")["sum"] - before("sum", 0.0)))
     expected = F.col("previous") + F.col("change")
     difference = F.col("current") - expected
     bad = F.coalesce(F.abs(difference) > most, F.lit(False))
@@ -165,10 +170,15 @@ def cross_check(flows: DataFrame, snapshots: DataFrame, mode: str = "first_any")
     return reduce(DataFrame.unionByName, parts)
 
 
+def verdict(critical: Column, issues: Column) -> Column:
+    """FAIL with a critical issue, WARN with any, else PASS."""
+    return F.when(critical, "FAIL").when(issues > 0, "WARN").otherwise("PASS")
+
+
 def file_verdict(issues: DataFrame, files: DataFrame, key: str = "company") -> DataFrame:
     """FAIL for files with a critical issue (column critical), WARN for those with any, else PASS."""
     told = issues.groupBy(key).agg(F.bool_or("critical").alias("_critical"), F.count(F.lit(1)).alias("issues"))
-    return files.join(told, key, "left").select(*files.columns, F.coalesce("issues", F.lit(0)).cast("long").alias("issues"), F.when(F.col("_critical"), "FAIL").when(F.col("issues") > 0, "WARN").otherwise("PASS").alias("verdict"))
+    return files.join(told, key, "left").select(*files.columns, F.coalesce("issues", F.lit(0)).cast("long").alias("issues"), verdict(F.col("_critical"), F.col("issues")).alias("verdict"))
 
 
 def differences(log: DataFrame, most: int = 5) -> DataFrame:

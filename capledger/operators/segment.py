@@ -50,6 +50,19 @@ def heading_tiers(line_rows: DataFrame, keys: Sequence[str] = ("company",), kind
     return met.withColumn("title", F.when(F.col("tier") == 1, F.col("_t1")).when(F.col("tier") == 2, F.col("_t2")).otherwise(F.col("_t3"))).drop("_t1", "_t2", "_t3")
 
 
+def tiered_lines(docs: DataFrame, keys: Sequence[str] = ("company",), text: str = "text", kinds: Sequence[tuple[str, int]] = TIERS) -> DataFrame:
+    """keys, line_no, line, tier and title of documents, one text a row: heading_tiers(lines(docs)) without a shuffle.
+
+    The tier is chosen by counts over the array of a text's lines, before they become rows.  A null text has no lines.
+    """
+    split = docs.select(*keys, F.split(F.col(text), "\n").alias("_lines"))
+    many = lambda i: F.size(F.filter("_lines", lambda x: x.rlike(kinds[i][0])))
+    chosen = split.withColumn("tier", F.when(many(0) > 2, 1).when(many(1) > 0, 2).otherwise(3).cast("long"))
+    each = chosen.select(*keys, "tier", F.posexplode("_lines").alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    titles = [F.when((F.col("tier") == i) & F.col("line").rlike(p), T.strip(F.regexp_extract("line", p, g))) for i, (p, g) in enumerate(kinds, 1)]
+    return each.withColumn("title", F.coalesce(*titles))
+
+
 def sections(line_rows: DataFrame, keys: Sequence[str] = ("company",), opens: str = "title", order: Sequence[str] = ("line_no",), line: str = "line") -> DataFrame:
     """Sections: keys, section_id from 1, title, line_idx, content (lines from the heading to the next, stripped), length.
 
@@ -118,7 +131,7 @@ def locate_by_word(docs: DataFrame, words: Sequence[str] = P.FALLBACK_WORDS, bef
 
 def locate_all(docs: DataFrame, words: Sequence[str] = P.SECTION_WORDS_BATCH) -> DataFrame:
     """Sections by title; for companies without one by fallback one; for those still without by fallback two."""
-    by_title = locate(sections(heading_tiers(lines(docs))), words).select("company", "title", "line_idx", "content", "length", F.lit("title").alias("method"))
+    by_title = locate(sections(tiered_lines(docs)), words).select("company", "title", "line_idx", "content", "length", F.lit("title").alias("method"))
     by_core = locate_by_core(S.missing(docs, by_title, ["company"])).withColumn("method", F.lit("core"))
     some = by_title.unionByName(by_core)
     return some.unionByName(locate_by_word(S.missing(docs, some, ["company"])).withColumn("method", F.lit("word")))

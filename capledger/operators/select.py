@@ -101,31 +101,16 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value
 def first_later(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, right_order: Order, value: str, name: str) -> DataFrame:
     """left with the value of the first row of right, in right_order, of the same key at or after left's time.
 
-    If right_order begins with right_at, right rows are carried backwards in one sorted pass, so a large key is
-    no product of its two sides; else the two are joined on the key and reduced to the first.
+    Both sides are put in one order by key and falling time, and the least right row so far is carried on: one
+    shuffle, no pairs, whatever right_order is.  Ties of right_order go to the least value; a null time meets nothing.
     """
-    names = [c if isinstance(c, str) else "" for c in right_order]
+    side, carried, at = _free(left, "_side"), _free(left, "_carried"), _free(left, "_at")
     columns = left.columns
-    if names and names[0] == right_at:
-        side, carried, at = _free(left, "_side"), _free(left, "_carried"), _free(left, "_at")
-        over = W.partitionBy(*keys).orderBy(F.col(at).desc(), F.col(side).desc(), *[F.col(c).desc() for c in _ties(left, names)]).rowsBetween(W.unboundedPreceding, 0)
-        marks = right.select(*keys, F.col(right_at).alias(at), F.struct(F.col(value).alias("v")).alias(carried), F.lit(1).alias(side), *[F.col(c).alias(_tie(left, c)) for c in names[1:]])
-        asked = left.withColumn(at, F.col(left_at)).withColumn(side, F.lit(0))
-        both = asked.unionByName(marks, allowMissingColumns=True)
-        return both.withColumn(name, F.last(carried, ignorenulls=True).over(over)["v"]).where(F.col(side) == 0).select(*columns, name)
-    row = _free(left, "_row")
-    numbered = left.withColumn(row, F.xxhash64(*left.columns))
-    pairs = numbered.join(right.select(*keys, F.col(right_at).alias("_r_at"), F.struct(*right_order).alias("_r_order"), F.col(value).alias("_r_value")), list(keys), "left").where(F.col("_r_at").isNull() | (F.col("_r_at") >= F.col(left_at)))
-    firsts = pairs.where(F.col("_r_at").isNotNull()).groupBy(*keys, row).agg(F.min_by("_r_value", "_r_order").alias(name))
-    return numbered.join(firsts, [*keys, row], "left").select(*columns, name)
-
-
-def _tie(left: DataFrame, c: str) -> str:
-    return _free(left, f"_tie_{c}")
-
-
-def _ties(left: DataFrame, names: Sequence[str]) -> list[str]:
-    return [_tie(left, c) for c in names[1:]]
+    order = [(c if isinstance(c, Column) else F.col(c)).alias(f"o{i}") for i, c in enumerate(right_order)]
+    marks = right.where(F.col(right_at).isNotNull()).select(*keys, F.col(right_at).alias(at), F.struct(*order, F.col(value).alias("v")).alias(carried), F.lit(1).alias(side))
+    both = left.withColumn(at, F.col(left_at)).withColumn(side, F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    over = W.partitionBy(*keys).orderBy(F.col(at).desc_nulls_first(), F.col(side).desc()).rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn(name, F.min(carried).over(over)["v"]).where(F.col(side) == 0).select(*columns, name)
 
 
 def two_step_match(left: DataFrame, right: DataFrame, exact: tuple[Column, str], relaxed: tuple[Column, str], value: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ def market_batch(files: DataFrame) -> dict[str, DataFrame]:
     sections = G.locate_all(texts).withColumn("section_no", F.row_number().over(W.partitionBy("company").orderBy("line_idx", "title")).cast("long"))
     keys = ["company", "section_no"]
     events, timeline = E.assemble(sections, E.events_batch(sections, keys, "content"), E.timeline_batch(sections, keys, "content"))
-    chapters = G.heading_tiers(G.lines(texts)).groupBy("company").agg(F.count("title").alias("total_chapters"))
+    chapters = G.tiered_lines(texts).groupBy("company").agg(F.count("title").alias("total_chapters"))
     counts = [d.groupBy("company").agg(F.count(F.lit(1)).alias(n)) for d, n in ((sections, "financing_chapters_found"), (timeline, "timeline_entries"), (events, "financing_events"))]
     statistics = chapters
     for c in counts:

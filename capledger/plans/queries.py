@@ -197,10 +197,11 @@ def q17_delta_vs_flow(spark, sf_dir):
 UNION ALL SELECT l_orderkey, true FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 2), n AS (SELECT l_orderkey, count(*) AS issues, bool_or(critical) AS critical FROM i GROUP BY l_orderkey)
 SELECT l_orderkey, coalesce(issues, 0) AS issues, CASE WHEN critical THEN 'FAIL' WHEN issues > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN n USING (l_orderkey)""")
 def q18_verdict_rollup(spark, sf_dir):
-    totals = _totals(spark, sf_dir)
-    of = lambda df, critical: df.select("l_orderkey", F.lit(critical).alias("critical"))
-    issues = of(_priced(spark, sf_dir).where(F.col("status") == X.REVIEW), False).unionByName(of(totals.where(F.col("status") == X.REVIEW), False)).unionByName(of(totals.where("flags > 2"), True))
-    return X.file_verdict(issues, totals.select("l_orderkey"), "l_orderkey")
+    # All three checks come from one aggregate by order, so lineitem is read and shuffled once.
+    priced = _priced(spark, sf_dir).groupBy("l_orderkey").agg(F.count_if(F.col("status") == X.REVIEW).alias("prices"), F.sum("l_extendedprice").alias("held"), F.size(F.collect_set("l_returnflag")).alias("flags"))
+    off, mixed = F.abs(F.col("held") - F.round("held", 1)) > 0.01, F.col("flags") > 2
+    issues = F.col("prices") + off.cast("long") + mixed.cast("long")
+    return priced.select("l_orderkey", issues.alias("issues"), X.verdict(mixed, issues).alias("verdict"))
 
 
 # ---------------------------------------------------------------- records
@@ -287,7 +288,7 @@ def q26_sections(spark, sf_dir):
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '^[A-Z][a-z]+ [a-z]+ ')) AS n1, count(*) FILTER (contains(line, '|')) AS n2, count(*) FILTER (contains(line, '.')) AS n3 FROM l GROUP BY doc_id)
 SELECT doc_id, CASE WHEN n1 > 2 THEN 1 WHEN n2 > 0 THEN 2 ELSE 3 END::BIGINT AS tier, CASE WHEN n1 > 2 THEN n1 WHEN n2 > 0 THEN n2 ELSE n3 END AS boundaries FROM n""")
 def q27_boundary_tiers(spark, sf_dir):
-    tiers = G.heading_tiers(G.lines(_t(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]), ["doc_id"], ((r"^([A-Z][a-z]+ [a-z]+ )", 1), (r"\|", 0), (r"\.", 0)))
+    tiers = G.tiered_lines(_t(spark, sf_dir, "documents"), ["doc_id"], "text", ((r"^([A-Z][a-z]+ [a-z]+ )", 1), (r"\|", 0), (r"\.", 0)))
     return tiers.groupBy("doc_id", "tier").agg(F.count("title").alias("boundaries"))
 
 
@@ -308,9 +309,9 @@ _PLAIN_CASE = "CASE " + " ".join(f"WHEN contains(text, '{w}') THEN '{w}'" for w
 @query(rf"""WITH f AS (SELECT doc_id, text, {_PLAIN_CASE} AS word FROM documents WHERE NOT (n_chars > 100 AND {_WORD_CASE} IS NOT NULL)), p AS (SELECT *, strpos(text, word) AS pos FROM f WHERE word IS NOT NULL)
 SELECT doc_id AS company, '全文搜索: ' || word AS title, md5(regexp_replace(substr(text, greatest(pos - 200, 1), pos + 2000 - greatest(pos - 200, 1)), '^\s+|\s+$', '', 'g')) AS digest FROM p""")
 def q29_fallback_search(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    located = q28_keyword_locate(spark, sf_dir).select(F.col("doc_id").alias("company"))
-    left = S.missing(docs.select(F.col("doc_id").alias("company"), "text"), located, ["company"])
+    # A document is one row, so whether it was located is told in the same scan, and no text shuffles.
+    docs = _t(spark, sf_dir, "documents").withColumn("located", F.col("n_chars") > 100)
+    left = docs.where(~F.coalesce(F.col("located") & T.rule_index(F.col("text"), _WORDS).isNotNull(), F.lit(False))).select(F.col("doc_id").alias("company"), "text")
     return G.locate_by_word(left, _PLAIN).select("company", "title", F.md5("content").alias("digest"))
 
 
@@ -399,8 +400,9 @@ def q39_completeness(spark, sf_dir):
 FROM lineitem WHERE (l_discount = 0 AND l_quantity > 45) OR l_tax > 0.07 OR l_extendedprice < 2000 OR l_quantity <= 2 GROUP BY ALL""")
 def q40_anomalies(spark, sf_dir):
     checks = [(F.expr("l_discount = 0 and l_quantity > 45"), "critical"), (F.col("l_tax") > 0.07, "high"), (F.col("l_extendedprice") < 2000, "medium"), (F.col("l_quantity") <= 2, "low")]
-    each = _t(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(s)) for c, s in checks]))).alias("severity"))
-    return N.severities(each, ["l_returnflag", "l_linestatus"])
+    counts = [F.count_if(c).alias(s) for c, s in checks]
+    some = F.col(N.SEVERITIES[0]) + F.col(N.SEVERITIES[1]) + F.col(N.SEVERITIES[2]) + F.col(N.SEVERITIES[3]) > 0
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*counts).where(some)
 
 
 # ---------------------------------------------------------------- acquisition

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import queries as Q
+from . import record_queries  # noqa: F401  registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
