@@ -10,8 +10,8 @@ from ..operators import crosscheck as X
 
 
 def csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None) -> None:
-    """A CSV with a header, in these columns."""
-    (df.select(*columns) if columns else df).write.mode("overwrite").option("header", True).csv(path)
+    """A CSV with a header, in these columns; a quote in a value is doubled."""
+    (df.select(*columns) if columns else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def cross_log(df: DataFrame, path: str) -> None:
