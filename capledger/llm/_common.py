@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -46,6 +47,13 @@ class Memory(dict):
                 other.clear()
 
 
+def release() -> None:
+    """Give what a task has freed back to the system, as a worker stays for the next task and others idle beside it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def prepare(spark: SparkSession) -> None:
     """Lower the rows of an Arrow batch, so that a batch of long texts fits a worker, and let workers find the package."""
     root = str(Path(__file__).resolve().parents[2])
@@ -233,6 +241,8 @@ def build_filter(keys: DataFrame, hashes: int, log2: int, twice: bool = False, s
             part[(u[a:b] % np.uint64(BLOCK)).astype(np.int64)] = c[a:b]
             ones, twos = (np.packbits(part >= k, bitorder="little").tobytes() for k in (1, 2))
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(ones + twos, 1)], pa.binary())], ["block", "part"])
+        del held, u, c
+        release()
 
     def merge(pdf):
         ones = twos = None

@@ -277,6 +277,8 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int)
                     size = 0
         if about:
             yield rows()
+        sets.clear(), about.clear()
+        C.release()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"chunk long, shard int, ids array<{kind}>, ns array<long>, sids array<binary>, sets array<binary>, part binary")
 
@@ -363,6 +365,7 @@ def _trees(rows: DataFrame, percent: int, all_links: bool = False) -> DataFrame:
                 yield batch_of()
         close()
         yield batch_of()
+        C.release()
 
     tree = ["token", "i", "j"]
     return rows.select(*tree, "sid", "label", "codes").repartition(*tree).sortWithinPartitions(*tree).mapInArrow(join, "a binary, b binary")
@@ -434,9 +437,8 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     levels = C.materialize(chunks.where("shard >= 0").select("chunk", "shard", "part").groupBy("shard").applyInPandas(_frequency, "chunk long, shard int, level binary"))
     found = chunks.select("chunk", "shard", "sets", "part").groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_candidates(percent), "sid binary, n long, lone long, tokens array<long>, codes binary")
     # A set of several chunks is the same in all of them.
-    found = C.materialize(found)
     sets = C.materialize(found.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "lone", "tokens", "codes")]))
-    C.discard(chunks, levels, found)
+    C.discard(chunks, levels)
     each = sets.select("sid", "n", "lone", F.posexplode("tokens").alias("at", "token")).select("sid", "n", (F.col("n") - F.col("lone") - F.col("at")).alias("rest"), "token")
     several = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
     shared = C.materialize(each.join(several, "token"))

@@ -73,5 +73,6 @@ def with_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             columns = list(zip(*map(text_stats, C.texts(batch.column(1))), strict=True)) or [[] for _ in NAMES]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", *NAMES])
+        C.release()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in NAMES))
