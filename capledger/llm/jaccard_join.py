@@ -21,6 +21,8 @@ from .components import components
 WORDS, PERCENT = 3, 90
 #: Shingles of a chunk of documents, and bytes of input for each shard of shingles that is counted at a time.
 CHUNK_SHINGLES, SHARD_BYTES = 1_000_000, 32 << 20
+#: Shingles of a shard that are added up at a time.
+RANGE_SHINGLES = 400_000
 #: Shared prefix elements by which a set goes to trees in the first round.
 HOMES = 3
 #: Shingles of the sets that one tree holds, on average.
@@ -284,13 +286,30 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int)
 
 
 def _frequency(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The frequency classes of a shard's shingles, for each chunk in the order of its own."""
+    """The frequency classes of a shard's shingles, for each chunk in the order of its own.
+
+    The shard is added up range by range of the hash, about RANGE_SHINGLES at a time, so that little is held beside it.
+    """
     parts = [C.unpack(raw, "<u8", "<u4") for raw in pdf["part"]]
     values = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-    distinct, at = np.unique(np.concatenate(values), return_inverse=True)
-    n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(distinct))
-    level = np.floor(np.log2(n)).astype(np.uint8)[at]
-    return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "level": [C.pack(v) for v in np.split(level, np.cumsum([len(v) for v in values])[:-1])]})
+    levels = [np.zeros(len(v), np.uint8) for v in values]
+    least, most = min(int(v[0]) for v in values), max(int(v[-1]) for v in values)
+    ranges = -(-sum(map(len, values)) // RANGE_SHINGLES)
+    begins = [0] * len(values)
+    for r in range(1, ranges + 1):
+        ends = [int(np.searchsorted(v, np.uint64(least + (most - least) * r // ranges), "right")) for v in values]
+        some = [(k, slice(b, e)) for k, (b, e) in enumerate(zip(begins, ends, strict=True)) if e > b]
+        begins = ends
+        if some:
+            distinct, at = np.unique(np.concatenate([values[k][of] for k, of in some]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([parts[k][1][of] for k, of in some]), len(distinct))
+            level = np.floor(np.log2(n)).astype(np.uint8)[at]
+            for (k, of), v in zip(some, np.split(level, np.cumsum([of.stop - of.start for _, of in some])[:-1]), strict=True):
+                levels[k][of] = v
+    out = pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "level": [C.pack(v) for v in levels]})
+    del parts, values, levels
+    C.release()
+    return out
 
 
 def _candidates(percent: int):

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from capledger.llm import _common as C
@@ -447,6 +448,20 @@ def test_linked_sets_share_a_prefix_element(percent):
         assert len(np.intersect1d(x, y))
 
 
+@pytest.mark.parametrize("size", [3, 50, 10_000])
+def test_frequencies_by_ranges(monkeypatch, size):
+    monkeypatch.setattr(jaccard_join, "RANGE_SHINGLES", size)
+    rng = np.random.default_rng(size)
+    sets = [np.unique(rng.integers(5, 400, 300).astype(np.uint64)) for _ in range(4)]
+    counts = [rng.integers(1, 9, len(s)).astype("<u4") for s in sets]
+    total = Counter()
+    for s, c in zip(sets, counts, strict=True):
+        total.update(dict(zip(s.tolist(), c.tolist(), strict=True)))
+    pdf = pd.DataFrame({"chunk": range(4), "shard": 0, "part": [C.pack(np.diff(s, prepend=np.uint64(0)).astype("<u8"), c) for s, c in zip(sets, counts, strict=True)]})
+    for s, raw in zip(sets, jaccard_join._frequency(pdf)["level"], strict=True):
+        assert C.unpack(raw, "u1")[0].tolist() == [int(math.log2(total[v])) for v in s.tolist()]
+
+
 def test_links_are_all_pairs_of_different_sets(spark):
     rows = list(enumerate(near_copies(3, 12)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
