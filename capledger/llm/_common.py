@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -121,6 +122,16 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop shuffles, broadcasts and plans that nothing refers to any more.
+
+    Spark deletes a shuffle's files once the driver's collector has seen that it is unreachable, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    release()
+
+
 def join_skewed(rows: DataFrame, facts: DataFrame, on: str, size: Column, n: int, how: str = "inner") -> DataFrame:
     """rows joined with facts, which has one row for each key; size (over facts) tells how many rows share the key.
 

@@ -13,6 +13,11 @@ MOST_ROUNDS = 64
 LINKS_IN_FILE = 200_000
 
 
+def _are_stars(edges: DataFrame, size: int) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    return edges.select("u").distinct().count() == size and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (the smallest node it reaches) for each node of links.
 
@@ -41,8 +46,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = C.materialize(small.where("u <> v").distinct().coalesce(max(1, -(-size // LINKS_IN_FILE))))
         C.discard(large, last)
         now = state(edges)
-        # Both kinds of star keep the components; when the links are stars around the least node they stop changing.
-        if now == before:
+        # Both kinds of star keep the components.  When the links are stars, a node has one link down and is no centre.
+        if now == before or _are_stars(edges, now[0]):
             break
         before = now
     else:

@@ -458,6 +458,8 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     # A set of several chunks is the same in all of them.
     sets = C.materialize(found.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "lone", "tokens", "codes")]))
     C.discard(chunks, levels)
+    del chunks, heads, levels, found
+    C.tidy(docs.sparkSession)
     each = sets.select("sid", "n", "lone", F.posexplode("tokens").alias("at", "token")).select("sid", "n", (F.col("n") - F.col("lone") - F.col("at")).alias("rest"), "token")
     several = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token")
     shared = C.materialize(each.join(several, "token"))
@@ -474,12 +476,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     total = rows.count()
     links = C.materialize(_trees(_first_round(shared).withColumn("label", F.xxhash64("sid")).join(codes, "sid"), percent))
     labels = components(links).withColumnRenamed("node", "sid")
+    C.tidy(docs.sparkSession)
     more = C.materialize(_trees(_last_round(shared, labels, percent).join(codes, "sid"), percent))
     if not more.isEmpty():
         labels = components(more.unionByName(labels.select(F.col("sid").alias("a"), F.col("component").alias("b")))).withColumnRenamed("node", "sid")
     classes = C.materialize(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")))
     least = C.materialize(labels.join(classes, "sid").groupBy("component").agg(F.min("first_id").alias("component_id"), F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "sid"))["sid"].alias("keep_sid"), F.count(F.lit(1)).alias("sets")))
     linked = C.join_skewed(labels, least, "component", F.col("sets"), total).select("sid", "component_id", "keep_sid", F.lit(True).alias("linked"))
+    C.tidy(docs.sparkSession)
     # Only classes of several rows, or with links, have anything to tell their rows.
     told = classes.join(linked, "sid", "left").where(F.col("linked") | (F.col("members") > 1))
     told = C.materialize(told.select("sid", "members", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"), F.coalesce("keep_sid", "sid").alias("keep_sid")))

@@ -97,18 +97,20 @@ _AGAIN = xxhash.xxh3_64_intdigest(b"word again") % DIMS
 
 
 def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a text: shares of word shapes and words, and of words equal to the one before.
-
-    Values have unit length, or less for texts of few words, whose scores so stay near the middle.
-    """
+    """Slots of a text and how often it has each: word shapes and words, and words equal to the one before."""
     _SLOTS.claim()
     words = text.split()
     if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.zeros(0, np.uint16), np.zeros(0, np.uint32)
     flat = np.array([_SLOTS[w] for w in words], np.int32)
     again = sum(a == b for a, b in zip(words, words[1:], strict=False))
     slot, n = np.unique(np.concatenate([flat.ravel(), np.full(again, _AGAIN, np.int32)]), return_counts=True)
-    return slot, (np.sqrt(n) / np.sqrt(max(n.sum(), LEAST_EVIDENCE))).astype(np.float32)
+    return slot.astype(np.uint16), n.astype(np.uint32)
+
+
+def values(n: np.ndarray) -> np.ndarray:
+    """Values of a text's slots: of unit length, or less for texts of few words, whose scores so stay near the middle."""
+    return (np.sqrt(n) / np.sqrt(max(n.sum(), LEAST_EVIDENCE))).astype(np.float32)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> np.ndarray:
@@ -152,16 +154,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_tr
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [hashed(t) for t in C.texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["h", "slot", "value"])
+            # Counts in as few bytes as they need: the driver gets them all.
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([C.pack(n) for _, n in found], pa.binary())], ["h", "slot", "value"])
 
     # Equal texts fall together by hash: the sample has distinct texts, each with the votes of its own statistics.
     distinct = some.groupBy("h").agg(F.min("text").alias("text"))
     stats = with_stats(distinct, "h", "text").select("doc_id", *labellers()).withColumnRenamed("doc_id", "h")
     rows = distinct.mapInArrow(features, "h long, slot binary, value binary").join(stats, "h").orderBy("h").limit(most_training).toArrow()
-    data = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for s, v in zip(rows.column("slot").to_pylist(), rows.column("value").to_pylist(), strict=True)]
+    data = [(np.frombuffer(s, np.uint16), values(C.unpack(v, "<u4")[0])) for s, v in zip(rows.column("slot").to_pylist(), rows.column("value").to_pylist(), strict=True)]
     target = np.array([by_pattern[v] for v in zip(*[rows.column(n).to_pylist() for n in LABELLERS], strict=True)])
     del rows
-    return train(data, target), by_pattern, votes
+    weights = train(data, target)
+    del data, target
+    C.tidy(docs.sparkSession)
+    return weights, by_pattern, votes
 
 
 def scorer(spark: SparkSession, weights: np.ndarray):
@@ -171,7 +177,7 @@ def scorer(spark: SparkSession, weights: np.ndarray):
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         w = shared.value
-        z = [float(w[s] @ v) + w[-1] for s, v in map(hashed, text)]
+        z = [float(w[s] @ values(n)) + w[-1] for s, n in map(hashed, text)]
         return pd.Series(1 / (1 + np.exp(-np.array(z, float))))
 
     return score
