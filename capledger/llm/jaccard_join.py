@@ -20,7 +20,7 @@ from .components import components
 #: Words of a shingle, and the similarity from which two documents link, in per cent.
 WORDS, PERCENT = 3, 90
 #: Shingles of a chunk of documents, and bytes of input for each shard of shingles that is counted at a time.
-CHUNK_SHINGLES, SHARD_BYTES = 1_000_000, 32 << 20
+CHUNK_SHINGLES, SHARD_BYTES = 400_000, 16 << 20
 #: Shingles of a shard that are added up at a time.
 RANGE_SHINGLES = 400_000
 #: Shared prefix elements by which a set goes to trees in the first round.
