@@ -49,7 +49,9 @@ class Memory(dict):
 
 
 def release() -> None:
-    """Give what a task has freed back to the system, as a worker stays for the next task and others idle beside it."""
+    """Forget what was remembered and give it back to the system at a task's end: workers idle on beside the next stage's."""
+    for memory in Memory._all:
+        memory.clear()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

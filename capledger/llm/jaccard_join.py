@@ -555,8 +555,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     met = met.groupBy(F.col("doc_id").alias("_met_id"), F.col("sid").alias("_met_digest"), stays.alias("_stays")).agg(F.count(F.lit(1)).alias("_rows"))
 
     @F.pandas_udf("binary")
-    def sid(texts: pd.Series) -> pd.Series:
-        return pd.Series([set_id(shingles(bytes(t or b""), words)) for t in texts])
+    def sid(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([set_id(shingles(bytes(t or b""), words)) for t in texts])
+        C.release()
 
     return C.without(docs, id_col, lambda d: sid(d[text_col].cast("binary")), met.where("not _stays or _rows > 1"))
 

@@ -26,7 +26,7 @@ LENGTH, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
 #: Dimensions of the projection and bits of each in the Hilbert key.
 DIMS, BITS = 4, 12
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: Bytes of texts that are split into words at a time.
 AT_A_TIME = 1 << 20
 _MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")

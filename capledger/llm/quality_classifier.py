@@ -156,6 +156,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_tr
             found = [hashed(t) for t in C.texts(batch.column(1))]
             # Counts in as few bytes as they need: the driver gets them all.
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([C.pack(n) for _, n in found], pa.binary())], ["h", "slot", "value"])
+        C.release()
 
     # Equal texts fall together by hash: the sample has distinct texts, each with the votes of its own statistics.
     distinct = some.groupBy("h").agg(F.min("text").alias("text"))
@@ -175,10 +176,12 @@ def scorer(spark: SparkSession, weights: np.ndarray):
     shared = spark.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = shared.value
-        z = [float(w[s] @ values(n)) + w[-1] for s, n in map(hashed, text)]
-        return pd.Series(1 / (1 + np.exp(-np.array(z, float))))
+        for text in batches:
+            z = [float(w[s] @ values(n)) + w[-1] for s, n in map(hashed, text)]
+            yield pd.Series(1 / (1 + np.exp(-np.array(z, float))))
+        C.release()
 
     return score
 
