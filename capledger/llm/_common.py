@@ -249,7 +249,7 @@ def build_filter(keys: DataFrame, hashes: int, log2: int, twice: bool = False, s
                 size = 0
         u, c = _gather(held)
         blocks, first = np.unique(u // np.uint64(BLOCK), return_index=True)
-        for block, a, b in zip(blocks.tolist(), first, np.append(first[1:], len(u)), strict=True):
+        for block, a, b in zip(blocks.tolist(), first, np.append(first, len(u))[1:], strict=True):
             part = np.zeros(BLOCK, np.uint8)
             part[(u[a:b] % np.uint64(BLOCK)).astype(np.int64)] = c[a:b]
             ones, twos = (np.packbits(part >= k, bitorder="little").tobytes() for k in (1, 2))

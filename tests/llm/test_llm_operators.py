@@ -134,6 +134,36 @@ def test_tables_follow_their_exact_distribution(monkeypatch):
     assert abs(mean(30, False, 1_000) - mean(30, True)) < 0.3 < abs(few - mean(30, True))
 
 
+@pytest.mark.parametrize("bits", [0, 2])
+def test_probabilities_add_up_to_one(bits):
+    """Over the vocabulary, the end and one unknown word, in each of several contexts, whatever the shards are."""
+    rng = np.random.default_rng(bits)
+    words = [f"w{i}" for i in range(40)]
+    training = [" ".join(words).encode()] + [" ".join(rng.choice(words, 60, p=np.arange(1, 41) / 820)).encode() for _ in range(30)]
+    asked = " ".join(f"{u} {w}" for u in ("w3", "w39", "new") for w in [*words, "unseen"]).encode()
+    ends = [u.encode() for u in ("w3", "w39", "new")]
+    docs = [(lm_scoring.tokens(t), True) for t in training] + [(lm_scoring.tokens(t), False) for t in [asked, *ends]]
+    shards = {s: lm_scoring.Shard([cells]) for s, cells, _ in lm_scoring._chunk(docs, bits)}
+    totals = sum(shard.totals(s, 1 << bits) for s, shard in shards.items())
+    p = {}
+    for s, shard in shards.items():
+        found = shard.probabilities(s, 1 << bits, totals)
+        assert (found > 0).all()
+        p |= {(int(shard.words[w]), int(c)): x for w, c, x in zip(shard.word, shard.context, found, strict=True)}
+    for u in ("w3", "w39", "new"):
+        c = int(lm_scoring.contexts(lm_scoring.tokens(u.encode()))[1])
+        every = [int(h) for h in lm_scoring.tokens(" ".join([*words, "unseen"]).encode())]
+        assert abs(sum(p[h, c] for h in every) - 1) < 1e-9
+
+
+def test_scores_do_not_depend_on_shuffle_partitions(spark, documents):
+    found = []
+    for n in ("3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append({r["doc_id"]: round(r["score"], 2) for r in lm_scoring.lm_score(documents).collect()})
+    assert found[0] == found[1]
+
+
 # ---------------------------------------------------------------- 3 language
 
 
