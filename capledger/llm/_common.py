@@ -165,6 +165,16 @@ def crc_fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+#: DuckDB's SQL has no CRC-32: the 256 values of a byte, and the code of a text by them, from a column crc_table.
+SQL_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def sql_crc32(text: str) -> str:
+    """SQL (of DuckDB) for the unsigned CRC-32 of a text's UTF-8 bytes; the query has a column crc_table."""
+    octets = f"list_transform(range(strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce([4294967295] || {octets}, lambda c, b: xor(c >> 8, crc_table[CAST((xor(c, b) & 255) + 1 AS INT)])), 4294967295)"
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text, null as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
