@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, lm_scoring, manifest, mixing, packing, quality_classifier, quality_rules, secrets, url_filter
+from . import exact_dedup, jaccard_join, language_id, lm_scoring, manifest, mixing, packing, quality_classifier, quality_rules, resampling, secrets, url_filter
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_manifest": manifest.op11_manifest,
+        "op12_resampling": resampling.op12_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op6_jaccard_join": jaccard_join.SQL, "op10_url_filter": url_filter.SQL, "op11_manifest": manifest.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op6_jaccard_join": jaccard_join.SQL, "op10_url_filter": url_filter.SQL, "op11_manifest": manifest.SQL, "op12_resampling": resampling.SQL}
