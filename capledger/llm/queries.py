@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, lm_scoring, manifest, mixing, packing, quality_classifier, quality_rules, resampling, secrets, url_filter
+from . import exact_dedup, jaccard_join, language_id, lm_scoring, manifest, mixing, packing, quality_classifier, quality_rules, resampling, secrets, simhash, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_manifest": manifest.op11_manifest,
         "op12_resampling": resampling.op12_resampling,
+        "op13_simhash": simhash.op13_simhash,
     }
 
 
