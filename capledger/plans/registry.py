@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import queries as Q
-from . import record_queries, text_queries  # noqa: F401  they register their queries
+from . import record_queries, source_queries, text_queries  # noqa: F401  they register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Places for parsers, clients and announcement services that are not part of the library."""
+"""Places for parsers and clients that are not part of the library."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .announcements import Announcements  # noqa: F401  known under this module as well
 
 
 def pdf_pages(files: DataFrame, parser: Callable[[bytes], list[str]], fallback: Callable[[bytes], list[str]] | None = None, keep_blank: bool = False) -> DataFrame:
@@ -49,52 +50,6 @@ def ask(prompts: DataFrame, client: Callable[[str], str], key: str = "company")
     return prompts.select(key, "prompt").mapInPandas(run, f"`{key}` {prompts.schema[key].dataType.simpleString()}, reply string")
 
 
-class _Page(InputPartition):
-    def __init__(self, stock_code: str):
-        self.stock_code = stock_code
-
-
-class _AnnouncementReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.codes = [c for c in options.get("codes", "").split(",") if c]
-        self.pages, self.size = int(options.get("pages", "5")), int(options.get("size", "30"))
-        module, _, name = options["client"].partition(":")
-        self.client = (module, name)
-
-    def partitions(self) -> list[_Page]:
-        return [_Page(c) for c in self.codes]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        import importlib
-
-        search = getattr(importlib.import_module(self.client[0]), self.client[1])
-        n = 0
-        for page in range(1, self.pages + 1):
-            rows, total = search(partition.stock_code, page, self.size)
-            for r in rows:
-                n += 1
-                yield partition.stock_code, r.get("announcementTitle"), r.get("adjunctUrl"), r.get("announcementDate"), n
-            if not rows or n >= total:
-                return
-
-
-class Announcements(DataSource):
-    """format("announcements"): a task for each stock code pages through a search until a page is empty or all were seen.
-
-    Options: codes (joined by commas), client (module:function of code, page, size to rows and total), pages, size.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "announcements"
-
-    def schema(self) -> str:
-        return "stock_code string, announcementTitle string, adjunctUrl string, announcementDate string, ord long"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _AnnouncementReader(self.options)
-
-
 def step_metrics(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, object]:
     """df, and an observation that counts its rows (and more) while it is written."""
     from pyspark.sql import Observation
