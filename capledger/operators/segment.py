@@ -96,45 +96,95 @@ def _last_at(c: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, F.length(c) - tail - F.length(F.element_at(found, -1)) + 1).otherwise(0)
 
 
+def _core_span(docs: DataFrame, text: str) -> DataFrame:
+    """docs with _core (title, start, stop): the span around the first core pattern's first match, null without one."""
+    whole = F.col(text)
+    pattern_no = T.rule_index(whole, P.CORE_PATTERNS)
+    at = F.coalesce(*[F.when(pattern_no == i, F.regexp_instr(whole, F.lit(p))) for i, p in enumerate(P.CORE_PATTERNS, 1)])
+    hit = F.coalesce(*[F.when(pattern_no == i, F.regexp_extract(whole, p, 0)) for i, p in enumerate(P.CORE_PATTERNS, 1)])
+    found = docs.withColumns({"_at": at, "_hit": hit})
+    at, from_ = F.col("_at"), F.greatest(F.col("_at") - 5_000, F.lit(1))
+    ahead = F.regexp_instr(F.substring(whole, at, F.lit(20_000)), F.lit(P.NEXT_SECTION))
+    behind = _last_at(F.substring(whole, from_, at - from_), P.PREVIOUS_SECTION)
+    found = found.withColumns({"_ahead": F.when(at.isNotNull(), ahead), "_behind": F.when(at.isNotNull(), behind)})
+    start = F.when(F.col("_behind") > 0, from_ + F.col("_behind") - 1).otherwise(F.greatest(at - 500, F.lit(1)))
+    stop = F.least(at + 15_000, F.when(F.col("_ahead") > 0, at + F.col("_ahead") - 1).otherwise(at + 15_000))
+    span = F.struct(F.concat(F.lit("全文定位: "), F.left("_hit", F.lit(60))).alias("title"), start.alias("start"), stop.alias("stop"))
+    return found.withColumn("_core", F.when(at.isNotNull(), span)).drop("_at", "_hit", "_ahead", "_behind")
+
+
+def _word_span(docs: DataFrame, text: str, words: Sequence[str], before: int, after: int) -> DataFrame:
+    """docs with _word (title, start, stop): the span around the first word that the text holds, null without one."""
+    number = F.coalesce(*[F.when(F.col(text).contains(w), i) for i, w in enumerate(words)])
+    found = docs.withColumn("_held", F.get(F.array(*[F.lit(w) for w in words]), number)).withColumn("_at", F.expr(f"locate(_held, {text})"))
+    span = F.struct(F.concat(F.lit("全文搜索: "), F.col("_held")).alias("title"), F.greatest(F.col("_at") - before, F.lit(1)).alias("start"), (F.col("_at") + after).alias("stop"))
+    return found.withColumn("_word", F.when(F.col("_held").isNotNull(), span)).drop("_held", "_at")
+
+
+def _cut(text: Column, span: Column) -> Column:
+    """title, line_idx, content and length of a span of a text."""
+    head = F.left(text, span["start"] - 1)
+    line = (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).cast("long")
+    content = T.strip(F.substring(text, span["start"], span["stop"] - span["start"]))
+    return F.when(span.isNotNull(), F.struct(span["title"].alias("title"), line.alias("line_idx"), content.alias("content"), F.length(content).cast("long").alias("length")))
+
+
+def _rows(found: DataFrame) -> DataFrame:
+    """A row for each struct of _each that is not null.
+
+    A filter on what an explode gives stays above it; one on the struct itself would be pushed to the scan, with all
+    the searching in it once more.
+    """
+    others = [c for c in found.columns if c != "_each"]
+    return found.select(*others, F.explode_outer("_each").alias("_s")).where("_s is not null").select(*others, "_s.*")
+
+
 def locate_by_core(docs: DataFrame, least: int = 200) -> DataFrame:
     """Fallback one: company, title, line_idx, content, length around the first core pattern's first match.
 
     From 500 characters before to 15 000 after it, cut to the next section heading within 20 000 and begun at the
     nearest section heading within 5 000 before.
     """
-    text = F.col("text")
-    pattern_no = T.rule_index(text, P.CORE_PATTERNS)
-    at = F.coalesce(*[F.when(pattern_no == i, F.regexp_instr(text, F.lit(p))) for i, p in enumerate(P.CORE_PATTERNS, 1)])
-    hit = F.coalesce(*[F.when(pattern_no == i, F.regexp_extract(text, p, 0)) for i, p in enumerate(P.CORE_PATTERNS, 1)])
-    found = docs.select("company", "text", at.alias("at"), hit.alias("hit")).where("at is not null")
-    ahead = F.regexp_instr(F.substring("text", F.col("at"), F.lit(20_000)), F.lit(P.NEXT_SECTION))
-    from_ = F.greatest(F.col("at") - 5_000, F.lit(1))
-    behind = _last_at(F.substring("text", from_, F.col("at") - from_), P.PREVIOUS_SECTION)
-    start = F.when(behind > 0, from_ + behind - 1).otherwise(F.greatest(F.col("at") - 500, F.lit(1)))
-    stop = F.least(F.col("at") + 15_000, F.when(ahead > 0, F.col("at") + ahead - 1).otherwise(F.col("at") + 15_000))
-    return _cut(found.select("company", "text", "hit", start.alias("start"), stop.alias("stop")), F.concat(F.lit("全文定位: "), F.left("hit", F.lit(60)))).where(F.col("length") > least)
-
-
-def _cut(found: DataFrame, title: Column) -> DataFrame:
-    content = T.strip(F.substring("text", F.col("start"), F.col("stop") - F.col("start")))
-    line = (F.length(F.left("text", F.col("start") - 1)) - F.length(F.replace(F.left("text", F.col("start") - 1), F.lit("\n"), F.lit("")))).cast("long")
-    return found.select("company", title.alias("title"), line.alias("line_idx"), content.alias("content")).withColumn("length", F.length("content").cast("long"))
+    found = _core_span(docs.select("company", "text"), "text")
+    return _rows(found.select("company", F.array(_cut(F.col("text"), F.col("_core"))).alias("_each"))).where(F.col("length") > least)
 
 
 def locate_by_word(docs: DataFrame, words: Sequence[str] = P.FALLBACK_WORDS, before: int = 200, after: int = 2_000) -> DataFrame:
     """Fallback two: the text around the first word that the document holds."""
-    number = F.coalesce(*[F.when(F.col("text").contains(w), i) for i, w in enumerate(words)])
-    word = F.get(F.array(*[F.lit(w) for w in words]), number)
-    found = docs.withColumn("word", word).where("word is not null").withColumn("at", F.expr("locate(word, text)"))
-    return _cut(found.select("company", "text", "word", F.greatest(F.col("at") - before, F.lit(1)).alias("start"), (F.col("at") + after).alias("stop")), F.concat(F.lit("全文搜索: "), F.col("word")))
-
-
-def locate_all(docs: DataFrame, words: Sequence[str] = P.SECTION_WORDS_BATCH) -> DataFrame:
-    """Sections by title; for companies without one by fallback one; for those still without by fallback two."""
-    by_title = locate(sections(tiered_lines(docs)), words).select("company", "title", "line_idx", "content", "length", F.lit("title").alias("method"))
-    by_core = locate_by_core(S.missing(docs, by_title, ["company"])).withColumn("method", F.lit("core"))
-    some = by_title.unionByName(by_core)
-    return some.unionByName(locate_by_word(S.missing(docs, some, ["company"])).withColumn("method", F.lit("word")))
+    found = _word_span(docs.select("company", "text"), "text", words, before, after)
+    return _rows(found.select("company", F.array(_cut(F.col("text"), F.col("_word"))).alias("_each")))
+
+
+def sections_of(docs: DataFrame, text: str = "text", kinds: Sequence[tuple[str, int]] = TIERS) -> DataFrame:
+    """docs with _sections (title, line_idx, content, length): sections(tiered_lines(docs)) inside each row, without a shuffle."""
+    lines_, titles, starts = F.col("_lines"), F.col("_titles"), F.col("_starts")
+    title = lambda i: F.transform(lines_, lambda x: F.when(x.rlike(kinds[i][0]), T.strip(F.regexp_extract(x, kinds[i][0], kinds[i][1]))))
+    many = lambda i: F.size(F.filter(lines_, lambda x: x.rlike(kinds[i][0])))
+    split = docs.withColumn("_lines", F.split(text, "\n"))
+    split = split.withColumn("_titles", F.when(many(0) > 2, title(0)).when(many(1) > 0, title(1)).otherwise(title(2)))
+    split = split.withColumn("_starts", F.filter(F.transform(titles, lambda t, i: F.when(t.isNotNull(), i)), lambda i: i.isNotNull()))
+    content = lambda s, k: T.strip(F.array_join(F.slice(lines_, s + 1, F.coalesce(F.get(starts, k + 1), F.size(lines_)) - s), "\n"))
+    parts = F.transform(starts, lambda s, k: F.struct(F.get(titles, s).alias("title"), s.cast("long").alias("line_idx"), content(s, k).alias("content")))
+    with_length = F.transform(parts, lambda p: F.struct(p["title"], p["line_idx"], p["content"], F.length(p["content"]).cast("long").alias("length")))
+    return split.withColumn("_sections", with_length).drop("_lines", "_titles", "_starts")
+
+
+def locate_all(docs: DataFrame, words: Sequence[str] = P.SECTION_WORDS_BATCH, core_least: int = 200, fallback_words: Sequence[str] = P.FALLBACK_WORDS, kinds: Sequence[tuple[str, int]] = TIERS, least: int = 100) -> DataFrame:
+    """Sections by title; for documents without one by fallback one; for those still without by fallback two.
+
+    docs has one row for each company (as company_texts gives), so the row itself tells which way is left for
+    it: one scan, no exchange, and a text is searched by a later way only where the ways before it found nothing.
+    A null text has no section.
+    """
+    found = sections_of(docs.select("company", "text"), "text", kinds)
+    hits = F.filter("_sections", lambda s: T.rule_index(s["title"], words).isNotNull() & (s["length"] > least))
+    found = found.select("company", "text", F.coalesce(hits, F.array().cast("array<struct<title: string, line_idx: long, content: string, length: long>>")).alias("_hits"))
+    found = _core_span(found.withColumn("_rest", F.when(F.size("_hits") == 0, F.col("text"))), "_rest")
+    found = found.withColumn("_by_core", _cut(F.col("_rest"), F.col("_core"))).withColumn("_by_core", F.when(F.col("_by_core.length") > core_least, F.col("_by_core")))
+    found = _word_span(found.withColumn("_rest", F.when(F.col("_by_core").isNull(), F.col("_rest"))), "_rest", fallback_words, 200, 2_000)
+    method = F.when(F.size("_hits") > 0, "title").when(F.col("_by_core").isNotNull(), "core").otherwise("word")
+    each = F.when(F.size("_hits") > 0, F.col("_hits")).when(F.col("_by_core").isNotNull(), F.array("_by_core")).otherwise(F.array(_cut(F.col("_rest"), F.col("_word"))))
+    return _rows(found.select("company", method.alias("method"), each.alias("_each"))).select("company", "title", "line_idx", "content", "length", "method")
 
 
 def snippets(docs: DataFrame, words: Sequence[str] = P.SNIPPET_WORDS, most: int = 3, ahead: int = 3_000, size: int = 2_000) -> DataFrame:

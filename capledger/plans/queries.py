@@ -302,17 +302,26 @@ def q28_keyword_locate(spark, sf_dir):
     return G.locate(docs, _WORDS, 100).select("doc_id", "keyword_no")
 
 
+_STRIP = "regexp_replace({}, '^[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+$', '', 'g')"
 _PLAIN = ("ouque", "entre", "the of", "ción", "ver")
 _PLAIN_CASE = "CASE " + " ".join(f"WHEN contains(text, '{w}') THEN '{w}'" for w in _PLAIN) + " END"
 
 
-@query(rf"""WITH f AS (SELECT doc_id, text, {_PLAIN_CASE} AS word FROM documents WHERE NOT (n_chars > 100 AND {_WORD_CASE} IS NOT NULL)), p AS (SELECT *, strpos(text, word) AS pos FROM f WHERE word IS NOT NULL)
-SELECT doc_id AS company, '全文搜索: ' || word AS title, md5(regexp_replace(substr(text, greatest(pos - 200, 1), pos + 2000 - greatest(pos - 200, 1)), '^\s+|\s+$', '', 'g')) AS digest FROM p""")
+#: Lines that open a section of documents, and words of its title.
+_KINDS, _TITLES = ((r"^([A-Z][a-z]+ [a-z]+ )", 1), (r"^(.*\|)", 1), (r"^(.*\.)", 1)), ("^[A-M]", "x")
+_TITLE = " ".join(f"WHEN tier = {i} AND regexp_matches(line, '{p}') THEN {_STRIP.format(f"regexp_extract(line, '{p}', {g})")}" for i, (p, g) in enumerate(_KINDS, 1))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), m AS (SELECT *, CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, '{_KINDS[0][0]}'))) > 2 THEN 1 WHEN len(list_filter(ls, lambda x: regexp_matches(x, '{_KINDS[1][0]}'))) > 0 THEN 2 ELSE 3 END AS tier FROM l),
+e AS (SELECT doc_id, tier, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM m), t AS (SELECT *, CASE {_TITLE} END AS title FROM e), s AS (SELECT *, count(title) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM t),
+g AS (SELECT doc_id, arg_min(title, line_no) AS title, min(line_no) AS line_idx, {_STRIP.format("string_agg(line, chr(10) ORDER BY line_no)")} AS content FROM s WHERE section > 0 GROUP BY doc_id, section),
+h AS (SELECT doc_id, title, line_idx, content, 'title' AS method FROM g WHERE length(content) > 100 AND ({" OR ".join(f"regexp_matches(title, '{w}')" for w in _TITLES)})),
+f AS (SELECT doc_id, text, {_PLAIN_CASE} AS word FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h)), p AS (SELECT *, greatest(strpos(text, word) - 200, 1) AS start, strpos(text, word) + 2000 AS stop FROM f WHERE word IS NOT NULL),
+a AS (SELECT * FROM h UNION ALL SELECT doc_id, '全文搜索: ' || word, length(left(text, start - 1)) - length(replace(left(text, start - 1), chr(10), '')), {_STRIP.format("substr(text, start, stop - start)")}, 'word' FROM p)
+SELECT doc_id AS company, title, CAST(line_idx AS BIGINT) AS line_idx, method, md5(content) AS digest, length(content) AS length FROM a""")
 def q29_fallback_search(spark, sf_dir):
-    # A document is one row, so whether it was located is told in the same scan, and no text shuffles.
-    docs = _t(spark, sf_dir, "documents").withColumn("located", F.col("n_chars") > 100)
-    left = docs.where(~F.coalesce(F.col("located") & T.rule_index(F.col("text"), _WORDS).isNotNull(), F.lit(False))).select(F.col("doc_id").alias("company"), "text")
-    return G.locate_by_word(left, _PLAIN).select("company", "title", F.md5("content").alias("digest"))
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("company"), "text")
+    return G.locate_all(docs, _TITLES, fallback_words=_PLAIN, kinds=_KINDS).select("company", "title", "line_idx", "method", F.md5("content").alias("digest"), "length")
 
 
 @query(r"""WITH c AS (SELECT conv_id, turn, contains(text, 'que') AS hit, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 4 FOLLOWING) AS context FROM conversations)

@@ -136,6 +136,14 @@ def test_locate_falls_back_by_company(spark):
     assert got["word"]["length"] == 2200 and got["word"]["content"].startswith("序" * 200 + "增资")
 
 
+def test_locating_needs_no_exchange_and_sections_agree_with_lines(spark):
+    docs = frame(spark, "company string, text string", ("a", "x\n# 一\nx\n# 二\ny\n# 三"), ("b", "# 一\n 第一节 甲\nx\n第二章 乙"), ("c", "## 第1页\nx\n## 第2页\n"), ("d", "x"), ("e", None), ("f", ""))
+    assert "Exchange" not in G.locate_all(docs)._jdf.queryExecution().executedPlan().toString()
+    inside = G.sections_of(docs).selectExpr("company", "inline(_sections)")
+    assert rows(inside, "company", "line_idx", "title", "content", "length") == rows(G.sections(G.tiered_lines(docs)), "company", "line_idx", "title", "content", "length")
+    assert G.locate_all(docs.where("company > 'c'")).count() == 0
+
+
 def test_snippets_of_the_first_word(spark):
     docs = frame(spark, "company string, text string", ("c", "a\nb 股本演变 x\n股本演变 y\n历次增资"))
     assert rows(G.snippets(docs, most=5), "nth", "pos", "snippet") == [(1, 4, "\nb 股本演变 x\n股本演变 y\n历次增资"), (2, 11, "\n股本演变 y\n历次增资")]
