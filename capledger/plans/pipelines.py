@@ -28,18 +28,31 @@ def documents(files: DataFrame, prefix: str = "", toc_lines: int = 300) -> dict[
     return {"contents": contents, "candidates": G.locate(G.sections(marked))}
 
 
+def batch_sections(texts: DataFrame) -> DataFrame:
+    """Sections of (company, text), with fallbacks, numbered within their company."""
+    return G.locate_all(texts).withColumn("section_no", F.row_number().over(W.partitionBy("company").orderBy("line_idx", "title")).cast("long"))
+
+
+def batch_events(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events and timeline of numbered sections."""
+    keys = ["company", "section_no"]
+    return E.assemble(sections, E.events_batch(sections, keys, "content"), E.timeline_batch(sections, keys, "content"))
+
+
+def batch_statistics(texts: DataFrame, sections: DataFrame, timeline: DataFrame, events: DataFrame) -> DataFrame:
+    """Counts of each company."""
+    statistics = G.tiered_lines(texts).groupBy("company").agg(F.count("title").alias("total_chapters"))
+    for d, n in ((sections, "financing_chapters_found"), (timeline, "timeline_entries"), (events, "financing_events")):
+        statistics = statistics.join(d.groupBy("company").agg(F.count(F.lit(1)).alias(n)), "company", "left")
+    return statistics.na.fill(0)
+
+
 def market_batch(files: DataFrame) -> dict[str, DataFrame]:
     """Market batch over (file_name, text): sections with fallbacks, events, timeline and statistics of each company."""
     texts = readers.company_texts(files, T.company_key_coded)
-    sections = G.locate_all(texts).withColumn("section_no", F.row_number().over(W.partitionBy("company").orderBy("line_idx", "title")).cast("long"))
-    keys = ["company", "section_no"]
-    events, timeline = E.assemble(sections, E.events_batch(sections, keys, "content"), E.timeline_batch(sections, keys, "content"))
-    chapters = G.tiered_lines(texts).groupBy("company").agg(F.count("title").alias("total_chapters"))
-    counts = [d.groupBy("company").agg(F.count(F.lit(1)).alias(n)) for d, n in ((sections, "financing_chapters_found"), (timeline, "timeline_entries"), (events, "financing_events"))]
-    statistics = chapters
-    for c in counts:
-        statistics = statistics.join(c, "company", "left")
-    return {"sections": sections, "events": events, "timeline": timeline, "statistics": statistics.na.fill(0)}
+    sections = batch_sections(texts)
+    events, timeline = batch_events(sections)
+    return {"sections": sections, "events": events, "timeline": timeline, "statistics": batch_statistics(texts, sections, timeline, events)}
 
 
 def build_records(manual: DataFrame, docs: DataFrame) -> DataFrame:
