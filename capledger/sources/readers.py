@@ -30,7 +30,12 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
 
     Lines are numbered by their place in the file, which Spark gives per split, so a file is read whole.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("company"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    return numbered(spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("company"), F.col("value").alias("text")))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """company, line and raw of whole texts (company, text), as of jsonl."""
+    whole = files.select("company", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
     return whole.select("company", F.posexplode("lines").alias("line", "raw")).select("company", (F.col("line") + 1).cast("long").alias("line"), "raw")
 
 
