@@ -65,15 +65,15 @@ def snapshots(events: DataFrame, first_order: int = 0) -> DataFrame:
     )
 
 
-def auto_flows(docs: DataFrame, most: int = 5, least_length: int = 4) -> DataFrame:
+def auto_flows(docs: DataFrame, most: int = 5, least_length: int = 4, most_text: int | None = None) -> DataFrame:
     """Flows from running text: docs have company_name, stock_code, company and text.
 
-    Events come from the snippets of a document (its first 100 000 characters without one); the j-th name of an
+    Events come from the snippets of a document (without one from its text, or the first most_text characters of it); the j-th name of an
     event's evidence is paired with its j-th amount; an event without a name gives one row with a placeholder.
     """
     pieces = G.snippets(docs, most=5)
     texts = pieces.groupBy("company").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "snippet"))), lambda x: x["snippet"]), "\n").alias("_all"))
-    whole = docs.join(texts, "company", "left").withColumn("_text", F.coalesce(F.nullif("_all", F.lit("")), F.left("text", F.lit(100_000))))
+    whole = docs.join(texts, "company", "left").withColumn("_text", F.coalesce(F.nullif("_all", F.lit("")), "text" if most_text is None else F.left("text", F.lit(most_text))))
     events = E.context_events(whole, ["company_name", "stock_code", "company"], "_text")
     paired = events.select("*", T.participants(F.col("evidence_text"), P.PARTY_AUTO, most, least_length).alias("_names"), T.amounts(F.col("evidence_text")).alias("_amounts"), T.unit_price(F.col("evidence_text")).alias("price_per_share"))
     each = paired.select("*", F.posexplode_outer("_names").alias("_j", "_name")).withColumn("_j", F.coalesce("_j", F.lit(0)))

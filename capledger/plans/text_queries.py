@@ -313,7 +313,7 @@ def _one_page(content: bytes) -> list[str]:
 WHEN c_custkey % 10 <> 9 THEN '## 第1页' || chr(10) || chr(10) || 'bad' || c_custkey END AS text FROM customer""")
 def q96_pdf_pages(spark, sf_dir):
     content = F.when(F.col("c_custkey") % 3 > 0, F.concat("c_mktsegment", F.lit("| |"), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit("bad"), F.col("c_custkey").cast("string")))
-    return hooks.pdf_pages(_t(spark, sf_dir, "customer").select(F.col("c_name").alias("path"), content.cast("binary").alias("content")), _pages, _one_page)
+    return hooks.pdf_pages(_t(spark, sf_dir, "customer").select(F.col("c_name").alias("path"), content.cast("binary").alias("content")), _pages, _one_page).drop("error")
 
 
 @query("SELECT c_name AS company, 'Q: {x} ' || c_mktsegment || '!' AS reply FROM customer")

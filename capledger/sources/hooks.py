@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import multiprocessing
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,33 +13,100 @@ from pyspark.sql import functions as F
 from .announcements import Announcements  # noqa: F401  known under this module as well
 
 
-def pdf_pages(files: DataFrame, parser: Callable[[bytes], list[str]], fallback: Callable[[bytes], list[str]] | None = None, keep_blank: bool = False) -> DataFrame:
-    """path, status and text of PDF files (path, content): each page under a mark, by a parser from bytes to page texts.
+class Deadline:
+    """A function of bytes run in a child process, which is killed and made anew when a call takes too long.
 
-    A parser that fails gives way to fallback; a file that both fail on has a null text and status failed.
+    The child comes by fork, so any function will do; what it returns is pickled.  A child that dies is an error of that
+    call alone.
+    """
+
+    def __init__(self, call: Callable[[bytes], list[str]], seconds: float):
+        self.call, self.seconds, self.child = call, seconds, None
+
+    def _serve(self, pipe) -> None:
+        while True:
+            try:
+                content = pipe.recv_bytes()
+            except EOFError:
+                return
+            try:
+                pipe.send((True, self.call(content)))
+            except BaseException as e:  # noqa: BLE001  whatever it is, the parent is told
+                pipe.send((False, f"{type(e).__name__}: {e}"))
+
+    def __call__(self, content: bytes) -> list[str]:
+        if self.child is None:
+            fork = multiprocessing.get_context("fork")
+            self.pipe, theirs = fork.Pipe()
+            self.child = fork.Process(target=self._serve, args=(theirs,), daemon=True)
+            self.child.start()
+            theirs.close()
+        try:
+            # A daemon thread sends, as a child that does not read must not hold the deadline up.
+            self.sender = threading.Thread(target=self._send, args=(self.pipe, content), daemon=True)
+            self.sender.start()
+            if not self.pipe.poll(self.seconds):
+                raise TimeoutError(f"longer than {self.seconds} s")
+            ok, result = self.pipe.recv()
+        except (EOFError, OSError) as e:
+            self.close()
+            raise e if isinstance(e, TimeoutError) else RuntimeError("the parser died") from e
+        if not ok:
+            raise RuntimeError(result)
+        return result
+
+    @staticmethod
+    def _send(pipe, content: bytes) -> None:
+        try:
+            pipe.send_bytes(content)
+        except OSError:
+            pass  # the child is gone, which the reader sees
+
+    def close(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.sender.join()
+            self.pipe.close()
+            self.child = None
+
+
+def pdf_pages(files: DataFrame, parser: Callable[[bytes], list[str]], fallback: Callable[[bytes], list[str]] | None = None, keep_blank: bool = False, timeout: float | None = None) -> DataFrame:
+    """path, status, text and error of PDF files (path, content): each page under a mark, by a parser from bytes to page texts.
+
+    A parser that fails, or takes longer than timeout seconds for a file, gives way to fallback (status fallback); where that
+    fails as well the text is null and the status timeout or failed.  error tells of the parser.  With a timeout parsers run in
+    child processes, so that one that hangs or crashes costs its file and not the task.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                pages, status = None, "failed"
-                for how, name in ((parser, "parsed"), (fallback, "fallback")):
-                    if how is not None and pages is None:
-                        try:
-                            pages, status = how(content), name
-                        except Exception:  # noqa: BLE001  a broken file is a row of the result
-                            pages = None
-                text = None if pages is None else "\n\n".join(f"## 第{i}页\n\n{p.strip()}" for i, p in enumerate(pages, 1) if keep_blank or p.strip())
-                out.append((path, status, text))
-            yield pd.DataFrame(out, columns=["path", "status", "text"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, status string, text string")
-
-
-def render_prompt(docs: DataFrame, template: str, text: str = "text", most: int = 50_000) -> DataFrame:
-    """docs with prompt: the template with {text} replaced by the start of the text, braces in it left alone."""
-    return docs.withColumn("prompt", F.replace(F.lit(template), F.lit("{text}"), F.left(F.coalesce(F.col(text), F.lit("")), F.lit(most))))
+        calls = [(name, how if timeout is None else Deadline(how, timeout)) for how, name in ((parser, "parsed"), (fallback, "fallback")) if how is not None]
+        try:
+            for pdf in batches:
+                yield pd.DataFrame([one(calls, path, content) for path, content in zip(pdf["path"], pdf["content"], strict=True)], columns=["path", "status", "text", "error"])
+        finally:
+            for _, call in calls:
+                if isinstance(call, Deadline):
+                    call.close()
+
+    def one(calls: list, path: str, content: bytes) -> tuple:
+        error = status = None
+        for name, call in calls:
+            try:
+                pages = call(content)
+                return path, name, "\n\n".join(f"## 第{i}页\n\n{p.strip()}" for i, p in enumerate(pages, 1) if keep_blank or p.strip()), error
+            except Exception as e:  # noqa: BLE001  a broken file is a row of the result
+                status = status or ("timeout" if isinstance(e, TimeoutError) else "failed")
+                error = error or f"{type(e).__name__}: {e}"
+        return path, status, None, error
+
+    return files.select("path", "content").mapInPandas(run, "path string, status string, text string, error string")
+
+
+def render_prompt(docs: DataFrame, template: str, text: str = "text", most: int | None = None) -> DataFrame:
+    """docs with prompt: the template with {text} replaced by the text, or its first most characters; braces in it are left alone."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumn("prompt", F.replace(F.lit(template), F.lit("{text}"), whole if most is None else F.left(whole, F.lit(most))))
 
 
 def ask(prompts: DataFrame, client: Callable[[str], str], key: str = "company") -> DataFrame:
