@@ -30,6 +30,8 @@ REMEMBERED, LONGEST = 250_000, 64
 #: Bytes of texts that are split into words at a time.
 AT_A_TIME = 1 << 20
 _MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+#: Bytes of ids of a range, their number up to which it is so, and the most bytes of a range beyond.
+RANGE_BYTES, MOST_RANGES, LARGE_RANGE = 4 << 20, 10_000, 256 << 20
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -197,6 +199,14 @@ class Encoder:
         return np.clip((spread + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
+def n_ranges(size: int) -> int:
+    """Ranges for so many bytes of ids: RANGE_BYTES each, larger ones once there are MOST_RANGES, but of LARGE_RANGE at most.
+
+    A range is streamed, so its size is no matter of memory; the session's settings have no part in it.
+    """
+    return max(1, min(-(-size // RANGE_BYTES), max(MOST_RANGES, -(-size // LARGE_RANGE))))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Return a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -277,7 +287,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     encoded = C.materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(encode, f"doc_id {kind}, key long, width int, ids binary"), scan=True)
     tie = F.xxhash64("ids")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = n_ranges(encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0)
     ranged = encoded.withColumn("tie", tie).repartitionByRange(parts, "key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie")
     # Sequences are numbered by the range's own number, not by the task's: a caller may join partitions.
     return ranged.select("doc_id", "width", "ids", F.spark_partition_id().alias("range")).mapInArrow(fill, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
