@@ -19,8 +19,7 @@ KINDS = (
 EXTRA = ("key", r"([A-Za-z0-9+/_=-]{20,})", 1, 20)
 #: A value seen with at least so many owners, or in so many repositories, is a widely copied example.
 WIDE_OWNERS, WIDE_REPOS = 3, 6
-#: Parts over which the rows of a value are dealt where they are told how widely it is spread.
-SALTS = 32
+
 
 def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches, in code points, whose value has at least the least length."""
@@ -43,8 +42,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text counts as empty; a null owner is one owner.  Texts without a candidate, nearly all, meet no
     shuffle.  Value hashes are pre-aggregated to distinct (hash, owner, repository) before they shuffle, so
-    a value copied into a third of all rows is a few rows; where they learn how widely a value is spread, its rows are
-    dealt to SALTS parts.  Repeated rows each give a row of the result; an empty table gives an empty result; other columns
+    a value copied into a third of all rows is a few rows; where they learn how widely a value is spread, values
+    of many rows meet them by broadcast.  Repeated rows each give a row of the result; an empty table gives an empty result; other columns
     are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -62,11 +61,11 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty = rows.where(~has).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
     each = rows.where(has).select("*", F.explode(F.concat("base", "more")).alias("span")).withColumn("value", F.sha2(F.col("span")["value"], 256))
     # Distinct (value, owner, repository) is made before each shuffle; then each value is one row.
-    wide = each.select("value", "owner", "repo").distinct().groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count(F.lit(1)).alias("repos"))
-    wide = wide.where((F.col("owners") >= wide_owners) | (F.col("repos") >= wide_repos)).select("value", F.lit(True).alias("wide"))
-    # A value may be in a third of all rows: its rows are dealt to SALTS parts, and the wide values, which are few, go to each.
-    wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    told = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)).cast("int")).join(wide, ["value", "salt"], "left").withColumn("live", F.col("wide").isNull())
+    seen = each.groupBy("value", "owner", "repo").agg(F.count(F.lit(1)).alias("rows")).groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count(F.lit(1)).alias("repos"), F.sum("rows").alias("rows"))
+    is_wide = (F.col("owners") >= wide_owners) | (F.col("repos") >= wide_repos)
+    wide = C.materialize(seen.select("value", "rows", is_wide.alias("wide")).where(F.col("wide") | (F.col("rows") >= C.HOT_ROWS)))
+    # A value may be in a third of all rows: values of many rows, wide or not, are few and meet theirs by broadcast.
+    told = C.join_skewed(each, wide, "value", F.col("rows"), max(1, rows.count()), "left").withColumn("live", ~F.coalesce("wide", F.lit(False)))
     key = ["doc_id", "owner", "repo", "digest", "n_assign", "n_access", "n_hex"]
     kept = F.col("live") | (F.col("span")["rank"] < len(KINDS))
     mark = F.struct(F.col("span")["start"].alias("start"), F.col("span")["rank"].alias("rank"), F.col("span")["kind"].alias("kind"), F.col("span")["stop"].alias("stop"))
