@@ -54,21 +54,21 @@ def _source_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
 
 
-def _place(c: Column) -> Column:
-    """A document's place in its source: a hash of its id."""
-    return F.md5(F.coalesce(c.cast("string"), F.lit("")))
+def _place(c: Column, text: Column) -> Column:
+    """A document's place in its source: a hash of its id and text, so that rows without an id are spread as well."""
+    return F.md5(F.concat(F.coalesce(c.cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
 
 
 def _fair_queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], epochs: int) -> tuple[DataFrame, int]:
     """The documents with their source's size and target and the source's words up to their end; their number."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.regexp_count(text, F.lit(C.WORD)).cast("long")
-    sized = C.materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("digest")), scan=True)
+    sized = C.materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("digest"), _place(F.col(id_col), text).alias("place")), scan=True)
     n = sized.count()
     targets = source_targets(sized, weights, epochs).select(_source_key(F.col("source")).alias("key"), "source_size", "target")
     parts = max(1, -(-n // ROWS_IN_ORDER))
     # Ranges of the place are put in order apart and joined by their sums; these are added up in two levels.
-    rows = sized.select("doc_id", "size", "digest", _source_key(F.col("source")).alias("key"), _place(F.col("doc_id")).alias("place"))
+    rows = sized.select("doc_id", "size", "digest", _source_key(F.col("source")).alias("key"), "place")
     share = F.conv(F.substring("place", 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
     rows = rows.withColumn("part", F.least(F.floor(share * parts), F.lit(parts - 1)).cast("int"))
     sums = rows.groupBy("key", "part").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("part") / RANGES_IN_ORDER))
@@ -121,7 +121,7 @@ def _taken(queued: DataFrame, n: int, epochs: int) -> DataFrame:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """Return doc_id, size, source_size, target and taken (words that the mix takes) for each row.
 
-    Each source's documents stand in the order of a hash of their id, and queue again for each epoch.  A
+    Each source's documents stand in the order of a hash of their id and text, and queue again for each epoch.  A
     document's virtual finish time is the source's words up to its end over the source's target.  All are
     put in one global order of finish time (then source, epoch, hash, id) and taken until the next would
     exceed the budget, which is the sum of all sizes.  The order is by ranges of finish time: ranges before
@@ -163,7 +163,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, coalesce('s' || source, 'n') AS key, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, coalesce('s' || source, 'n') AS key, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS place FROM documents
 ), s AS (
   SELECT key, CAST(sum(size) AS BIGINT) AS source_size, CAST({list(WEIGHTS)}[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} AS INT) + 1] AS DOUBLE) AS w FROM d GROUP BY key, source
 ), c AS (
