@@ -12,8 +12,6 @@ from . import _common as C
 
 #: (host, path, verdict); the longest rule that fits wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Hosts that are blocked with all their subdomains where no rule fits.
-LISTED = ("adult-x.example.com", "spam-farm.example.org", "cheap-pills.example.net", "ads-track.example.com", "casino-win.example.net", "free-bets.example.net")
 #: A url with a tracking parameter, and the share of a host's urls from which the host is listed, in per cent.
 TRACKED, TRACKED_PERCENT = r"[?&](utm_[a-z]+|ref)=", 50
 #: Slots for each key of a level (at least) and hash functions, and the share of other keys that a level passes at most.
@@ -111,7 +109,7 @@ def _is_listed(cascade: Broadcast, i: int, ranges: int):
     return listed
 
 
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, listed: DataFrame | tuple[str, ...] = LISTED) -> DataFrame:
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, listed: DataFrame | tuple[str, ...] = ()) -> DataFrame:
     """Return page_id, host, path, rule and verdict (allow or block) for each row of pages.
 
     The rule's verdict holds where one fits; else a url is blocked if its host or a domain above it is
@@ -148,10 +146,9 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """url_filter over pages, with LISTED and the pages' own tracking_hosts; odd rows as there."""
+    """url_filter over pages, with the pages' own tracking_hosts as the listed ones; odd rows as there."""
     pages = C.table(spark, sf_dir, "pages")
-    named = spark.createDataFrame([(h,) for h in LISTED], "host string")
-    return url_filter(pages, listed=tracking_hosts(pages).unionByName(named))
+    return url_filter(pages, listed=tracking_hosts(pages))
 
 
 _FITS = [(h + p, v, f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')") for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
@@ -164,7 +161,6 @@ WITH cut AS (
   SELECT page_id, url, translate(raw, '{C.UPPER}', '{C.LOWER}') AS host, path FROM parts
 ), listed AS (
   SELECT host AS l FROM hosts WHERE host <> '' GROUP BY host HAVING 100 * count(*) FILTER (regexp_matches(url, '{TRACKED}')) >= {TRACKED_PERCENT} * count(*)
-  UNION SELECT unnest({list(LISTED)})
 ), blocked AS (
   SELECT DISTINCT host AS b FROM (SELECT DISTINCT host FROM hosts) JOIN listed ON host = l OR ends_with(host, '.' || l)
 )
