@@ -450,7 +450,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     if not 0 < percent <= 100 or words < 1:
         raise ValueError("percent must be above 0 and at most 100, and words at least 1")
     bits = max(1, -(-C.input_bytes(docs, text_col) // SHARD_BYTES)).bit_length() + 1
-    chunks = C.materialize(_chunks(docs, id_col, text_col, words, min(16, bits)), scan=True)
+    chunks = C.materialize(_chunks(docs, id_col, text_col, words, bits), scan=True)
     heads = chunks.where("shard < 0")
     rows = C.materialize(heads.select(F.explode(F.arrays_zip("ids", "ns", "sids")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.ns").alias("n"), F.col("x.sids").alias("sid")))
     levels = C.materialize(chunks.where("shard >= 0").select("chunk", "shard", "part").groupBy("shard").applyInPandas(_frequency, "chunk long, shard int, level binary"))
