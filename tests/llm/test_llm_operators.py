@@ -314,7 +314,8 @@ def test_mix_is_the_queue_by_virtual_finish_time(spark, monkeypatch):
     random.seed(4)
     df = spark.createDataFrame([(i, "w " * random.randint(0, 9), random.choice(["a", "b", "c", None])) for i in range(600)], "doc_id long, text string, source string")
     rows = {r["doc_id"]: r for r in mixing.mix_sources(df).collect()}
-    place = {i: hashlib.md5(str(i).encode()).hexdigest() for i in rows}
+    text = {r["doc_id"]: r["text"] for r in df.collect()}
+    place = {i: hashlib.md5(f"{i}:{hashlib.md5(text[i].encode()).hexdigest()}".encode()).hexdigest() for i in rows}
     upto, items = Counter(), []
     for d in sorted(df.collect(), key=lambda r: place[r["doc_id"]]):
         r = rows[d["doc_id"]]
@@ -740,15 +741,44 @@ def test_classifier_on_odd_rows(odd, none):
     assert quality_classifier.drop_low_quality(odd).columns == odd.columns
 
 
+def test_packing_does_not_follow_the_sessions_partitions(spark, documents, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_BYTES", 1 << 15)
+    seen = []
+    for n in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append(sorted(map(tuple, packing.pack(documents).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert seen[0] == seen[1] and len({r[5] >> 32 for r in seen[0]}) > 2
+    assert [packing.n_ranges(x) for x in (0, 1, (1 << 15) + 1, 130 << 40)] == [1, 1, 2, (130 << 40) // packing.LARGE_RANGE]
+
+
+def test_rows_without_ids_have_places_of_their_own(spark):
+    df = spark.range(500).selectExpr("cast(null as long) as doc_id", "concat('w', id, ' x') as text", "'s' as source")
+    queued, _ = mixing._fair_queue(df, "doc_id", "text", "source", mixing.WEIGHTS, mixing.EPOCHS)
+    assert queued.select("place").distinct().count() == 500
+
+
+def test_values_of_many_rows_wide_or_not(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT_ROWS", 5)
+    own, copied, rare = (f"Abcdefghij0123456789{c}" for c in "XYZ")
+    rows = [(i, f"see {own}", "o1") for i in range(40)] + [(100 + i, f"see {copied}", f"o{i % 7}") for i in range(40)] + [(200, f"see {rare}", "o1"), (201, f"{copied} {own}", "o2")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secrets.secret_scan(df).collect()}
+    assert got == {i: (0, 1) if 100 <= i < 200 else (1, 1) if i == 201 else (1, 0) for i in (r[0] for r in rows)}
+
+
 # ---------------------------------------------------------------- 10 urls
 
 
+LISTED = ("adult-x.example.com", "casino-win.example.net")
+
+
 def brute_url(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1].encode().lower().decode(), m[2]) if m else ("", "")
     fits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     rule, verdict = max(fits, key=lambda f: len(f[0]), default=(None, None))
-    listed = any(host == h or host.endswith("." + h) for h in url_filter.LISTED)
+    listed = any(host == h or host.endswith("." + h) for h in LISTED)
     return host, path, rule, verdict or ("block" if listed else "allow")
 
 
@@ -756,7 +786,7 @@ def test_urls(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
     extra = [None, "", "no scheme", "http://X.NET", "http://x.net/", "https://a.example.net/en/x?u=http://y.org/fr/", "ftp://example.com/de", "https://ADULT-x.example.com/", "https://sub.casino-win.example.net#/en/", "http://org/fr/1", "x://\n/a\nb?c", "http://notnet/"]
     df = pages.unionByName(spark.createDataFrame([(1000 + i, u) for i, u in enumerate(extra)] + [(1000, None)], "page_id long, url string"))
-    got = url_filter.url_filter(df).collect()
+    got = url_filter.url_filter(df, listed=LISTED).collect()
     urls = {r["page_id"]: r["url"] for r in df.collect()}
     assert len(got) == len(urls) + 1
     for r in got:
