@@ -136,8 +136,6 @@ class Profiles:
 
     def __init__(self, rows: pd.DataFrame):
         self.langs = sorted(rows["lang"].unique())
-        if len(self.langs) > MOST_LANGUAGES:
-            raise ValueError(f"{len(self.langs)} languages; the profiles hold {MOST_LANGUAGES}")
         self.codes = np.unique(rows["code"].to_numpy(np.int64))
         self.ranks = np.full((len(self.codes) + 1, len(self.langs)), -1, np.int64)
         for i, lang in enumerate(self.langs):
@@ -168,12 +166,16 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (crc32 of the id as text, modulo folds) with a language; each text's own most frequent n-grams are then
     compared to every profile by out-of-place distance.  score is 1 - distance / the most it can be.  A null
     text or one without letters is und with score 0; so is every text if nothing was learned.  Whole texts
-    are read; repeated rows each give a row, and count as often in learning; other columns are not read.
+    are read; repeated rows each give a row, and count as often in learning; an empty table gives an empty result;
+    other columns are not read.  More than MOST_LANGUAGES languages are an error.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     fold = C.crc_fold(F.col(id_col), folds)
+    # Told before anything is learned or comes to the driver, by a scan of two narrow columns.
+    if docs.where((fold != 0) & F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages, which is what the profiles hold")
     rows = learn(docs.where(fold != 0), text_col, lang_col).toPandas()
     profiles = spark.sparkContext.broadcast(Profiles(rows))
 
@@ -186,4 +188,5 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """language_id over documents: nulls, ties, repeated rows and empty tables as there."""
     return language_id(C.table(spark, sf_dir, "documents"))
