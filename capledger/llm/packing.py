@@ -294,4 +294,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack over documents: nulls, ties, repeated rows and empty tables as there."""
     return pack(C.table(spark, sf_dir, "documents"))

@@ -192,7 +192,7 @@ def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Heuristic labellers vote on statistics of each text; expectation-maximisation over the vote patterns of
     all rows gives each labeller's accuracy and each pattern's posterior; the posteriors train the scorer, on
     a bounded sample; the scorer judges every whole text.  No labels are read.  A null text counts as empty,
-    equal texts score alike, repeated rows each give a row, and other columns are not read.
+    equal texts score alike, repeated rows each give a row, an empty table gives an empty result, and other columns are not read.
     """
     C.prepare(docs.sparkSession)
     weights, _, _ = fit(docs, id_col, text_col, most_training)
@@ -201,11 +201,16 @@ def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all columns, that quality_classifier keeps."""
+    """The rows of docs, with all columns, that quality_classifier keeps.
+
+    A null text is judged as an empty one; null or repeated ids make no difference; repeated rows stay or go together; an empty
+    table stays empty.
+    """
     C.prepare(docs.sparkSession)
     weights, _, _ = fit(docs, id_col, text_col)
     return docs.where(scorer(docs.sparkSession, weights)(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) >= threshold)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality_classifier over documents: nulls, ties, repeated rows and empty tables as there."""
     return quality_classifier(C.table(spark, sf_dir, "documents"))

@@ -98,7 +98,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     those and for documents that a learned rule rejects; rule is the number of the first that fits (0: none)
     and reason its text.  The list is learned from at most most_training labelled documents that pass the
     base rule (labels: doc_id, quality; 0 is bad, null labels are left out); without labels it is empty.
-    A null text counts as empty.  Repeated rows each give a row; other columns are not read.
+    A null text counts as empty.  Repeated rows each give a row; of several labels of one id the least counts; a null id meets no label;
+    an empty table gives an empty result; other columns are not read.
     """
     stats = C.materialize(with_stats(docs, id_col, text_col), scan=True)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -113,4 +114,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality_rules over documents and labels: nulls, ties, repeated rows and empty tables as there."""
     return quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
