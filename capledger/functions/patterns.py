@@ -101,3 +101,59 @@ PROCESSING_FIELDS = (
     ("download_status", "string", False, ("success", "failed", "pending")), ("parse_status", "string", False, ("success", "failed", "pending")), ("locate_status", "string", False, ("success", "failed", "pending")),
     ("extract_status", "string", False, ("success", "failed", "pending")), ("review_status", "string", False, ("checked", "unchecked")),
 )
+
+# Types of anomalies.
+ANOMALY = {
+    "missing": "缺失必填字段",
+    "type": "类型错误",
+    "value": "枚举值异常",
+    "blank": "空字符串",
+    "bad_date": "日期格式错误",
+    "no_data": "数据缺失",
+    "step": "处理未成功",
+    "unreviewed": "未审核",
+    "odd_date": "日期格式异常",
+    "typo": "数据录入错误",
+    "span": "日期跨度过大",
+    "amounts": "金额不一致",
+    "unsure": "低置信度",
+    "no_structure": "缺少结构化数据",
+    "no_events": "无融资事件",
+    "no_date": "日期缺失",
+    "no_parties": "参与者缺失",
+}
+
+# Texts of issues of logs and structured documents.
+ISSUE = {
+    "first_snapshot": "最早快照: ",
+    "no_snapshot": "无股权存量记录",
+    "event": "事件",
+    "party": "投资人",
+    "lacks": "缺少字段: ",
+    "summary": " evidence_text 疑似概括性语言，应为原文片段",
+    "bad_json": "JSON格式错误",
+    "lacks_top": "缺失顶层字段: ",
+    "old_form": "financing_events 在 company 对象内（旧格式），应提升到顶层",
+    "lacks_critical": " 缺失关键字段: ",
+    "odd_type": " 非标准事件类型: ",
+    "bad_date": " 日期格式错误: ",
+    "odd_date": " 日期异常: ",
+    "phrase": " evidence_text 含概括性语言: ",
+    "short": " evidence_text 过短",
+    "bad_flag": " is_pevc 值非法: ",
+    "span": "融资跨度异常: ",
+    "no_file": "缺失文件",
+}
+
+# Names of rows and checks in the cross-check log.
+CHECK = {
+    "totals": "持股合计 vs 总股本",
+    "share_totals": "总股本不一致",
+    "capital_totals": "总出资额不一致",
+    "shares_row": "[股本变化合计]",
+    "shares": "认购合计 vs 股本变化",
+    "capital_row": "[出资额变化合计]",
+    "capital": "认购合计 vs 出资额变化",
+    "held_row": " (认缴→存量)",
+    "held": "认购数 vs 存量持股数",
+}

@@ -103,7 +103,7 @@ def schema_log(records: DataFrame) -> DataFrame:
     told = records.select("company", F.coalesce(F.nullif("record_type", F.lit("")), F.lit("unknown")).alias("record_type"), F.explode(F.array_compact(F.array(*checks))).alias("x")).select("company", "record_type", "x.*")
     valid = (F.col("record_type") == "equity_snapshot") & (F.size(errors(MODEL["equity_snapshot"])) == 0)
     first = records.groupBy("company").agg(F.min_by("snapshot_date", F.when(valid, F.col("line"))).alias("d"), F.count_if(valid).alias("n"))
-    t0 = first.select("company", F.lit("equity_snapshot").alias("record_type"), F.lit("t0_check").alias("check_type"), F.when(F.col("n") > 0, "PASS").otherwise("WARN").alias("status"), F.when(F.col("n") > 0, F.concat(F.lit("最早快照: "), F.col("d"))).otherwise("无股权存量记录").alias("detail"), F.lit(False).alias("critical"))
+    t0 = first.select("company", F.lit("equity_snapshot").alias("record_type"), F.lit("t0_check").alias("check_type"), F.when(F.col("n") > 0, "PASS").otherwise("WARN").alias("status"), F.when(F.col("n") > 0, F.concat(F.lit(P.ISSUE["first_snapshot"]), F.col("d"))).otherwise(P.ISSUE["no_snapshot"]).alias("detail"), F.lit(False).alias("critical"))
     return told.unionByName(t0)
 
 
@@ -160,10 +160,10 @@ def verify_keys(docs: DataFrame) -> DataFrame:
     events = s.select("company", F.posexplode("events").alias("i", "e")).withColumn("m", presence(F.col("e"))).withColumn("no", (F.col("i") + 1).cast("string"))
     lacks = _missing(F.col("m"), P.EVENT_KEYS, False)
     head = F.left(F.coalesce(F.col("m")["evidence_text"], F.lit("")), F.lit(30)).rlike("|".join(P.SUMMARY_PREFIXES[:3]))
-    first = _issues_of(events, [(F.size(lacks) > 0, F.concat(F.lit("事件"), F.col("no"), F.lit("缺少字段: "), F.array_join(lacks, ",")), True), (head, F.concat(F.lit("事件"), F.col("no"), F.lit(" evidence_text 疑似概括性语言，应为原文片段")), True)])
+    first = _issues_of(events, [(F.size(lacks) > 0, F.concat(F.lit(P.ISSUE["event"]), F.col("no"), F.lit(P.ISSUE["lacks"]), F.array_join(lacks, ",")), True), (head, F.concat(F.lit(P.ISSUE["event"]), F.col("no"), F.lit(P.ISSUE["summary"])), True)])
     parties = events.select("company", "no", F.posexplode(F.from_json(F.col("m")["investors"], "array<string>")).alias("j", "p")).withColumn("pm", presence(F.col("p")))
     lacks_p = _missing(F.col("pm"), P.INVESTOR_KEYS, False)
-    second = _issues_of(parties, [(F.size(lacks_p) > 0, F.concat(F.lit("事件"), F.col("no"), F.lit("投资人"), (F.col("j") + 1).cast("string"), F.lit("缺少字段: "), F.array_join(lacks_p, ",")), True)])
+    second = _issues_of(parties, [(F.size(lacks_p) > 0, F.concat(F.lit(P.ISSUE["event"]), F.col("no"), F.lit(P.ISSUE["party"]), (F.col("j") + 1).cast("string"), F.lit(P.ISSUE["lacks"]), F.array_join(lacks_p, ",")), True)])
     told = first.unionByName(second).groupBy("company").agg(F.array_sort(F.collect_list("issue")).alias("issues"))
     out = s.join(told, "company", "left")
     return out.select("company", F.when(F.col("shape") == "invalid", "JSON_INVALID").when(F.size("issues") > 0, "FAIL").otherwise("PASS").alias("status"), F.size("events").cast("long").alias("events"), F.coalesce("issues", F.array().cast("array<string>")).alias("issues"))
@@ -176,7 +176,7 @@ def validate(docs: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """
     s = structured(docs)
     top = _missing(F.col("doc"), ("company", "financing_events"), False)
-    company = _issues_of(s, [(F.col("doc").isNull(), F.lit("JSON格式错误"), True), (F.col("doc").isNotNull() & (F.size(top) > 0), F.concat(F.lit("缺失顶层字段: "), F.array_join(top, ",")), True), (F.col("old_form"), F.lit("financing_events 在 company 对象内（旧格式），应提升到顶层"), False)])
+    company = _issues_of(s, [(F.col("doc").isNull(), F.lit(P.ISSUE["bad_json"]), True), (F.col("doc").isNotNull() & (F.size(top) > 0), F.concat(F.lit(P.ISSUE["lacks_top"]), F.array_join(top, ",")), True), (F.col("old_form"), F.lit(P.ISSUE["old_form"]), False)])
     events = s.select("company", F.posexplode("events").alias("i", "e")).withColumn("m", presence(F.col("e")))
     tag = F.concat(F.lit("event["), F.col("i").cast("string"), F.lit("]"))
     kind, date, evidence = (F.coalesce(F.col("m")[k], F.lit("")) for k in ("event_type", "event_date", "evidence_text"))
@@ -185,22 +185,22 @@ def validate(docs: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     lacks = _missing(F.col("m"), P.CRITICAL_KEYS, True)
     phrase = F.regexp_extract(F.left(evidence, F.lit(50)), "|".join(P.SUMMARY_PHRASES), 0)
     checks = [
-        (F.size(lacks) > 0, F.concat(tag, F.lit(" 缺失关键字段: "), F.array_join(lacks, ",")), True), ((kind != "") & ~kind.isin(*P.EVENT_CONTEXTS), F.concat(tag, F.lit(" 非标准事件类型: "), kind), False),
-        (dated & (year.isNull() | month.isNull()), F.concat(tag, F.lit(" 日期格式错误: "), date), True), (dated & ~(year.between(1990, 2030) & month.between(1, 12)), F.concat(tag, F.lit(" 日期异常: "), date), True),
-        (phrase != "", F.concat(tag, F.lit(" evidence_text 含概括性语言: "), phrase), False), ((evidence != "") & (F.length(evidence) < 30), F.concat(tag, F.lit(" evidence_text 过短")), False),
+        (F.size(lacks) > 0, F.concat(tag, F.lit(P.ISSUE["lacks_critical"]), F.array_join(lacks, ",")), True), ((kind != "") & ~kind.isin(*P.EVENT_CONTEXTS), F.concat(tag, F.lit(P.ISSUE["odd_type"]), kind), False),
+        (dated & (year.isNull() | month.isNull()), F.concat(tag, F.lit(P.ISSUE["bad_date"]), date), True), (dated & ~(year.between(1990, 2030) & month.between(1, 12)), F.concat(tag, F.lit(P.ISSUE["odd_date"]), date), True),
+        (phrase != "", F.concat(tag, F.lit(P.ISSUE["phrase"]), phrase), False), ((evidence != "") & (F.length(evidence) < 30), F.concat(tag, F.lit(P.ISSUE["short"])), False),
     ]
     per_event = _issues_of(events, [(F.coalesce(c, F.lit(False)), t, k) for c, t, k in checks])
     parties = events.select("company", "i", F.posexplode(F.from_json(F.col("m")["investors"], "array<string>")).alias("j", "p")).withColumn("pm", presence(F.col("p")))
-    who = F.concat(F.lit("event["), F.col("i").cast("string"), F.lit("]投资人["), F.col("j").cast("string"), F.lit("]"))
+    who = F.concat(F.lit("event["), F.col("i").cast("string"), F.lit("]" + P.ISSUE["party"] + "["), F.col("j").cast("string"), F.lit("]"))
     lacks_p, flag = _missing(F.col("pm"), P.INVESTOR_KEYS, False), F.coalesce(F.col("pm")["is_pevc"], F.lit(""))
-    per_party = _issues_of(parties, [(F.size(lacks_p) > 0, F.concat(who, F.lit("缺少字段: "), F.array_join(lacks_p, ",")), False), ((flag != "") & ~flag.isin("yes", "no", "uncertain"), F.concat(who, F.lit(" is_pevc 值非法: "), flag), False)])
+    per_party = _issues_of(parties, [(F.size(lacks_p) > 0, F.concat(who, F.lit(P.ISSUE["lacks"]), F.array_join(lacks_p, ",")), False), ((flag != "") & ~flag.isin("yes", "no", "uncertain"), F.concat(who, F.lit(P.ISSUE["bad_flag"]), flag), False)])
     span = events.where(date != "").groupBy("company").agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.bool_or(kind.isin("设立", "VIE搭建")).alias("has_setup_event"), F.bool_or(kind == "整体变更").alias("has_change_event"))
     years = F.left("last_date", F.lit(4)).try_cast("int") - F.left("first_date", F.lit(4)).try_cast("int")
-    wide = _issues_of(span, [(F.coalesce(years > 40, F.lit(False)), F.concat(F.lit("融资跨度异常: "), F.col("first_date"), F.lit(" → "), F.col("last_date")), True)])
+    wide = _issues_of(span, [(F.coalesce(years > 40, F.lit(False)), F.concat(F.lit(P.ISSUE["span"]), F.col("first_date"), F.lit(" → "), F.col("last_date")), True)])
     told = company.unionByName(per_event).unionByName(per_party).unionByName(wide).groupBy("company").agg(F.array_sort(F.collect_list("issue")).alias("issues"), F.bool_or("critical").alias("critical"))
     details = F.struct(F.size("events").cast("long").alias("event_count"), F.coalesce("has_setup_event", F.lit(False)).alias("has_setup_event"), F.coalesce("has_change_event", F.lit(False)).alias("has_change_event"), "first_date", "last_date")
     out = s.join(told, "company", "left").join(span, "company", "left").select("company", F.when(F.col("critical"), "FAIL").when(F.size("issues") > 0, "WARN").otherwise("PASS").alias("overall"), F.coalesce("issues", F.array().cast("array<string>")).alias("issues"), details.alias("details"))
     if expected is None:
         return out
     gone = expected.select("company").join(s.select("company"), "company", "left_anti")
-    return out.unionByName(gone.select("company", F.lit("FAIL").alias("overall"), F.array(F.lit("缺失文件")).alias("issues"), F.lit(None).cast(out.schema["details"].dataType).alias("details")))
+    return out.unionByName(gone.select("company", F.lit("FAIL").alias("overall"), F.array(F.lit(P.ISSUE["no_file"])).alias("issues"), F.lit(None).cast(out.schema["details"].dataType).alias("details")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from . import select as S
 
 REVIEW, PASS = "待复核", "PASS"
@@ -67,13 +68,13 @@ def check_totals(groups: DataFrame, most: float = 0.01) -> DataFrame:
     difference = F.col("held") - F.col("total_shares")
     return _row(
         groups.where(able), company=F.col("company"), snapshot_date_from=F.lit(""), snapshot_date_to=F.col("snapshot_date"), shareholder_name=F.concat(F.lit("[合计 "), F.col("holders"), F.lit("股东]")), expected_shares=F.col("held"),
-        pdf_disclosed_shares=F.col("total_shares"), difference=difference, status=status(F.abs(difference) > most), detail=F.lit("持股合计 vs 总股本"),
+        pdf_disclosed_shares=F.col("total_shares"), difference=difference, status=status(F.abs(difference) > most), detail=F.lit(P.CHECK["totals"]),
     )
 
 
 def check_constancy(groups: DataFrame) -> DataFrame:
     """Snapshots that give more than one total or capital: company, snapshot_date, snapshot_type, issue."""
-    issues = F.array_compact(F.array(F.when(F.col("share_totals") > 1, F.lit("总股本不一致")), F.when(F.col("capital_totals") > 1, F.lit("总出资额不一致"))))
+    issues = F.array_compact(F.array(F.when(F.col("share_totals") > 1, F.lit(P.CHECK["share_totals"])), F.when(F.col("capital_totals") > 1, F.lit(P.CHECK["capital_totals"]))))
     return groups.select("company", "snapshot_date", "snapshot_type", F.explode(issues).alias("issue"))
 
 
@@ -139,7 +140,7 @@ def check_deltas(flows: DataFrame, groups: DataFrame, most: float = 0.01) -> Dat
     steps = groups.select("company", "step", "ym", F.col("snapshot_date").alias("date_to"), F.lag("snapshot_date").over(over).alias("date_from"), "total_shares", "total_capital", F.lag("total_shares").over(over).alias("shares_before"), F.lag("total_capital").over(over).alias("capital_before"))
     steps = S.as_of(steps.where("step > 1"), months, ["company"], "ym", "subscribed", "subscribed")
     logs = []
-    for before, after, name, detail in (("shares_before", "total_shares", "[股本变化合计]", "认购合计 vs 股本变化"), ("capital_before", "total_capital", "[出资额变化合计]", "认购合计 vs 出资额变化")):
+    for before, after, name, detail in (("shares_before", "total_shares", P.CHECK["shares_row"], P.CHECK["shares"]), ("capital_before", "total_capital", P.CHECK["capital_row"], P.CHECK["capital"])):
         difference = F.col("subscribed") - (F.col(after) - F.col(before))
         able = steps.where((F.col(after) != F.col(before)) & (F.col("subscribed") > 0))
         logs.append(_row(
@@ -158,8 +159,8 @@ def check_correspondence(flows: DataFrame, snapshots: DataFrame, groups: DataFra
     difference = F.col("shares_held") - F.col("shares_subscribed")
     able = met.where(nonzero(F.col("shares_held")) & nonzero(F.col("shares_subscribed")))
     return _row(
-        able, company=F.col("company"), snapshot_date_from=F.lit(""), snapshot_date_to=F.col("subscription_date"), shareholder_name=F.concat("subscriber_name", F.lit(" (认缴→存量)")), subscription_change=F.col("shares_subscribed"),
-        expected_shares=F.col("shares_subscribed"), pdf_disclosed_shares=F.col("shares_held"), difference=difference, status=status(F.abs(difference) > most), detail=F.lit("认购数 vs 存量持股数"),
+        able, company=F.col("company"), snapshot_date_from=F.lit(""), snapshot_date_to=F.col("subscription_date"), shareholder_name=F.concat("subscriber_name", F.lit(P.CHECK["held_row"])), subscription_change=F.col("shares_subscribed"),
+        expected_shares=F.col("shares_subscribed"), pdf_disclosed_shares=F.col("shares_held"), difference=difference, status=status(F.abs(difference) > most), detail=F.lit(P.CHECK["held"]),
     )
 
 

@@ -32,12 +32,12 @@ def field_checks(value: Column, kind: Column, path: Column, fields: tuple) -> li
         types = set(expected.split("|")) | ({"integer"} if "number" in expected else set())
         absent = k == "null"
         if required:
-            out.append(F.when(absent, _row(at, name, "缺失必填字段", f"必填字段 '{name}' 为 null", "high")))
-        out.append(F.when(~absent & ~k.isin(*types), _row(at, name, "类型错误", F.concat(F.lit(f"期望类型 {expected}, 实际类型 "), k), "high")))
+            out.append(F.when(absent, _row(at, name, P.ANOMALY["missing"], f"{name} is required and null", "high")))
+        out.append(F.when(~absent & ~k.isin(*types), _row(at, name, P.ANOMALY["type"], F.concat(F.lit(f"{expected} was expected, found "), k), "high")))
         if allowed:
-            out.append(F.when(~absent & ~v.isin(*allowed), _row(at, name, "枚举值异常", F.concat(F.lit("'"), v, F.lit("' 不在允许的值中")), "medium")))
+            out.append(F.when(~absent & ~v.isin(*allowed), _row(at, name, P.ANOMALY["value"], F.concat(v, F.lit(" is none of the values there are")), "medium")))
         if required:
-            out.append(F.when((k == "string") & (F.trim(v) == ""), _row(at, name, "空字符串", f"必填字段 '{name}' 为空字符串", "high")))
+            out.append(F.when((k == "string") & (F.trim(v) == ""), _row(at, name, P.ANOMALY["blank"], f"{name} is required and empty", "high")))
     return out
 
 
@@ -66,14 +66,14 @@ def profile_structured(docs: DataFrame) -> DataFrame:
     for name in ("listing_date", "prospectus_date"):
         v = value[name]
         bad = (v != "") & ((F.length(v) != 10) | (F.substring(v, 5, 1) != "-") | (F.substring(v, 8, 1) != "-"))
-        checks.append(F.when(bad, _row(F.concat(F.col("root"), F.lit("." + name)), name, "日期格式错误", F.concat(F.lit("'"), v, F.lit("' 不符合 YYYY-MM-DD 格式")), "high")))
-    checks.append(F.when(F.size("events") == 0, _row(F.lit("$.company.financing_events"), "financing_events", "数据缺失", "融资事件列表为空", "critical")))
+        checks.append(F.when(bad, _row(F.concat(F.col("root"), F.lit("." + name)), name, P.ANOMALY["bad_date"], F.concat(v, F.lit(" is no day")), "high")))
+    checks.append(F.when(F.size("events") == 0, _row(F.lit("$.company.financing_events"), "financing_events", P.ANOMALY["no_data"], "there are no events", "critical")))
     top = _explode(info, ["company"], checks)
     processing = s.withColumn("m", K.presence(F.col("inner")["processing"])).withColumn("kinds", _typed(F.col("inner")["processing"], _names(P.PROCESSING_FIELDS))).withColumn("root", F.lit("$.company.processing"))
     checks = field_checks(F.col("m"), F.col("kinds"), F.col("root"), P.PROCESSING_FIELDS)
     for name in ("download_status", "parse_status", "locate_status", "extract_status"):
-        checks.append(F.when(~F.coalesce(F.col("m")[name] == "success", F.lit(False)), _row(F.lit(f"$.company.processing.{name}"), name, "处理未成功", F.concat(F.lit(f"{name} = "), F.coalesce(F.col("m")[name], F.lit("None"))), "medium")))
-    checks.append(F.when(~F.coalesce(F.col("m")["review_status"] == "checked", F.lit(False)), _row(F.lit("$.company.processing.review_status"), "review_status", "未审核", "数据尚未经过人工审核", "low")))
+        checks.append(F.when(~F.coalesce(F.col("m")[name] == "success", F.lit(False)), _row(F.lit(f"$.company.processing.{name}"), name, P.ANOMALY["step"], F.concat(F.lit(f"{name} = "), F.coalesce(F.col("m")[name], F.lit("None"))), "medium")))
+    checks.append(F.when(~F.coalesce(F.col("m")["review_status"] == "checked", F.lit(False)), _row(F.lit("$.company.processing.review_status"), "review_status", P.ANOMALY["unreviewed"], "nobody has checked it", "low")))
     steps = _explode(processing, ["company"], checks)
     prefix = F.when(F.col("shape") == "structured_nested", F.lit("$.company.financing_events[")).otherwise(F.lit("$.financing_events["))
     events = s.select("company", prefix.alias("prefix"), F.posexplode("events").alias("i", "e")).select("company", F.concat("prefix", F.col("i").cast("string"), F.lit("]")).alias("root"), "e", K.presence(F.col("e")).alias("m"))
@@ -84,13 +84,13 @@ def profile_structured(docs: DataFrame) -> DataFrame:
     paid = F.aggregate(amounts, F.lit(0.0), lambda a, x: a + x)
     parts = F.split(date, "-")
     checks = field_checks(m, F.col("kinds"), root, P.EVENT_FIELDS) + [
-        F.when((F.size(parts) == 3) & (F.length(date) != 10), _row(F.concat(root, F.lit(".event_date")), "event_date", "日期格式异常", F.concat(F.lit("'"), date, F.lit("' 日期格式不标准")), "low")),
-        F.when(m["inferred_round"].contains("轮轮"), _row(F.concat(root, F.lit(".inferred_round")), "inferred_round", "数据录入错误", F.concat(F.lit("推断轮次存在重复字符: "), m["inferred_round"]), "high")),
-        F.when(date.rlike(r"^.{4}-.{4}$") & (F.size(parts) == 2), _row(F.concat(root, F.lit(".event_date")), "event_date", "日期跨度过大", F.concat(F.lit("事件日期 "), date, F.lit(" 跨越多年度，应拆分为独立事件")), "high")),
-        F.when(F.coalesce(F.size("parties"), F.lit(0)) <= 0, _row(F.concat(root, F.lit(".investors")), "investors", "数据缺失", "投资者列表为空", "high")),
-        F.when((total > 0) & (paid > 0) & (F.abs(total - paid) > 1), _row(root, "total_investment_amount", "金额不一致", F.concat(F.lit("总投资金额 "), total.cast("string"), F.lit(" 与投资者出资金额之和 "), paid.cast("string"), F.lit(" 不匹配")), "high")),
-        F.when((m["event_type"] == "增资") & m["total_investment_amount"].isNull(), _row(root, "total_investment_amount", "数据缺失", "事件类型为'增资'但总投资金额为 null", "medium")),
-        F.when(m["confidence"] == "low", _row(root, "confidence", "低置信度", "置信度为 low，数据可能不准确", "medium")),
+        F.when((F.size(parts) == 3) & (F.length(date) != 10), _row(F.concat(root, F.lit(".event_date")), "event_date", P.ANOMALY["odd_date"], F.concat(date, F.lit(" has three parts but is no day")), "low")),
+        F.when(m["inferred_round"].contains("轮轮"), _row(F.concat(root, F.lit(".inferred_round")), "inferred_round", P.ANOMALY["typo"], F.concat(F.lit("a character stands twice: "), m["inferred_round"]), "high")),
+        F.when(date.rlike(r"^.{4}-.{4}$") & (F.size(parts) == 2), _row(F.concat(root, F.lit(".event_date")), "event_date", P.ANOMALY["span"], F.concat(date, F.lit(" is more than one year")), "high")),
+        F.when(F.coalesce(F.size("parties"), F.lit(0)) <= 0, _row(F.concat(root, F.lit(".investors")), "investors", P.ANOMALY["no_data"], "there are no investors", "high")),
+        F.when((total > 0) & (paid > 0) & (F.abs(total - paid) > 1), _row(root, "total_investment_amount", P.ANOMALY["amounts"], F.concat(F.lit("the total is "), total.cast("string"), F.lit(", investors paid "), paid.cast("string")), "high")),
+        F.when((m["event_type"] == "增资") & m["total_investment_amount"].isNull(), _row(root, "total_investment_amount", P.ANOMALY["no_data"], "capital was raised, but the total is null", "medium")),
+        F.when(m["confidence"] == "low", _row(root, "confidence", P.ANOMALY["unsure"], "its confidence is low", "medium")),
     ]
     per_event = _explode(events, ["company"], checks)
     parties = events.select("company", "root", F.posexplode("parties").alias("j", "p")).select("company", F.concat("root", F.lit(".investors["), F.col("j").cast("string"), F.lit("]")).alias("root"), "p", K.presence(F.col("p")).alias("m")).withColumn("kinds", _typed(F.col("p"), _names(P.INVESTOR_FIELDS)))
@@ -102,13 +102,13 @@ def profile_basic(docs: DataFrame) -> DataFrame:
     """The same columns for documents without the structure."""
     s = K.structured(docs).where("shape = 'basic'")
     top = _explode(s, ["company"], [
-        F.when(~F.map_contains_key("doc", F.lit("company")), _row(F.lit("$"), "structure", "缺少结构化数据", "数据未使用 company 包装格式，缺少结构化融资历史", "critical")),
-        F.when(F.size("events") == 0, _row(F.lit("$.financing_events"), "financing_events", "无融资事件", "融资事件列表为空，可能招股书解析不完整", "critical")),
+        F.when(~F.map_contains_key("doc", F.lit("company")), _row(F.lit("$"), "structure", P.ANOMALY["no_structure"], "there is no company object", "critical")),
+        F.when(F.size("events") == 0, _row(F.lit("$.financing_events"), "financing_events", P.ANOMALY["no_events"], "there are no events", "critical")),
     ])
     events = s.select("company", F.posexplode("events").alias("i", "e")).withColumn("m", K.presence(F.col("e"))).where("m is not null")
     at = F.concat(F.lit("$.financing_events["), F.col("i").cast("string"), F.lit("]"))
     none = F.coalesce(F.size(F.from_json(F.col("m")["participants"], "array<string>")), F.lit(0)) <= 0
-    return top.unionByName(_explode(events, ["company"], [F.when(F.col("m")["date"].isNull(), _row(F.concat(at, F.lit(".date")), "date", "日期缺失", "缺少日期", "high")), F.when(none, _row(F.concat(at, F.lit(".participants")), "participants", "参与者缺失", "缺少参与者信息", "medium"))]))
+    return top.unionByName(_explode(events, ["company"], [F.when(F.col("m")["date"].isNull(), _row(F.concat(at, F.lit(".date")), "date", P.ANOMALY["no_date"], "the date is null", "high")), F.when(none, _row(F.concat(at, F.lit(".participants")), "participants", P.ANOMALY["no_parties"], "nobody is named", "medium"))]))
 
 
 def profile(docs: DataFrame) -> DataFrame:
