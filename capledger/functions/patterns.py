@@ -147,13 +147,15 @@ ISSUE = {
 
 # Names of rows and checks in the cross-check log.
 CHECK = {
-    "totals": "持股合计 vs 总股本",
+    "totals": "持股合计{}万股 vs 总股本{}万股",
     "share_totals": "总股本不一致",
     "capital_totals": "总出资额不一致",
     "shares_row": "[股本变化合计]",
-    "shares": "认购合计 vs 股本变化",
+    "shares": "认购合计{}万股 vs 股本变化{}万股",
     "capital_row": "[出资额变化合计]",
-    "capital": "认购合计 vs 出资额变化",
+    "capital": "认购合计{}万股 vs 出资额变化{}万元",
     "held_row": " (认缴→存量)",
     "held": "认购数 vs 存量持股数",
+    "price": "price×shares vs amount diff={}%",
+    "review": " ←待复核",
 }

@@ -25,6 +25,18 @@ def status(bad: Column) -> Column:
     return F.when(bad, REVIEW).otherwise(PASS)
 
 
+def detailed(text: str, *numbers: Column, bad: Column | None = None) -> Column:
+    """A detail: text with each {} replaced by a number of one decimal, and a mark where the row is bad."""
+    parts = text.split("{}")
+    shown = [F.call_function("format_number", n.cast("double"), F.lit("0.0")) for n in numbers]
+    out = F.concat(*[x for pair in zip(map(F.lit, parts), [*shown, F.lit("")], strict=True) for x in pair])
+    return out if bad is None else F.concat(out, mark(bad))
+
+
+def mark(bad: Column) -> Column:
+    return F.when(bad, P.CHECK["review"]).otherwise("")
+
+
 def _row(df: DataFrame, **columns: Column) -> DataFrame:
     """A log row from those columns that are given; the others are null."""
     return df.select(*[(columns.get(c, F.lit(None))).cast("double" if c in _NUMBERS else "string").alias(c) for c in LOG])
@@ -44,7 +56,7 @@ def check_price(flows: DataFrame) -> DataFrame:
     return _row(
         flows.withColumn("_e", expected).withColumn("_d", difference).withColumn("_s", st).where("_s is not null"),
         company=F.col("company"), snapshot_date_from=F.lit(""), snapshot_date_to=F.col("subscription_date"), shareholder_name=F.col("subscriber_name"), subscription_change=F.col("shares_subscribed"), expected_shares=F.col("_e"),
-        pdf_disclosed_shares=F.col("amount_subscribed"), difference=F.col("_d"), status=F.col("_s"), detail=F.lit("price×shares vs amount"),
+        pdf_disclosed_shares=F.col("amount_subscribed"), difference=F.col("_d"), status=F.col("_s"), detail=detailed(P.CHECK["price"], F.abs(F.col("_d")) / F.col("amount_subscribed") * 100),
     )
 
 
@@ -68,7 +80,7 @@ def check_totals(groups: DataFrame, most: float = 0.01) -> DataFrame:
     difference = F.col("held") - F.col("total_shares")
     return _row(
         groups.where(able), company=F.col("company"), snapshot_date_from=F.lit(""), snapshot_date_to=F.col("snapshot_date"), shareholder_name=F.concat(F.lit("[合计 "), F.col("holders"), F.lit("股东]")), expected_shares=F.col("held"),
-        pdf_disclosed_shares=F.col("total_shares"), difference=difference, status=status(F.abs(difference) > most), detail=F.lit(P.CHECK["totals"]),
+        pdf_disclosed_shares=F.col("total_shares"), difference=difference, status=status(F.abs(difference) > most), detail=detailed(P.CHECK["totals"], F.col("held"), F.col("total_shares"), bad=F.abs(difference) > most),
     )
 
 
@@ -129,7 +141,7 @@ def check_adjacent(flows: DataFrame, snapshots: DataFrame, groups: DataFrame, mo
     told = change_status(F.col("previous"), F.col("current"), F.col("was"), F.col("is"))
     return _row(
         pairs, company=F.col("company"), snapshot_date_from=F.col("date_from"), snapshot_date_to=F.col("date_to"), shareholder_name=F.col("shareholder_name"), previous_shares=F.col("previous"), previous_capital=F.col("previous_capital_contribution"),
-        subscription_change=F.col("change"), expected_shares=expected, pdf_disclosed_shares=F.col("current"), difference=difference, status=status(bad), detail=told,
+        subscription_change=F.col("change"), expected_shares=expected, pdf_disclosed_shares=F.col("current"), difference=difference, status=status(bad), detail=F.concat(told, mark(bad)),
     )
 
 
@@ -140,12 +152,15 @@ def check_deltas(flows: DataFrame, groups: DataFrame, most: float = 0.01) -> Dat
     steps = groups.select("company", "step", "ym", F.col("snapshot_date").alias("date_to"), F.lag("snapshot_date").over(over).alias("date_from"), "total_shares", "total_capital", F.lag("total_shares").over(over).alias("shares_before"), F.lag("total_capital").over(over).alias("capital_before"))
     steps = S.as_of(steps.where("step > 1"), months, ["company"], "ym", "subscribed", "subscribed")
     logs = []
-    for before, after, name, detail in (("shares_before", "total_shares", P.CHECK["shares_row"], P.CHECK["shares"]), ("capital_before", "total_capital", P.CHECK["capital_row"], P.CHECK["capital"])):
-        difference = F.col("subscribed") - (F.col(after) - F.col(before))
+    # Of the two only the row of shares is marked in its detail.
+    for before, after, name, detail, marked in (("shares_before", "total_shares", P.CHECK["shares_row"], P.CHECK["shares"], True), ("capital_before", "total_capital", P.CHECK["capital_row"], P.CHECK["capital"], False)):
+        change = F.col(after) - F.col(before)
+        difference = F.col("subscribed") - change
+        bad = F.abs(difference) > most
         able = steps.where((F.col(after) != F.col(before)) & (F.col("subscribed") > 0))
         logs.append(_row(
             able, company=F.col("company"), snapshot_date_from=F.col("date_from"), snapshot_date_to=F.col("date_to"), shareholder_name=F.lit(name), previous_shares=F.col(before), subscription_change=F.col("subscribed"),
-            expected_shares=F.col(before) + F.col("subscribed"), pdf_disclosed_shares=F.col(after), difference=difference, status=status(F.abs(difference) > most), detail=F.lit(detail),
+            expected_shares=F.col(before) + F.col("subscribed"), pdf_disclosed_shares=F.col(after), difference=difference, status=status(bad), detail=detailed(detail, F.col("subscribed"), change, bad=bad if marked else None),
         ))
     return logs[0].unionByName(logs[1])
 
@@ -160,7 +175,7 @@ def check_correspondence(flows: DataFrame, snapshots: DataFrame, groups: DataFra
     able = met.where(nonzero(F.col("shares_held")) & nonzero(F.col("shares_subscribed")))
     return _row(
         able, company=F.col("company"), snapshot_date_from=F.lit(""), snapshot_date_to=F.col("subscription_date"), shareholder_name=F.concat("subscriber_name", F.lit(P.CHECK["held_row"])), subscription_change=F.col("shares_subscribed"),
-        expected_shares=F.col("shares_subscribed"), pdf_disclosed_shares=F.col("shares_held"), difference=difference, status=status(F.abs(difference) > most), detail=F.lit(P.CHECK["held"]),
+        expected_shares=F.col("shares_subscribed"), pdf_disclosed_shares=F.col("shares_held"), difference=difference, status=status(F.abs(difference) > most), detail=detailed(P.CHECK["held"], bad=F.abs(difference) > most),
     )
 
 

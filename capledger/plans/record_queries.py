@@ -49,9 +49,10 @@ def _log(**columns: str) -> str:
 
 
 _REVIEW = "CASE WHEN {} THEN '待复核' ELSE 'PASS' END"
-_PRICE_LOG = f"""SELECT {_log(company="company", snapshot_date_from="''", snapshot_date_to="subscription_date", shareholder_name="subscriber_name", subscription_change="shares_subscribed", expected_shares="e", pdf_disclosed_shares="amount_subscribed", difference="e - amount_subscribed", status=_REVIEW.format("abs(e - amount_subscribed) > 1 OR abs(e - amount_subscribed) / amount_subscribed > 0.01"), detail="'price×shares vs amount'")}
+_MARK = "CASE WHEN {} THEN ' ←待复核' ELSE '' END"
+_PRICE_LOG = f"""SELECT {_log(company="company", snapshot_date_from="''", snapshot_date_to="subscription_date", shareholder_name="subscriber_name", subscription_change="shares_subscribed", expected_shares="e", pdf_disclosed_shares="amount_subscribed", difference="e - amount_subscribed", status=_REVIEW.format("abs(e - amount_subscribed) > 1 OR abs(e - amount_subscribed) / amount_subscribed > 0.01"), detail="'price×shares vs amount diff=' || format('{:.1f}', abs(e - amount_subscribed) / amount_subscribed * 100) || '%'")}
 FROM (SELECT *, price_per_share * shares_subscribed AS e FROM {_FLOWS}) WHERE e <> 0 AND amount_subscribed > 0"""
-_TOTAL_LOG = f"""SELECT {_log(company="company", snapshot_date_from="''", snapshot_date_to="snapshot_date", shareholder_name="'[合计 ' || holders || '股东]'", expected_shares="held", pdf_disclosed_shares="total_shares", difference="held - total_shares", status=_REVIEW.format("abs(held - total_shares) > 0.01"), detail="'持股合计 vs 总股本'")}
+_TOTAL_LOG = f"""SELECT {_log(company="company", snapshot_date_from="''", snapshot_date_to="snapshot_date", shareholder_name="'[合计 ' || holders || '股东]'", expected_shares="held", pdf_disclosed_shares="total_shares", difference="held - total_shares", status=_REVIEW.format("abs(held - total_shares) > 0.01"), detail="'持股合计' || format('{:.1f}', held) || '万股 vs 总股本' || format('{:.1f}', total_shares) || '万股' || " + _MARK.format("abs(held - total_shares) > 0.01"))}
 FROM {_GROUPS} WHERE held > 0 AND total_shares > 0"""
 
 
@@ -77,7 +78,7 @@ p AS (SELECT company, step, shareholder_name, previous, previous_capital, curren
 q AS (SELECT p.*, t.snapshot_date AS date_to, f.snapshot_date AS date_from, t.ym AS ym_to, f.ym AS ym_from FROM p JOIN g t ON p.company = t.company AND p.step = t.step JOIN g f ON p.company = f.company AND p.step = f.step + 1),
 m AS (SELECT * FROM {_FLOWS} WHERE shares_subscribed <> 0), c AS (SELECT q.*, {change} AS change FROM q)
 SELECT {_log(company="company", snapshot_date_from="date_from", snapshot_date_to="date_to", shareholder_name="shareholder_name", previous_shares="previous", previous_capital="previous_capital", subscription_change="change", expected_shares="previous + change", pdf_disclosed_shares="current", difference="current - (previous + change)", status=_REVIEW.format("abs(current - (previous + change)) > 0.001"),
-    detail="CASE WHEN was AND NOT is_ THEN '退出' WHEN is_ AND NOT was THEN '新增' WHEN previous IS NULL OR current IS NULL THEN '' WHEN current < previous THEN '稀释' WHEN current = previous THEN '保持' ELSE '增持' END")} FROM c"""
+    detail="CASE WHEN was AND NOT is_ THEN '退出' WHEN is_ AND NOT was THEN '新增' WHEN previous IS NULL OR current IS NULL THEN '' WHEN current < previous THEN '稀释' WHEN current = previous THEN '保持' ELSE '增持' END || " + _MARK.format("abs(current - (previous + change)) > 0.001"))} FROM c"""
 
 
 _FIRST_ANY = "(SELECT arg_min(shares_subscribed, ord) FROM m WHERE m.company = q.company AND m.subscriber_name = q.shareholder_name)"
@@ -97,14 +98,16 @@ def q54_adjacent_period_log(spark, sf_dir):
 
 
 def _delta(before: str, after: str, name: str, detail: str) -> str:
-    return f"""SELECT {_log(company="company", snapshot_date_from="date_from", snapshot_date_to="date_to", shareholder_name=f"'{name}'", previous_shares=before, subscription_change="subscribed", expected_shares=f"{before} + subscribed", pdf_disclosed_shares=after, difference=f"subscribed - ({after} - {before})", status=_REVIEW.format(f"abs(subscribed - ({after} - {before})) > 0.01"), detail=f"'{detail}'")}
+    return f"""SELECT {_log(company="company", snapshot_date_from="date_from", snapshot_date_to="date_to", shareholder_name=f"'{name}'", previous_shares=before, subscription_change="subscribed", expected_shares=f"{before} + subscribed", pdf_disclosed_shares=after, difference=f"subscribed - ({after} - {before})", status=_REVIEW.format(f"abs(subscribed - ({after} - {before})) > 0.01"), detail=detail)}
 FROM d WHERE {after} <> {before} AND subscribed > 0"""
 
 
+_SHARES_TOLD = "'认购合计' || format('{:.1f}', subscribed) || '万股 vs 股本变化' || format('{:.1f}', total_shares - shares_before) || '万股' || " + _MARK.format("abs(subscribed - (total_shares - shares_before)) > 0.01")
+_CAPITAL_TOLD = "'认购合计' || format('{:.1f}', subscribed) || '万股 vs 出资额变化' || format('{:.1f}', total_capital - capital_before) || '万元'"
 _DELTAS = f"""WITH m AS (SELECT company, left(subscription_date, 7) AS ym, sum(shares_subscribed) AS subscribed FROM {_FLOWS} WHERE shares_subscribed <> 0 GROUP BY ALL),
 s AS (SELECT *, snapshot_date AS date_to, lag(snapshot_date) OVER w AS date_from, lag(total_shares) OVER w AS shares_before, lag(total_capital) OVER w AS capital_before FROM {_GROUPS} WINDOW w AS (PARTITION BY company ORDER BY step)),
 d AS (SELECT s.*, m.subscribed FROM (SELECT * FROM s WHERE step > 1) s ASOF LEFT JOIN m ON s.company = m.company AND s.ym >= m.ym)
-{_delta("shares_before", "total_shares", "[股本变化合计]", "认购合计 vs 股本变化")} UNION ALL {_delta("capital_before", "total_capital", "[出资额变化合计]", "认购合计 vs 出资额变化")}"""
+{_delta("shares_before", "total_shares", "[股本变化合计]", _SHARES_TOLD)} UNION ALL {_delta("capital_before", "total_capital", "[出资额变化合计]", _CAPITAL_TOLD)}"""
 
 
 @query(_DELTAS)
@@ -114,7 +117,7 @@ def q55_delta_log(spark, sf_dir):
 
 _CORRESPONDENCE = f"""WITH s AS (SELECT s.*, g.ord AS group_ord FROM {_SNAPS} s JOIN {_GROUPS} g USING (company, snapshot_date, snapshot_type)),
 c AS (SELECT f.*, s.shares_held FROM {_FLOWS} f JOIN s ON f.company = s.company AND f.subscriber_name = s.shareholder_name AND s.snapshot_date >= left(f.subscription_date, 7) QUALIFY row_number() OVER (PARTITION BY f.ord ORDER BY s.group_ord, s.ord) = 1)
-SELECT {_log(company="company", snapshot_date_from="''", snapshot_date_to="subscription_date", shareholder_name="subscriber_name || ' (认缴→存量)'", subscription_change="shares_subscribed", expected_shares="shares_subscribed", pdf_disclosed_shares="shares_held", difference="shares_held - shares_subscribed", status=_REVIEW.format("abs(shares_held - shares_subscribed) > 0.01"), detail="'认购数 vs 存量持股数'")}
+SELECT {_log(company="company", snapshot_date_from="''", snapshot_date_to="subscription_date", shareholder_name="subscriber_name || ' (认缴→存量)'", subscription_change="shares_subscribed", expected_shares="shares_subscribed", pdf_disclosed_shares="shares_held", difference="shares_held - shares_subscribed", status=_REVIEW.format("abs(shares_held - shares_subscribed) > 0.01"), detail="'认购数 vs 存量持股数' || " + _MARK.format("abs(shares_held - shares_subscribed) > 0.01"))}
 FROM c WHERE shares_held <> 0 AND shares_subscribed <> 0"""
 
 

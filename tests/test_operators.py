@@ -83,10 +83,10 @@ def test_adjacent_snapshots(spark):
     groups = X.snapshot_groups(snaps)
     flows = frame(spark, FLOW, ("c", 1, "2020-06", "丙", 50.0, None, None), ("c", 2, "2019-06", "甲", 1.0, None, None), ("c", 3, "2020-06", "甲", 2.0, None, None))
     got = {(r["snapshot_date_to"], r["shareholder_name"]): (r["subscription_change"], r["difference"], r["status"], r["detail"]) for r in X.check_adjacent(flows, snaps, groups).collect()}
-    assert got["2021-01", "甲"] == (1.0, -1.0, X.REVIEW, "保持")
+    assert got["2021-01", "甲"] == (1.0, -1.0, X.REVIEW, "保持 ←待复核")
     assert got["2021-01", "乙"] == (None, None, "PASS", "稀释")
     assert got["2021-01", "丙"] == (50.0, None, "PASS", "新增")
-    assert got["2022-01", "丙"] == (50.0, -100.0, X.REVIEW, "稀释")
+    assert got["2022-01", "丙"] == (50.0, -100.0, X.REVIEW, "稀释 ←待复核")
     assert got["2022-01", "甲"][3] == got["2022-01", "乙"][3] == "退出"
     assert len(got) == 6
     period = {(r["snapshot_date_to"], r["shareholder_name"]): r["subscription_change"] for r in X.check_adjacent(flows, snaps, groups, "period").collect()}
