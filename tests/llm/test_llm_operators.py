@@ -726,7 +726,11 @@ def test_secrets_of_documents(documents, odd, none):
 
 
 def test_ownership_of_all_values_by_brute_force(spark, sf):
-    df = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    df = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "source", "lang")
+    # Some secrets are copied to other owners, or to other repositories of few owners.
+    several = df.orderBy("doc_id").limit(6)
+    copies = several.crossJoin(spark.range(7)).selectExpr("100000 + 10 * doc_id + id AS doc_id", "concat('password=hunter', doc_id, 'x Aa1bcdefghijklmnopqrstu', doc_id, ' ', text) AS text", "concat('src', id % (1 + doc_id % 4)) AS source", "concat('l', id) AS lang")
+    df = df.unionByName(copies)
     rows, owners, repos = df.collect(), {}, {}
     token = re.compile("[A-Za-z0-9+/_=-]{20,}")
     spans = {}
