@@ -64,11 +64,13 @@ def build_records(manual: DataFrame, docs: DataFrame) -> DataFrame:
     return R.flow_log(flows, snapshots)
 
 
-def validate_records(records: DataFrame, mode: str = "first_any") -> dict[str, DataFrame]:
-    """Both logs and the verdicts of records (company, line, and every field as text)."""
-    log = K.schema_log(records)
+def record_logs(records: DataFrame, mode: str = "first_any") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Schema log, cross-check log, and issues of constancy of records (company, line, and every field as text)."""
     flows, snapshots = (K.typed(records, kind, ddl) for kind, ddl in (("subscription_flow", schemas.FLOW), ("equity_snapshot", schemas.SNAPSHOT)))
-    cross = X.cross_check(flows, snapshots, mode)
-    constancy = X.check_constancy(X.snapshot_groups(snapshots))
-    files = records.select("company").distinct()
-    return {"schema_log": log, "cross_log": cross, "verdicts": X.file_verdict(K.record_issues(log, cross, constancy), files)}
+    return K.schema_log(records), X.cross_check(flows, snapshots, mode), X.check_constancy(X.snapshot_groups(snapshots))
+
+
+def validate_records(records: DataFrame, mode: str = "first_any") -> dict[str, DataFrame]:
+    """Both logs and the verdicts of records."""
+    log, cross, constancy = record_logs(records, mode)
+    return {"schema_log": log, "cross_log": cross, "verdicts": X.file_verdict(K.record_issues(log, cross, constancy), records.select("company").distinct())}

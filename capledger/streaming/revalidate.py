@@ -11,13 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import constraints as K
+from ..operators import crosscheck as X
 from ..plans import pipelines
 from ..session import share_package
 from ..sources import readers
 
 CHANGED = "company string, version long, text string"
-#: Tables of results, beside companies, which says in which batch each was checked.
-RESULTS = ("schema_log", "cross_log", "verdicts")
+#: The logs of a batch; beside them are verdicts, and companies, which says in which batch each was checked.
+LOGS = ("schema_log", "cross_log")
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -57,12 +59,13 @@ def changed_companies(files: DataFrame) -> DataFrame:
     return files.where("company is not null").groupBy("company").transformWithStateInPandas(Changed(), CHANGED, "Update", "None")
 
 
-def revalidate(spark: SparkSession, files: DataFrame, sink: str, checkpoint: str, mode: str = "first_any") -> int:
+def revalidate(spark: SparkSession, files: DataFrame, sink: str, checkpoint: str, mode: str = "first_any", partitions: int | None = None) -> int:
     """Check what has changed since the last call, and return how many companies that were.
 
     files is a stream as of company_files; a file is the whole of a company's records.  Each batch's results go to
     folders of its number, so one that runs again after a failure replaces itself; latest() reads them.
-    Needs the state store that keeps typed state, which is set for the stream alone.
+    The stream alone has the state store that keeps typed state, no batches without data (there are no timers), and so
+    many partitions of the state as its first call says (else the session's shuffle partitions).
     """
     share_package(spark)
     checked = 0
@@ -71,25 +74,31 @@ def revalidate(spark: SparkSession, files: DataFrame, sink: str, checkpoint: str
         nonlocal checked
         batch.persist()
         try:
-            results = pipelines.validate_records(readers.records(readers.numbered(batch)), mode)
-            # A company without a record has no row there, but it is a company that passes.
+            folder = lambda name: f"{sink}/{name}/batch={number}"
+            *logs, constancy = pipelines.record_logs(readers.records(readers.numbered(batch)), mode)
+            for name, df in zip(LOGS, logs, strict=True):
+                df.write.mode("overwrite").parquet(folder(name))
+            # Verdicts come from the logs as written; a company without a record has no row there, but it passes.
             companies = batch.select("company", "version")
-            results["verdicts"] = results["verdicts"].unionByName(companies.join(results["verdicts"], "company", "left_anti").select("company", F.lit(0).cast("long").alias("issues"), F.lit("PASS").alias("verdict")))
-            for name in RESULTS:
-                results[name].write.mode("overwrite").parquet(f"{sink}/{name}/batch={number}")
+            written = [spark.read.schema(df.schema).parquet(folder(name)) for name, df in zip(LOGS, logs, strict=True)]
+            X.file_verdict(K.record_issues(*written, constancy), companies.select("company")).write.mode("overwrite").parquet(folder("verdicts"))
             # Written last: a batch counts once its companies are there.
-            companies.write.mode("overwrite").parquet(f"{sink}/companies/batch={number}")
+            companies.write.mode("overwrite").parquet(folder("companies"))
             checked += batch.count()
         finally:
             batch.unpersist()
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, PROVIDER)
+    own = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    if partitions is not None:
+        own["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {key: spark.conf.get(key) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         query = changed_companies(files).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     query.awaitTermination()
     return checked
 
