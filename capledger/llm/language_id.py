@@ -190,3 +190,33 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """language_id over documents: nulls, ties, repeated rows and empty tables as there."""
     return language_id(C.table(spark, sf_dir, "documents"))
+
+
+#: The code's order is that of the length and then of the code points, which is that of the text's bytes.
+_RANKED = "row_number() OVER (PARTITION BY {0} ORDER BY n DESC, length(g), g) - 1"
+SQL = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, lang, {C.sql_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % {FOLDS} AS fold,
+         regexp_replace(' ' || lower(coalesce(text, '')) || ' ', '[^\\p{{L}}]+', ' ', 'g') AS c
+  FROM documents, (SELECT {C.SQL_CRC_TABLE} AS crc_table)
+), e AS (
+  SELECT row, fold, lang, unnest(string_split(c, '')) AS x, generate_subscripts(string_split(c, ''), 1) AS i FROM d
+), t AS (
+  SELECT row, fold, lang, x, lead(x) OVER w AS y, lead(x, 2) OVER w AS z FROM e WINDOW w AS (PARTITION BY row ORDER BY i)
+), g AS (
+  SELECT row, fold, lang, x AS g FROM t WHERE x <> ' ' UNION ALL SELECT row, fold, lang, x || y FROM t WHERE y IS NOT NULL UNION ALL SELECT row, fold, lang, x || y || z FROM t WHERE z IS NOT NULL
+), own AS (
+  SELECT row, g, {_RANKED.format("row")} AS place FROM (SELECT row, g, count(*) AS n FROM g GROUP BY row, g) QUALIFY place < {RANKS}
+), profile AS (
+  SELECT lang, g, {_RANKED.format("lang")} AS rank FROM (SELECT lang, g, count(*) AS n FROM g WHERE fold <> 0 AND lang IS NOT NULL GROUP BY lang, g) QUALIFY rank < {RANKS}
+), sizes AS (
+  SELECT row, count(*) AS n FROM own GROUP BY row
+), nearer AS (
+  SELECT row, lang, sum({RANKS} - abs(rank - place)) AS s FROM own JOIN profile USING (g) GROUP BY row, lang
+), far AS (
+  SELECT row, l.lang, n, n * {RANKS} - coalesce(s, 0) AS far FROM sizes CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN nearer USING (row, lang)
+), best AS (
+  SELECT row, lang, 1 - far::DOUBLE / ({RANKS} * n) AS score FROM far QUALIFY row_number() OVER (PARTITION BY row ORDER BY far, lang) = 1
+)
+SELECT doc_id, fold = 0 AS held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0) AS score FROM d LEFT JOIN best USING (row)
+"""

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op6_jaccard_join": jaccard_join.SQL, "op10_url_filter": url_filter.SQL, "op11_manifest": manifest.SQL, "op12_resampling": resampling.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_language_id": language_id.SQL, "op5_mixing": mixing.SQL, "op6_jaccard_join": jaccard_join.SQL, "op10_url_filter": url_filter.SQL, "op11_manifest": manifest.SQL, "op12_resampling": resampling.SQL}
