@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 import re
@@ -26,7 +27,7 @@ LENGTH, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
 #: Dimensions of the projection and bits of each in the Hilbert key.
 DIMS, BITS = 4, 12
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 120_000, 64
 #: Bytes of texts that are split into words at a time.
 AT_A_TIME = 1 << 20
 _MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
@@ -94,8 +95,11 @@ def short_way(tokenizer: Tokenizer) -> Callable[[bytes], list[int]] | None:
 
 @functools.lru_cache(2)
 def encoder_of(path: str, end_id: int) -> Encoder:
-    """A worker's encoder, which later tasks of the worker find with its words."""
-    return Encoder(path, end_id)
+    """A worker's encoder, which later tasks of the worker find; what reading the vocabulary took is given back."""
+    encoder = Encoder(path, end_id)
+    gc.collect()
+    C.release()
+    return encoder
 
 
 class Encoder:
