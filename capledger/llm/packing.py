@@ -27,9 +27,9 @@ LENGTH, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
 #: Dimensions of the projection and bits of each in the Hilbert key.
 DIMS, BITS = 4, 12
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 120_000, 64
+REMEMBERED, LONGEST = 80_000, 64
 #: Bytes of texts that are split into words at a time.
-AT_A_TIME = 1 << 20
+AT_A_TIME = 1 << 18
 _MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 #: Bytes of ids of a range, their number up to which it is so, and the most bytes of a range beyond.
 RANGE_BYTES, MOST_RANGES, LARGE_RANGE = 4 << 20, 10_000, 256 << 20
