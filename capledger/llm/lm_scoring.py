@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -220,6 +220,43 @@ class Seating:
         return t.reshape(-1, SEATINGS)[np.arange(len(p)), pick].astype(np.int64)
 
 
+class Sampler:
+    """State of a shard's Gibbs sweeps: tables of its cells and of its words at the parent.
+
+    A cell of one customer has one table, so only cells of more are held; ones counts the others of each word.
+    """
+
+    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, ones: np.ndarray, tables: np.ndarray | None = None, top: np.ndarray | None = None):
+        self.word, self.ones = word, ones
+        self.leaf = Seating(count, context, *LEAF)
+        if tables is not None:
+            self.leaf.tables = tables
+        self.top = Seating(self._customers(), np.zeros(len(ones), np.int64), *ROOT)
+        if top is not None:
+            self.top.tables = top
+
+    def _customers(self) -> np.ndarray:
+        return self.ones + np.bincount(self.word, self.leaf.tables, len(self.ones)).astype(np.int64)
+
+    def sums(self) -> np.ndarray:
+        """Customers and tables of the words at the parent, and the tables of each context, but for those of ones."""
+        return np.concatenate([[self.top.customers.sum(), self.top.tables.sum()], np.bincount(self.leaf.restaurant, self.leaf.tables, CONTEXTS)])
+
+    def sweep(self, seed: list[int], base: float, totals: np.ndarray) -> None:
+        """Draw all tables anew, given what the whole corpus held after the sweep before.
+
+        totals: sums over all shards, with the tables of ones.
+        """
+        rng = np.random.default_rng(seed)
+        (d0, s0), top = ROOT, self.top
+        parent = (top.customers - d0 * top.tables + (s0 + d0 * totals[1]) * base) / (s0 + totals[0])
+        self.leaf.sweep(rng, parent[self.word], totals[2:])
+        top.set(self._customers())
+        # From here on the parent's tables are of the customers that it has now.
+        top.tables = np.minimum(top.tables, top.customers)
+        top.sweep(rng, np.full(len(self.ones), base), totals[1:2])
+
+
 class Shard:
     """The cells of a shard's words: all contexts of a word are in one shard, and so is its dish at the parent."""
 
@@ -235,53 +272,119 @@ class Shard:
         self.word, self.context, self.count = every // CONTEXTS, every % CONTEXTS, count
         self.word_count = np.bincount(self.word, count, len(self.words)).astype(np.int64)
 
-    def states(self, number: int, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Gibbs sweeps; of each sample the tables of the cells, and each word's customers and tables at the parent.
+    def parts(self) -> list[np.ndarray]:
+        """What a Sampler is made of."""
+        many = self.count > 1
+        return [self.word[many], self.context[many], self.count[many], np.bincount(self.word[self.count == 1], minlength=len(self.words))]
 
-        What the other shards hold is taken to be as this one, as shards are by hash.  The same call makes the same states.
-        """
-        rng = np.random.default_rng([SEED, number])
-        seen = np.flatnonzero(self.count)
-        leaf = Seating(self.count[seen], self.context[seen], *LEAF)
-        of_word = lambda: np.bincount(self.word[seen], leaf.tables, len(self.words)).astype(np.int64)
-        top = Seating(of_word(), np.zeros(len(self.words), np.int64), *ROOT)
-        d0, s0 = ROOT
-        base = 1 / (shards * (self.word_count > 0).sum() + 1)
+    def head(self) -> np.ndarray:
+        """Words, tokens, customers of each context."""
+        return np.concatenate([[(self.word_count > 0).sum(), self.word_count.sum()], np.bincount(self.context, self.count, CONTEXTS)])
+
+    def ones(self) -> np.ndarray:
+        """Tables of cells of one customer, as they add to a Sampler's sums."""
+        return np.concatenate([[0, 0], np.bincount(self.context[self.count == 1], minlength=CONTEXTS)])
+
+    def states(self, number: int, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each sample of a shard that is by itself: the tables of the cells of more customers than one, and each word's
+        customers and tables at the parent.  The same call makes the same states.  Where there are others, see _sweeps."""
+        sampler, ones = Sampler(*self.parts()), self.ones()
         for i in range(BURN + SAMPLES):
-            sum_c, sum_t = top.customers.sum() * shards, top.tables.sum() * shards
-            parent = (top.customers - d0 * top.tables + (s0 + d0 * sum_t) * base) / (s0 + sum_c)
-            leaf.sweep(rng, parent[self.word[seen]], np.bincount(leaf.restaurant, leaf.tables, CONTEXTS) * shards)
-            top.set(of_word())
-            # From here on the parent's tables are of the customers that it has now.
-            top.tables = np.minimum(top.tables, top.customers)
-            top.sweep(rng, np.full(len(self.words), base), np.array([top.tables.sum() * shards]))
+            sampler.sweep([SEED, number, shards, i], 1 / (self.head()[0] + 1), sampler.sums() + ones)
             if i >= BURN:
-                tables = np.zeros(len(self.count), np.int64)
-                tables[seen] = leaf.tables
-                yield tables, top.customers, top.tables
+                yield sampler.leaf.tables, sampler.top.customers, sampler.top.tables
 
     def totals(self, number: int, shards: int) -> np.ndarray:
-        """Words, tokens, customers of each context; then of each sample the parent's customers and tables, and the tables of each context."""
-        out = [[(self.word_count > 0).sum(), self.word_count.sum()], np.bincount(self.context, self.count, CONTEXTS)]
+        """The head; then of each sample of states the parent's customers and tables, and the tables of each context."""
+        many, out, ones = self.count > 1, [self.head()], self.ones()
         for tables, customers, top in self.states(number, shards):
-            out += [[customers.sum(), top.sum()], np.bincount(self.context, tables, CONTEXTS)]
+            out.append(ones + np.concatenate([[customers.sum(), top.sum()], np.bincount(self.context[many], tables, CONTEXTS)]))
         return np.concatenate(out).astype("<f8")
 
-    def probabilities(self, number: int, shards: int, totals: np.ndarray) -> np.ndarray:
+    def probabilities(self, number: int, shards: int, totals: np.ndarray, states: Iterable[tuple] | None = None) -> np.ndarray:
         """Predictive probability of each cell, averaged over the samples, given the totals over all shards.
 
-        Each sample's probabilities use the totals of that sample, so those of a context's words, and of one unknown word, add up to one.
+        states: those that the totals are of; without, the shard's own.  Each sample's probabilities use the totals of
+        that sample, so those of a context's words, and of one unknown word, add up to one.
         """
         (d, s), (d0, s0), k = LEAF, ROOT, self.context
         head, rest = totals[: 2 + CONTEXTS], totals[2 + CONTEXTS :].reshape(SAMPLES, 2 + CONTEXTS)
         base, context_customers = 1 / (head[0] + 1), head[2:]
-        mean = np.zeros(len(self.count))
-        for (tables, customers, top), of in zip(self.states(number, shards), rest, strict=True):
+        mean, tables = np.zeros(len(self.count)), np.minimum(self.count, 1)
+        for (many, customers, top), of in zip(self.states(number, shards) if states is None else states, rest, strict=True):
+            tables[self.count > 1] = many
             parent = (customers - d0 * top + (s0 + d0 * of[1]) * base) / (s0 + of[0])
             mean += (self.count - d * tables + (s + d * of[2:][k]) * parent[self.word]) / (s + context_customers[k]) / SAMPLES
         return mean
 
 
+# ---------------------------------------------------------------- sweeps over all shards
+
+_VECTOR = "<i8"
+
+
+def _added_up(rows: DataFrame, shards: int) -> np.ndarray | None:
+    """Sum of the vectors of (shard, sums): added up in bundles of shards; the driver gets one for each bundle."""
+    bundles = 1 << shards.bit_length() // 2
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([C.unpack(s, _VECTOR)[0] for s in pdf["sums"]], 0)
+        return pd.DataFrame({"bundle": pdf["bundle"].iloc[:1], "sums": [C.pack(total)]})
+
+    found = rows.select((F.col("shard") % bundles).alias("bundle"), "sums").groupBy("bundle").applyInPandas(add_up, "bundle int, sums binary").collect()
+    return np.sum([C.unpack(r["sums"], _VECTOR)[0] for r in found], 0) if found else None
+
+
+def _sweeps(dealt: DataFrame, shards: int) -> tuple[np.ndarray, DataFrame]:
+    """Totals as of Shard.totals, and for each shard its samples as bytes, by sweeps that all shards make together.
+
+    A table holds a row for each shard with its Sampler.  In a sweep each shard draws its tables given the totals over
+    all shards after the sweep before; then the new ones are added up.
+    """
+    spark = dealt.sparkSession
+    schema = "shard int, fixed binary, moving binary, samples array<binary>, sums binary"
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = Shard(list(pdf["cells"]))
+        sampler = Sampler(*(parts := shard.parts()))
+        sums = np.concatenate([shard.head(), shard.ones(), sampler.sums()])
+        fixed = C.pack(*[a.astype(_VECTOR) for a in (np.diff(parts[0], prepend=0), *parts[1:])])
+        moving = C.pack(*[a.astype(_VECTOR) for a in (sampler.leaf.tables, sampler.top.tables)])
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1].to_numpy(), "fixed": [fixed], "moving": [moving], "samples": [[]], "sums": [C.pack(sums.astype(_VECTOR))]})
+
+    def sweep(i: int, base: float, totals: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast(totals)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for j in range(batch.num_rows):
+                    number, fixed, moving, samples, _ = (c[j].as_py() for c in batch.columns)
+                    word, context, count, ones = C.unpack(fixed, *[_VECTOR] * 4)
+                    sampler = Sampler(np.cumsum(word), context, count, ones, *C.unpack(moving, _VECTOR, _VECTOR))
+                    sampler.sweep([SEED, number, shards, i], base, shared.value)
+                    leaf, top = sampler.leaf.tables.astype(_VECTOR), sampler.top.tables.astype(_VECTOR)
+                    if i >= BURN:
+                        samples.append(C.pack(leaf, sampler.top.customers.astype(_VECTOR), top))
+                    row = {"shard": number, "fixed": fixed, "moving": C.pack(leaf, top), "samples": samples, "sums": C.pack(sampler.sums().astype(_VECTOR))}
+                    yield pa.RecordBatch.from_pylist([row], batch.schema)
+
+        return C.materialize(state.mapInArrow(run, schema))
+
+    state = C.materialize(dealt.select("shard", "cells").groupBy("shard").applyInPandas(build, schema))
+    # The cells' shuffle has done its work.
+    C.tidy(spark)
+    size = 2 + CONTEXTS
+    head, ones, sums = np.zeros((3, size)) if (first := _added_up(state, shards)) is None else first.reshape(3, size)
+    out = [head]
+    for i in range(BURN + SAMPLES):
+        before, state = state, sweep(i, 1 / (head[0] + 1), ones + sums)
+        C.discard(before)
+        sums = 0 * head if (found := _added_up(state, shards)) is None else found
+        if i >= BURN:
+            out.append(ones + sums)
+    return np.concatenate(out).astype("<f8"), state.select("shard", "samples")
+
+
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
     """Return doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row.
 
@@ -294,14 +397,14 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
 
     1. One pass over the texts cuts them into chunks; a chunk's (word, context) cells are counted and dealt to shards
        by the word's hash.  The counts of a word that makes a third of all tokens are CONTEXTS numbers a chunk.
-    2. Each shard adds up its cells and runs its sweeps; the tables of each context, sample by sample, are added up over
-       the shards: 1 + SAMPLES vectors of CONTEXTS numbers.
-    3. Each shard makes the same sweeps again; now each sample's probabilities use that sample's totals, so they
-       add up to one, and each document's part of the scores is added up for a chunk.
+    2. Each shard adds up its cells.  All shards make each sweep together: a shard draws its tables given those that the whole
+       corpus had after the sweep before, and the new ones of each context are added up over all shards.
+    3. Each sample's probabilities use that sample's totals, so they add up to one, and each document's part of the
+       scores is added up for a chunk.
     4. A chunk's parts are added up.
 
     There is a shard for each SHARD_BYTES of input, so memory stays bounded as the corpus grows, and results do not depend on
-    the session's settings.  In its sweeps a shard takes the others to be like itself.  A null text counts as empty: its
+    the session's settings.  How the words are dealt to shards changes the random numbers only.  A null text counts as empty: its
     end is one token.  Repeated rows each give a row, and count as often in learning; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -313,26 +416,24 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     chunks = C.materialize(_chunks(docs, id_col, text_col, folds, bits))
     dealt = chunks.where("shard >= 0")
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(pdf["shard"].iloc[0])
-        pdf = pdf.sort_values("chunk")
-        return pd.DataFrame({"bundle": [number % bundles], "sums": [Shard(list(pdf["cells"])).totals(number, shards).tobytes()]})
-
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[:1].assign(sums=[np.sum([np.frombuffer(s) for s in pdf["sums"]], 0).tobytes()])
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sums": [Shard(list(pdf.sort_values("chunk")["cells"])).totals(0, 1).tobytes()]})
 
-    # A vector for each shard, added up in bundles; the driver gets one for each bundle.
-    bundles = 1 << (bits + 1) // 2
-    found = dealt.select("chunk", "shard", "cells").groupBy("shard").applyInPandas(first, "bundle int, sums binary").groupBy("bundle").applyInPandas(add_up, "bundle int, sums binary").collect()
-    totals = np.sum([np.frombuffer(r["sums"]) for r in sorted(found)], 0) if found else np.zeros((1 + SAMPLES) * (2 + CONTEXTS))
+    samples = None
+    if shards > 1:
+        totals, samples = _sweeps(dealt, shards)
+    else:
+        found = dealt.select("chunk", "shard", "cells").groupBy("shard").applyInPandas(alone, "sums binary").collect()
+        totals = np.frombuffer(found[0]["sums"]) if found else np.zeros((1 + SAMPLES) * (2 + CONTEXTS))
     vocabulary, train_tokens = int(totals[0]), int(totals[1])
     shared = spark.sparkContext.broadcast(totals)
 
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
+    def second(pdf: pd.DataFrame, drawn: pd.DataFrame | None = None) -> pd.DataFrame:
         number = int(pdf["shard"].iloc[0])
         pdf = pdf.sort_values("chunk")
         shard = Shard(list(pdf["cells"]))
-        logs = np.log10(shard.probabilities(number, shards, shared.value))
+        states = None if drawn is None else (C.unpack(s, *[_VECTOR] * 3) for s in drawn["samples"].iloc[0])
+        logs = np.log10(shard.probabilities(number, shards, shared.value, states))
         count = shard.word_count[shard.word]
         base = np.log10(count + ADDED)
         out = []
@@ -347,7 +448,10 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
             out.append((chunk, C.pack(doc, *[s.astype(k) for s, k in zip(sums, ("<f4", "<f8", "<u4"), strict=True)])))
         return pd.DataFrame(out, columns=["chunk", "sums"])
 
-    parts = dealt.groupBy("shard").applyInPandas(second, "chunk long, sums binary")
+    if samples is None:
+        parts = dealt.groupBy("shard").applyInPandas(lambda pdf: second(pdf), "chunk long, sums binary")
+    else:
+        parts = dealt.groupBy("shard").cogroup(samples.groupBy("shard")).applyInPandas(lambda pdf, drawn: second(pdf, drawn), "chunk long, sums binary")
     heads = chunks.where("shard < 0").select("chunk", "ids", "cells")
     n_base = np.log10(train_tokens + ADDED * (vocabulary + 1))
 

@@ -165,6 +165,18 @@ def test_scores_do_not_depend_on_shuffle_partitions(spark, documents):
     assert found[0] == found[1]
 
 
+def test_scores_do_not_depend_on_shards(spark, documents, monkeypatch):
+    """Shards sweep with the totals of the whole corpus, so they only change the random numbers."""
+    found = []
+    for shards in (1, 64):
+        monkeypatch.setattr(lm_scoring, "SHARD_BYTES", max(1, -(-C.input_bytes(documents, "text") // shards)))
+        found.append({r["doc_id"]: (r["score"], r["n_tokens"]) for r in check_lm(documents)})
+    one, many = found
+    n = sum(t for _, t in one.values())
+    assert abs(sum(s - many[i][0] for i, (s, _) in one.items())) < 0.002 * n
+    assert max(abs(s - many[i][0]) / t for i, (s, t) in one.items() if t > 100) < 0.02
+
+
 # ---------------------------------------------------------------- 3 language
 
 
