@@ -11,6 +11,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -26,13 +27,17 @@ from . import _common as C
 LENGTH, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
 #: Dimensions of the projection and bits of each in the Hilbert key.
 DIMS, BITS = 4, 12
+#: Bits of a lane, of which DIMS make 64, and the most that one holds.
+LANE = 64 // DIMS
+MOST = (1 << LANE) - 1
 #: Words whose ids a worker remembers, and the longest of them in bytes.
 REMEMBERED, LONGEST = 80_000, 64
 #: Bytes of texts that are split into words at a time.
 AT_A_TIME = 1 << 18
-_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+#: A comma or full stop after a letter, at a word's end.  The mark comes first, as a literal is found faster.
+_COMMA, _STOP = (re.compile(rb"%s(?<=[a-z]%s)(?=[\x20\x09-\x0D]|\Z)" % (m, m)) for m in (rb",", rb"\."))
 #: Bytes of ids of a range, their number up to which it is so, and the most bytes of a range beyond.
-RANGE_BYTES, MOST_RANGES, LARGE_RANGE = 4 << 20, 10_000, 256 << 20
+RANGE_BYTES, MOST_RANGES, LARGE_RANGE = 8 << 20, 10_000, 256 << 20
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -123,7 +128,8 @@ class Encoder:
         self.short, self.tried = short_way(self.tokenizer), False
         # A token's direction in the projection comes from a hash of its id.
         h = C.mix64(np.arange(size, dtype=np.uint64)[:, None] * np.uint64(DIMS) + np.arange(DIMS, dtype=np.uint64))
-        self.direction = np.where(h >> np.uint64(63) > 0, 1.0, -1.0).astype(np.float32)
+        # The signs that are positive are ones, each in LANE bits of a number.
+        self.direction = ((h >> np.uint64(63)) << np.arange(0, DIMS * LANE, LANE, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text; texts are taken some at a time, as a text's words take ten times its room."""
@@ -138,20 +144,17 @@ class Encoder:
         return out + self._encode(some)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else _MARK.sub(rb" \1", t.lower())).split() for t in texts]
+        split = [(t if b"<|" in t else _STOP.sub(b" .", _COMMA.sub(b" ,", t.lower()))).split() for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
+            # The words of these texts stay, and frequent ones are among them.
+            kept = {w: ids for words in split for w in words if (ids := known.get(w))}
             known.clear()
-        # Ids of known words, None for others, whose places are filled when they are encoded.
-        parts = [list(map(known.get, words)) for words in split]
-        gaps = [[i for i, p in enumerate(part) if p is None] if None in part else () for part in parts]
-        missing = list({words[i] for words, gap in zip(split, gaps, strict=True) for i in gap})
+            known.update(kept)
+        missing = list(set(chain.from_iterable(split)).difference(known))
         for i in range(0, len(missing), 8192):
             known.update(self._encode_words(missing[i : i + 8192]))
-        for words, part, gap in zip(split, parts, gaps, strict=True):
-            for i in gap:
-                part[i] = known[words[i]]
-        out = [b"".join(part) + self.end for part in parts]
+        out = [b"".join(map(known.__getitem__, words)) + self.end for words in split]
         for w in missing:
             if len(w) > LONGEST:
                 del known[w]
@@ -183,9 +186,10 @@ class Encoder:
         if short is None:
             rest = words
         else:
+            packs, most = self.packs, len(self.packs)
             for w in plain:
                 ids = short(w + _END)
-                yield w, self.packed(ids)
+                yield w, packs[n](*ids) if (n := len(ids)) < most else self.packed(ids)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
             yield w, self.packed(e.ids)
 
@@ -197,7 +201,9 @@ class Encoder:
         sums = np.empty((len(ids), DIMS))
         for i, raw in enumerate(ids):
             a = np.frombuffer(raw, self.kind)
-            sums[i] = self.direction[a].sum(0, dtype=np.float64) / len(a)
+            # A lane holds the ones of fewer than 1 << LANE tokens.
+            parts = [int(self.direction[a[j : j + MOST]].sum()) for j in range(0, len(a), MOST)]
+            sums[i] = [(2 * sum(p >> at & MOST for p in parts) - len(a)) / len(a) for at in range(0, DIMS * LANE, LANE)]
         # Means of signs lie between -1 and 1; the square root spreads the many that are near 0.
         spread = np.sign(sums) * np.sqrt(np.abs(sums))
         return np.clip((spread + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)

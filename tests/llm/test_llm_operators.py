@@ -800,6 +800,31 @@ def test_classifier_on_odd_rows(odd, none):
     assert quality_classifier.drop_low_quality(odd).columns == odd.columns
 
 
+def test_packing_keeps_the_words_in_use_and_makes_few_files(monkeypatch):
+    encoder = packing.Encoder(str(packing.public_tokenizers.path(packing.VOCABULARY)), 2)
+    texts = [b"The end, of a. line", b"the end of zebras,. 5. x."]
+    first = encoder.encode(texts)
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    assert encoder.encode(texts[:1]) == first[:1]
+    assert encoder.known.keys() == set(b"the end , of a . line".split())
+    assert encoder.encode(texts) == first
+    # A file for each range: executors start a process for each file.
+    assert packing.n_ranges(480 << 20) == 60
+
+
+def test_projection_of_long_documents():
+    encoder = packing.Encoder(str(packing.public_tokenizers.path(packing.VOCABULARY)), 2)
+    rng = np.random.default_rng(0)
+    size = len(encoder.direction)
+    h = C.mix64(np.arange(size * packing.DIMS, dtype=np.uint64)).reshape(size, packing.DIMS)
+    signs = np.where(h >> np.uint64(63) > 0, 1, -1)
+    for n in (1, 700, packing.MOST, packing.MOST + 1, 200_001):
+        a = rng.integers(0, 40, n)
+        mean = signs[a].sum(0) / n
+        want = np.clip((np.sign(mean) * np.sqrt(np.abs(mean)) + 1) / 2 * (1 << packing.BITS), 0, (1 << packing.BITS) - 1).astype(np.int64)
+        assert (encoder.points([a.astype(encoder.kind).tobytes()])[0] == want).all()
+
+
 def test_packing_does_not_follow_the_sessions_partitions(spark, documents, monkeypatch):
     monkeypatch.setattr(packing, "RANGE_BYTES", 1 << 15)
     seen = []
