@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,8 @@ SHARD_BYTES = 16 << 20
 EXACT, SEATINGS = 512, 8
 #: Tokens of a chunk of documents, and words whose hashes a worker remembers.
 CHUNK_TOKENS, REMEMBERED = 1_000_000, 400_000
+#: Cells that a shard gathers at least before it adds them up, cells that are scored at a time, and bytes of an Arrow batch.
+GATHERED, SLICE, BATCH_BYTES = 1 << 18, 1 << 17, 4 << 20
 #: Hashes of the end of a text and of the place before it; no word has white space.
 END, BEFORE = (xxhash.xxh3_64_intdigest(b" end"), xxhash.xxh3_64_intdigest(b" before"))
 
@@ -138,6 +142,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, folds: int, shard_bits:
                     yield rows()
         if held:
             yield rows()
+        C.release()
 
     return docs.select(F.col(id_col).alias("id"), C.crc_fold(F.col(id_col), folds).alias("fold"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"chunk long, shard int, ids array<{kind}>, cells binary, uses binary")
 
@@ -260,22 +265,52 @@ class Sampler:
 class Shard:
     """The cells of a shard's words: all contexts of a word are in one shard, and so is its dish at the parent."""
 
-    def __init__(self, cells: list[bytes]):
-        parts = [C.unpack(raw, "<u8", "<u2", "<u2", "<u4") for raw in cells]
-        self.words, at = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
-        ends = np.cumsum([len(p[0]) for p in parts])
-        keys = [np.repeat(a, p[1]) * CONTEXTS + p[2] for a, p in zip(np.split(at, ends[:-1]), parts, strict=True)]
-        every, where = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(where, np.concatenate([p[3] for p in parts]), len(every)).astype(np.int64)
-        #: For each chunk, its cells' numbers here.
-        self.where = np.split(where, np.cumsum([len(k) for k in keys])[:-1])
-        self.word, self.context, self.count = every // CONTEXTS, every % CONTEXTS, count
-        self.word_count = np.bincount(self.word, count, len(self.words)).astype(np.int64)
+    def __init__(self, cells: Iterable[bytes]):
+        """cells: those of each chunk.  They are read one chunk at a time and added up as they come, so memory follows the shard's own cells."""
+        self.words, self.key, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, size = [], 0
+        for raw in cells:
+            held.append(self._of_chunk(raw))
+            size += len(held[-1][1])
+            if size >= max(GATHERED, len(self.key) // 2):
+                self._add(held)
+                size = 0
+        if held:
+            self._add(held)
+        self.word, self.context = (self.key // CONTEXTS).astype(np.int32), (self.key % CONTEXTS).astype(np.uint16)
+        self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
+
+    @staticmethod
+    def _of_chunk(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, keys (a word's number, times CONTEXTS, and the context) and counts of a chunk's cells, all in order."""
+        steps, per_word, context, count = C.unpack(raw, "<u8", "<u2", "<u2", "<u4")
+        return np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(steps)) * CONTEXTS, per_word) + context, count
+
+    def _keys(self, words: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Keys by other words' numbers as keys by this shard's."""
+        return np.searchsorted(self.words, words)[key // CONTEXTS] * CONTEXTS + key % CONTEXTS
+
+    def _add(self, held: list[tuple]) -> None:
+        """Add what is held to the shard's cells; held is empty then."""
+        held.append((self.words, self.key, self.count))
+        self.words = np.unique(np.concatenate([p[0] for p in held]))
+        key = np.concatenate([self._keys(*p[:2]) for p in held])
+        count = np.concatenate([p[2] for p in held])
+        held.clear()
+        # Runs that are in order by themselves, which a stable sort merges.
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.key, self.count = key[first], np.add.reduceat(count, first)
+
+    def where(self, raw: bytes) -> np.ndarray:
+        """The numbers that a chunk's cells have here."""
+        return np.searchsorted(self.key, self._keys(*self._of_chunk(raw)[:2]))
 
     def parts(self) -> list[np.ndarray]:
         """What a Sampler is made of."""
         many = self.count > 1
-        return [self.word[many], self.context[many], self.count[many], np.bincount(self.word[self.count == 1], minlength=len(self.words))]
+        return [self.word[many].astype(np.int64), self.context[many].astype(np.int64), self.count[many], np.bincount(self.word[self.count == 1], minlength=len(self.words))]
 
     def head(self) -> np.ndarray:
         """Words, tokens, customers of each context."""
@@ -310,17 +345,63 @@ class Shard:
         (d, s), (d0, s0), k = LEAF, ROOT, self.context
         head, rest = totals[: 2 + CONTEXTS], totals[2 + CONTEXTS :].reshape(SAMPLES, 2 + CONTEXTS)
         base, context_customers = 1 / (head[0] + 1), head[2:]
-        mean, tables = np.zeros(len(self.count)), np.minimum(self.count, 1)
+        mean, tables, several = np.zeros(len(self.count)), np.minimum(self.count, 1), self.count > 1
         for (many, customers, top), of in zip(self.states(number, shards) if states is None else states, rest, strict=True):
-            tables[self.count > 1] = many
+            tables[several] = many
             parent = (customers - d0 * top + (s0 + d0 * of[1]) * base) / (s0 + of[0])
-            mean += (self.count - d * tables + (s + d * of[2:][k]) * parent[self.word]) / (s + context_customers[k]) / SAMPLES
+            for i in range(0, len(mean), SLICE):
+                at = slice(i, i + SLICE)
+                mean[at] += (self.count[at] - d * tables[at] + (s + d * of[2:][k[at]]) * parent[self.word[at]]) / (s + context_customers[k[at]]) / SAMPLES
         return mean
 
 
-# ---------------------------------------------------------------- sweeps over all shards
+# ---------------------------------------------------------------- shards of a table
 
 _VECTOR = "<i8"
+#: Kinds of a shard's rows, in the order in which they are read.
+_CELLS, _SAMPLES, _USES = range(3)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Rows dealt by their first column, the shard, and in order of all columns but the last, the bytes."""
+    return rows.repartition("shard").sortWithinPartitions(*rows.columns[:-1])
+
+
+def _by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """Each shard with its rows, which are read as they are asked for."""
+    rows = (tuple(c[i].as_py() for c in batch.columns) for batch in batches for i in range(batch.num_rows))
+    return groupby(rows, itemgetter(0))
+
+
+def _scores(batches: Iterable[pa.RecordBatch], shards: int, totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, sums) of rows (shard, kind, chunk, raw) in order: of each document its parts of the scores.
+
+    A shard's cells stay as bytes until their chunk's uses come, and uses are read one chunk at a time.
+    """
+    for number, rows in _by_shard(batches):
+        kinds = groupby(rows, itemgetter(1))
+        cells = {chunk: raw for _, _, chunk, raw in next(kinds)[1]}
+        shard = Shard(cells.values())
+        states = (C.unpack(raw, *[_VECTOR] * 3) for *_, raw in next(kinds)[1]) if shards > 1 else None
+        logs = shard.probabilities(number, shards, totals, states)
+        np.log10(logs, out=logs)
+        base, known = np.log10(shard.word_count + ADDED), (shard.word_count > 0).astype(float)
+        for _, _, chunk, raw in next(kinds)[1]:
+            doc, per_doc, step, times = C.unpack(raw, "<u4", "<u4", "<u4", "<u4")
+            ends = np.cumsum(per_doc, dtype=np.int64)
+            at = np.cumsum(step, dtype=np.int64)
+            # Steps start anew at each document.
+            at -= np.repeat(np.concatenate([[0], at[ends[:-1] - 1]]), per_doc)
+            cell = shard.where(cells.pop(chunk))[at]
+            word = shard.word[cell]
+            sums = [np.add.reduceat(v * times, ends - per_doc) for v in (logs[cell], base[word], known[word])]
+            packed = C.pack(doc, *[s.astype(k) for s, k in zip(sums, ("<f4", "<f8", "<u4"), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed], pa.binary())], ["chunk", "sums"])
+        del shard, logs, base, known
+        C.release()
+
+
+# ---------------------------------------------------------------- sweeps over all shards
 
 
 def _added_up(rows: DataFrame, shards: int) -> np.ndarray | None:
@@ -344,33 +425,38 @@ def _sweeps(dealt: DataFrame, shards: int) -> tuple[np.ndarray, DataFrame]:
     spark = dealt.sparkSession
     schema = "shard int, fixed binary, moving binary, samples array<binary>, sums binary"
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = Shard(list(pdf["cells"]))
-        sampler = Sampler(*(parts := shard.parts()))
-        sums = np.concatenate([shard.head(), shard.ones(), sampler.sums()])
-        fixed = C.pack(*[a.astype(_VECTOR) for a in (np.diff(parts[0], prepend=0), *parts[1:])])
-        moving = C.pack(*[a.astype(_VECTOR) for a in (sampler.leaf.tables, sampler.top.tables)])
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1].to_numpy(), "fixed": [fixed], "moving": [moving], "samples": [[]], "sums": [C.pack(sums.astype(_VECTOR))]})
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _by_shard(batches):
+            shard = Shard(raw for _, raw in rows)
+            sampler = Sampler(*(parts := shard.parts()))
+            sums = np.concatenate([shard.head(), shard.ones(), sampler.sums()])
+            fixed = C.pack(*[a.astype(_VECTOR) for a in (np.diff(parts[0], prepend=0), *parts[1:])])
+            moving = C.pack(*[a.astype(_VECTOR) for a in (sampler.leaf.tables, sampler.top.tables)])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([fixed]), pa.array([moving]), pa.array([[]], pa.list_(pa.binary())), pa.array([C.pack(sums.astype(_VECTOR))])], ["shard", "fixed", "moving", "samples", "sums"])
+            del shard, sampler, parts
+            C.release()
 
     def sweep(i: int, base: float, totals: np.ndarray) -> DataFrame:
         shared = spark.sparkContext.broadcast(totals)
 
+        def one(number: int, fixed: bytes, moving: bytes, samples: list[bytes], _: bytes) -> dict:
+            word, context, count, ones = C.unpack(fixed, *[_VECTOR] * 4)
+            sampler = Sampler(np.cumsum(word), context, count, ones, *C.unpack(moving, _VECTOR, _VECTOR))
+            sampler.sweep([SEED, number, shards, i], base, shared.value)
+            leaf, top = sampler.leaf.tables.astype(_VECTOR), sampler.top.tables.astype(_VECTOR)
+            if i >= BURN:
+                samples.append(C.pack(leaf, sampler.top.customers.astype(_VECTOR), top))
+            return {"shard": number, "fixed": fixed, "moving": C.pack(leaf, top), "samples": samples, "sums": C.pack(sampler.sums().astype(_VECTOR))}
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for j in range(batch.num_rows):
-                    number, fixed, moving, samples, _ = (c[j].as_py() for c in batch.columns)
-                    word, context, count, ones = C.unpack(fixed, *[_VECTOR] * 4)
-                    sampler = Sampler(np.cumsum(word), context, count, ones, *C.unpack(moving, _VECTOR, _VECTOR))
-                    sampler.sweep([SEED, number, shards, i], base, shared.value)
-                    leaf, top = sampler.leaf.tables.astype(_VECTOR), sampler.top.tables.astype(_VECTOR)
-                    if i >= BURN:
-                        samples.append(C.pack(leaf, sampler.top.customers.astype(_VECTOR), top))
-                    row = {"shard": number, "fixed": fixed, "moving": C.pack(leaf, top), "samples": samples, "sums": C.pack(sampler.sums().astype(_VECTOR))}
-                    yield pa.RecordBatch.from_pylist([row], batch.schema)
+                    yield pa.RecordBatch.from_pylist([one(*(c[j].as_py() for c in batch.columns))], batch.schema)
+            C.release()
 
         return C.materialize(state.mapInArrow(run, schema))
 
-    state = C.materialize(dealt.select("shard", "cells").groupBy("shard").applyInPandas(build, schema))
+    state = C.materialize(_in_order(dealt.select("shard", "cells")).mapInArrow(build, schema))
     # The cells' shuffle has done its work.
     C.tidy(spark)
     size = 2 + CONTEXTS
@@ -409,6 +495,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     """
     spark = docs.sparkSession
     C.prepare(spark)
+    # A shard's rows are read one by one; batches that are small keep its whole from being held at once.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     bits = (max(1, -(-C.input_bytes(docs, text_col) // SHARD_BYTES)) - 1).bit_length()
     shards = 1 << bits
@@ -416,42 +504,21 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     chunks = C.materialize(_chunks(docs, id_col, text_col, folds, bits))
     dealt = chunks.where("shard >= 0")
 
-    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sums": [Shard(list(pdf.sort_values("chunk")["cells"])).totals(0, 1).tobytes()]})
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_shard(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([Shard(raw for _, raw in rows).totals(0, 1).tobytes()])], ["sums"])
 
-    samples = None
+    rows = dealt.select("shard", F.lit(_CELLS).alias("kind"), "chunk", F.col("cells").alias("raw")).unionByName(dealt.select("shard", F.lit(_USES).alias("kind"), "chunk", F.col("uses").alias("raw")))
     if shards > 1:
         totals, samples = _sweeps(dealt, shards)
+        rows = rows.unionByName(samples.select("shard", F.lit(_SAMPLES).alias("kind"), F.posexplode("samples").alias("chunk", "raw")))
     else:
-        found = dealt.select("chunk", "shard", "cells").groupBy("shard").applyInPandas(alone, "sums binary").collect()
+        found = _in_order(dealt.select("shard", "cells")).mapInArrow(alone, "sums binary").collect()
         totals = np.frombuffer(found[0]["sums"]) if found else np.zeros((1 + SAMPLES) * (2 + CONTEXTS))
     vocabulary, train_tokens = int(totals[0]), int(totals[1])
     shared = spark.sparkContext.broadcast(totals)
 
-    def second(pdf: pd.DataFrame, drawn: pd.DataFrame | None = None) -> pd.DataFrame:
-        number = int(pdf["shard"].iloc[0])
-        pdf = pdf.sort_values("chunk")
-        shard = Shard(list(pdf["cells"]))
-        states = None if drawn is None else (C.unpack(s, *[_VECTOR] * 3) for s in drawn["samples"].iloc[0])
-        logs = np.log10(shard.probabilities(number, shards, shared.value, states))
-        count = shard.word_count[shard.word]
-        base = np.log10(count + ADDED)
-        out = []
-        for chunk, where, raw in zip(pdf["chunk"], shard.where, pdf["uses"], strict=True):
-            doc, per_doc, step, times = C.unpack(raw, "<u4", "<u4", "<u4", "<u4")
-            ends = np.cumsum(per_doc, dtype=np.int64)
-            at = np.cumsum(step, dtype=np.int64)
-            # Steps start anew at each document.
-            at -= np.repeat(np.concatenate([[0], at[ends[:-1] - 1]]), per_doc)
-            cell = where[at]
-            sums = [np.add.reduceat(v[cell] * times, ends - per_doc) for v in (logs, base, (count > 0).astype(float))]
-            out.append((chunk, C.pack(doc, *[s.astype(k) for s, k in zip(sums, ("<f4", "<f8", "<u4"), strict=True)])))
-        return pd.DataFrame(out, columns=["chunk", "sums"])
-
-    if samples is None:
-        parts = dealt.groupBy("shard").applyInPandas(lambda pdf: second(pdf), "chunk long, sums binary")
-    else:
-        parts = dealt.groupBy("shard").cogroup(samples.groupBy("shard")).applyInPandas(lambda pdf, drawn: second(pdf, drawn), "chunk long, sums binary")
+    parts = _in_order(rows).mapInArrow(lambda batches: _scores(batches, shards, shared.value), "chunk long, sums binary")
     heads = chunks.where("shard < 0").select("chunk", "ids", "cells")
     n_base = np.log10(train_tokens + ADDED * (vocabulary + 1))
 

@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +179,55 @@ def test_scores_do_not_depend_on_shards(spark, documents, monkeypatch):
     assert max(abs(s - many[i][0]) / t for i, (s, t) in one.items() if t > 100) < 0.02
 
 
+def lm_chunks(n, words=20_000, tokens=30_000):
+    """Rows (cells, uses) of n chunks of a shard, each of one document drawn from the same words."""
+    rng = np.random.default_rng(n)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, words, tokens) % rng.integers(1, words, tokens)).encode() for _ in range(n)]
+    return texts, [next(iter(lm_scoring._chunk([(lm_scoring.tokens(t), i % 5 > 0)], 0)))[1:] for i, t in enumerate(texts)]
+
+
+def test_a_shard_adds_up_its_chunks(monkeypatch):
+    """By brute force, with the cells added up at once and in many steps."""
+    texts, chunks = lm_chunks(11, words=300, tokens=2_000)
+    want = Counter()
+    for i, t in enumerate(texts):
+        a = lm_scoring.tokens(t)
+        for cell in zip(a.tolist(), lm_scoring.contexts(a).tolist(), strict=True):
+            want[cell] += i % 5 > 0
+    for gathered in (1 << 30, 1):
+        monkeypatch.setattr(lm_scoring, "GATHERED", gathered, raising=False)
+        shard = lm_scoring.Shard([cells for cells, _ in chunks])
+        assert dict(zip(zip(shard.words[shard.word].tolist(), shard.context.tolist(), strict=True), shard.count.tolist(), strict=True)) == want
+
+
+def test_a_shards_memory_does_not_follow_its_chunks():
+    """Where the chunks hold the same cells, five times as many of them need no more memory at a time."""
+    chunks = [cells for cells, _ in lm_chunks(4, words=3_000)[1]]
+    most = []
+    for times in (20, 100):
+        tracemalloc.start()
+        lm_scoring.Shard(chunks * times)
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert most[1] < 1.2 * most[0]
+
+
+def test_uses_are_read_one_chunk_at_a_time():
+    """A chunk's parts of the scores are given out before the uses of the next are read."""
+    chunks = lm_chunks(6, words=300, tokens=2_000)[1]
+    rows = [(0, kind, i, raw) for kind, of in ((lm_scoring._CELLS, 0), (lm_scoring._USES, 1)) for i, raw in enumerate(c[of] for c in chunks)]
+    read = []
+
+    def batches():
+        for row in rows:
+            read.append(row)
+            yield pa.RecordBatch.from_pylist([dict(zip(("shard", "kind", "chunk", "raw"), row, strict=True))])
+
+    totals = lm_scoring.Shard([cells for cells, _ in chunks]).totals(0, 1)
+    at = [(out.column("chunk")[0].as_py(), len(read)) for out in lm_scoring._scores(batches(), 1, totals)]
+    assert at == [(i, 7 + i) for i in range(6)]
+
+
 # ---------------------------------------------------------------- 3 language
 
 
