@@ -34,9 +34,17 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """company, line and raw of whole texts (company, text), as of jsonl."""
-    whole = files.select("company", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
-    return whole.select("company", F.posexplode("lines").alias("line", "raw")).select("company", (F.col("line") + 1).cast("long").alias("line"), "raw")
+    """company, line and raw of whole texts (company, text), as of jsonl; with a column part, of texts in parts of whole lines.
+
+    Lines of parts are numbered on: only the parts' counts are summed by company, so a company's lines do not meet in a task.
+    """
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    if "part" not in files.columns:
+        return files.select("company", F.posexplode(lines).alias("line", "raw")).select("company", (F.col("line") + 1).cast("long").alias("line"), "raw")
+    counts = files.select("company", "part", F.size(lines).cast("long").alias("n"))
+    before = counts.select("company", "part", (F.sum("n").over(W.partitionBy("company").orderBy("part")) - F.col("n")).alias("before"))
+    each = files.join(before, ["company", "part"]).select("company", "before", F.posexplode(lines).alias("line", "raw"))
+    return each.select("company", (F.col("before") + F.col("line") + 1).alias("line"), "raw")
 
 
 def records(lines: DataFrame) -> DataFrame:
