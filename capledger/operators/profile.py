@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..session import stored
 from . import constraints as K
 
 SEVERITIES = ("critical", "high", "medium", "low")
@@ -41,12 +42,24 @@ def field_checks(value: Column, kind: Column, path: Column, fields: tuple) -> li
     return out
 
 
-def _typed(raw: Column, names: list[str]) -> Column:
-    """Map of name to JSON type of an object's fields, from its variant: a string of digits stays a string."""
-    v = F.try_parse_json(raw)
-    shown = lambda n: F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant"))
+def _typed(df: DataFrame, raw: Column, names: list[str]) -> DataFrame:
+    """df with kinds, a map of name to JSON type of an object's fields, from its variant: a string of digits stays a string.
+
+    The variant is a column of its own, as an expression within others would be parsed again for each field and each type.
+    """
     kind = lambda s: F.when(s.isNull() | (s == "VOID"), "null").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "BIGINT", "integer").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").otherwise("number")
-    return F.create_map(*[x for n in names for x in (F.lit(n), kind(shown(n)))])
+    shown = F.array(*[F.schema_of_variant(F.try_variant_get("_v", f"$.{n}", "variant")) for n in names])
+    parsed = df.withColumn("_v", F.try_parse_json(raw)).withColumn("_shown", shown)
+    return parsed.withColumn("kinds", F.map_from_arrays(F.array(*map(F.lit, names)), F.transform("_shown", kind))).drop("_v", "_shown")
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """Documents (company, raw) as of constraints.structured, parsed once and kept; those that are, as they are.
+
+    Kept as a table, as filters on shape and events of a mere plan are pushed below the parsing and parse again for each
+    mention, and each part of a profile would do so.
+    """
+    return docs if "shape" in docs.columns else stored(K.structured(docs).drop("raw"))
 
 
 def _names(fields: tuple) -> list[str]:
@@ -59,8 +72,8 @@ def _explode(df: DataFrame, keys: list[str], checks: list[Column]) -> DataFrame:
 
 def profile_structured(docs: DataFrame) -> DataFrame:
     """company, path, field, type, detail, severity of structured documents (company, raw), of either form."""
-    s = K.structured(docs).where("shape in ('structured_nested', 'structured_flat')")
-    info = s.withColumn("kinds", _typed(F.col("doc")["company"], _names(P.COMPANY_FIELDS))).withColumn("root", F.lit("$.company"))
+    s = parsed(docs).where("shape in ('structured_nested', 'structured_flat')")
+    info = _typed(s, F.col("doc")["company"], _names(P.COMPANY_FIELDS)).withColumn("root", F.lit("$.company"))
     value = F.col("inner")
     checks = field_checks(value, F.col("kinds"), F.col("root"), P.COMPANY_FIELDS)
     for name in ("listing_date", "prospectus_date"):
@@ -69,7 +82,7 @@ def profile_structured(docs: DataFrame) -> DataFrame:
         checks.append(F.when(bad, _row(F.concat(F.col("root"), F.lit("." + name)), name, P.ANOMALY["bad_date"], F.concat(v, F.lit(" is no day")), "high")))
     checks.append(F.when(F.size("events") == 0, _row(F.lit("$.company.financing_events"), "financing_events", P.ANOMALY["no_data"], "there are no events", "critical")))
     top = _explode(info, ["company"], checks)
-    processing = s.withColumn("m", K.presence(F.col("inner")["processing"])).withColumn("kinds", _typed(F.col("inner")["processing"], _names(P.PROCESSING_FIELDS))).withColumn("root", F.lit("$.company.processing"))
+    processing = _typed(s.withColumn("m", K.presence(F.col("inner")["processing"])), F.col("inner")["processing"], _names(P.PROCESSING_FIELDS)).withColumn("root", F.lit("$.company.processing"))
     checks = field_checks(F.col("m"), F.col("kinds"), F.col("root"), P.PROCESSING_FIELDS)
     for name in ("download_status", "parse_status", "locate_status", "extract_status"):
         checks.append(F.when(~F.coalesce(F.col("m")[name] == "success", F.lit(False)), _row(F.lit(f"$.company.processing.{name}"), name, P.ANOMALY["step"], F.concat(F.lit(f"{name} = "), F.coalesce(F.col("m")[name], F.lit("None"))), "medium")))
@@ -77,7 +90,7 @@ def profile_structured(docs: DataFrame) -> DataFrame:
     steps = _explode(processing, ["company"], checks)
     prefix = F.when(F.col("shape") == "structured_nested", F.lit("$.company.financing_events[")).otherwise(F.lit("$.financing_events["))
     events = s.select("company", prefix.alias("prefix"), F.posexplode("events").alias("i", "e")).select("company", F.concat("prefix", F.col("i").cast("string"), F.lit("]")).alias("root"), "e", K.presence(F.col("e")).alias("m"))
-    events = events.withColumn("kinds", _typed(F.col("e"), _names(P.EVENT_FIELDS))).withColumn("parties", F.from_json(F.col("m")["investors"], "array<string>"))
+    events = _typed(events, F.col("e"), _names(P.EVENT_FIELDS)).withColumn("parties", F.from_json(F.col("m")["investors"], "array<string>"))
     m, root = F.col("m"), F.col("root")
     date, total = m["event_date"], m["total_investment_amount"].try_cast("double")
     amounts = F.transform("parties", lambda p: F.coalesce(F.get_json_object(p, "$.investment_amount").try_cast("double"), F.lit(0.0)))
@@ -93,14 +106,15 @@ def profile_structured(docs: DataFrame) -> DataFrame:
         F.when(m["confidence"] == "low", _row(root, "confidence", P.ANOMALY["unsure"], "its confidence is low", "medium")),
     ]
     per_event = _explode(events, ["company"], checks)
-    parties = events.select("company", "root", F.posexplode("parties").alias("j", "p")).select("company", F.concat("root", F.lit(".investors["), F.col("j").cast("string"), F.lit("]")).alias("root"), "p", K.presence(F.col("p")).alias("m")).withColumn("kinds", _typed(F.col("p"), _names(P.INVESTOR_FIELDS)))
+    parties = events.select("company", "root", F.posexplode("parties").alias("j", "p")).select("company", F.concat("root", F.lit(".investors["), F.col("j").cast("string"), F.lit("]")).alias("root"), "p", K.presence(F.col("p")).alias("m"))
+    parties = _typed(parties, F.col("p"), _names(P.INVESTOR_FIELDS))
     per_party = _explode(parties, ["company"], field_checks(F.col("m"), F.col("kinds"), F.col("root"), P.INVESTOR_FIELDS))
     return top.unionByName(steps).unionByName(per_event).unionByName(per_party)
 
 
 def profile_basic(docs: DataFrame) -> DataFrame:
     """The same columns for documents without the structure."""
-    s = K.structured(docs).where("shape = 'basic'")
+    s = parsed(docs).where("shape = 'basic'")
     top = _explode(s, ["company"], [
         F.when(~F.map_contains_key("doc", F.lit("company")), _row(F.lit("$"), "structure", P.ANOMALY["no_structure"], "there is no company object", "critical")),
         F.when(F.size("events") == 0, _row(F.lit("$.financing_events"), "financing_events", P.ANOMALY["no_events"], "there are no events", "critical")),
@@ -113,6 +127,7 @@ def profile_basic(docs: DataFrame) -> DataFrame:
 
 def profile(docs: DataFrame) -> DataFrame:
     """Anomalies of all documents of whatever shape."""
+    docs = parsed(docs)
     return profile_structured(docs).unionByName(profile_basic(docs))
 
 
@@ -123,7 +138,7 @@ def severities(anomalies: DataFrame, keys: list[str]) -> DataFrame:
 
 def summary_index(docs: DataFrame, anomalies: DataFrame) -> DataFrame:
     """company, shape, events, investors, high_confidence and counts of anomalies by severity of each document."""
-    s = K.structured(docs)
+    s = parsed(docs)
     parties = F.aggregate(F.transform("events", lambda e: F.greatest(F.coalesce(F.size(F.from_json(F.get_json_object(e, "$.investors"), "array<string>")), F.lit(0)), F.lit(0))), F.lit(0), lambda a, x: a + x)
     sure = F.size(F.filter("events", lambda e: F.coalesce(F.get_json_object(e, "$.confidence") == "high", F.lit(False))))
     counts = severities(anomalies, ["company"])

@@ -222,7 +222,9 @@ _VALID = "c_custkey % 14 <> 0"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS company", f"{_FILLED} AS raw")
+    # The table is a few MB, which would be one task; its documents are large.
+    customers = _t(spark, sf_dir, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism)
+    return customers.selectExpr("concat('c', c_custkey) AS company", f"{_FILLED} AS raw")
 
 
 def _issue_list(*issues: tuple[str, str]) -> str:
