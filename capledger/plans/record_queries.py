@@ -285,7 +285,7 @@ def q63_profile(spark, sf_dir):
 SELECT company, CASE WHEN NOT ({_VALID}) THEN 'invalid' WHEN c_custkey % 9 = 4 THEN 'structured_nested' ELSE 'structured_flat' END AS shape, CASE WHEN {_VALID} THEN 2 ELSE 0 END AS events, CASE WHEN {_VALID} THEN 2 ELSE 0 END AS investors, CASE WHEN NOT ({_VALID}) THEN 0 WHEN c_custkey % 5 > 2 THEN 2 ELSE 1 END AS high_confidence,
 {", ".join(f"coalesce({s}, 0) AS {s}" for s in N.SEVERITIES)} FROM (SELECT *, 'c' || c_custkey AS company FROM customer) LEFT JOIN n USING (company)""")
 def q64_summary_index(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
+    docs = N.parsed(_documents(spark, sf_dir))
     return N.summary_index(docs, N.profile(docs))
 
 
